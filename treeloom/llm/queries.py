@@ -2,17 +2,41 @@
 
 from __future__ import annotations
 
-from treeloom.llm import content_sort, secrets
+from treeloom.llm import audio, bpe, content_sort, packing, secrets, token_counts
 from treeloom.llm.common import table
 
 
+def op1(spark, sf_dir):
+    return token_counts.part_counts(table(spark, sf_dir, "documents"), token_counts.default_path())
+
+
 def op3(spark, sf_dir):
     return content_sort.groups(table(spark, sf_dir, "documents"))
 
 
+def op4(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_path())
+
+
+def op7(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op9(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), bpe.default_path())
+
+
+def op10(spark, sf_dir):
+    return audio.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_token_counts": op1,
     "op3_exact_dedup": op3,
-    "op7_secret_scan": secrets.op7,
+    "op4_bpe": op4,
+    "op7_secret_scan": op7,
+    "op9_packing": op9,
+    "op10_audio": op10,
 }
 
 SQL = {
