@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treeloom.llm import audio, bpe, content_sort, packing, secrets, token_counts
+from treeloom.llm import audio, bpe, content_sort, packing, pii, ppm, secrets, token_counts, url_filter
 from treeloom.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1(spark, sf_dir):
     return token_counts.part_counts(table(spark, sf_dir, "documents"), token_counts.default_path())
 
 
+def op2(spark, sf_dir):
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 def op3(spark, sf_dir):
     return content_sort.groups(table(spark, sf_dir, "documents"))
 
@@ -18,10 +22,18 @@ def op4(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_path())
 
 
+def op5(spark, sf_dir):
+    return ppm.identified(table(spark, sf_dir, "documents"))
+
+
 def op7(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op8(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op9(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), bpe.default_path())
 
@@ -32,9 +44,12 @@ def op10(spark, sf_dir):
 
 QUERIES = {
     "op1_token_counts": op1,
+    "op2_url_filter": op2,
     "op3_exact_dedup": op3,
     "op4_bpe": op4,
+    "op5_language_id": op5,
     "op7_secret_scan": op7,
+    "op8_pii": op8,
     "op9_packing": op9,
     "op10_audio": op10,
 }
