@@ -15,16 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the cluster's shared checkpoint folder and read from there.
-
-    The folder is the one in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder takes its place.
-    """
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder: the one in ``spark.checkpoint.dir``, or a temporary one where that is unset, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder and read from there."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -52,3 +53,20 @@ def unused(name: str, taken: list[str]) -> str:
     while name.lower() in low:
         name = "_" + name
     return name
+
+
+def hot_keys(counts: DataFrame, key: str, rows: int, least: int = 1000) -> DataFrame:
+    """(key, salts) of the keys with so many rows that they are cut, each salt of about the same size.
+
+    counts: key, n. The result has 8 x partitions rows at most (rows / that size), so it may be broadcast.
+    """
+    partitions = max(1, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    most = max(least, -(-rows // (8 * partitions)))
+    return counts.filter(F.col("n") >= most).select(key, F.ceil(F.col("n") / most).cast("int").alias("salts"))
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, spread: str, how: str = "left") -> DataFrame:
+    """many joined to one (a row for each key), with hot keys (``hot_keys``) cut by the hash of many's column spread."""
+    left = many.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64(spread), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    right = one.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return left.join(right, [key, "salt"], how).drop("salt")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treeloom.llm import audio, bpe, content_sort, packing, pii, ppm, secrets, token_counts, url_filter
+from treeloom.llm import audio, bpe, content_sort, ngram_join, packing, pii, ppm, secrets, token_counts, url_filter
 from treeloom.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5(spark, sf_dir):
     return ppm.identified(table(spark, sf_dir, "documents"))
 
 
+def op6(spark, sf_dir):
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
 def op7(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op3_exact_dedup": op3,
     "op4_bpe": op4,
     "op5_language_id": op5,
+    "op6_ngram_join": op6,
     "op7_secret_scan": op7,
     "op8_pii": op8,
     "op9_packing": op9,
