@@ -3,6 +3,8 @@ import random
 import sys
 from pathlib import Path
 
+import numpy as np
+
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from cases import AWKWARD, EXTRA, SCHEMA, rows, widened
@@ -39,9 +41,20 @@ def test_words_of_many_kinds():
 
 
 def test_proposals_do_fail_and_are_mended():
-    words = [OWN.letters_of(w) for w in ("thinshsh", "edonth", "anerthe", "hethwhwh", "ingeser", "thatble", "ountion", "haanner")] * 3
-    wrong = [w for w in words if OWN.propose(w) != OWN.merged(w)]
-    assert wrong and OWN.encode_words(words) == [tuple(OWN.merged(w)) for w in words]
+    words = [w.encode() for w in ("thinshsh", "edonth", "anerthe", "hethwhwh", "ingeser", "thatble", "ountion", "haanner", "a", "x" * 70)] * 3
+    letters, ends = OWN.letters_of(words)
+    each = [x.tolist() for x in np.split(letters, ends[:-1])]
+    token, owner = OWN.propose(letters, ends)
+    proposed = [token[owner == i].tolist() for i in range(len(words))]
+    assert proposed == [OWN.longest_of(x) for x in each]
+    wrong = [i for i, x in enumerate(each) if proposed[i] != OWN.merged(x)]
+    assert wrong and len(wrong) < len(words)
+    pairs = [OWN.compatible(np.array(x[:-1], np.int64), np.array(x[1:], np.int64)).all() for x in proposed]
+    assert [i for i, good in enumerate(pairs) if not good] == wrong
+    token, owner = OWN.merged_together(letters, np.repeat(np.arange(len(words)), np.diff(ends, prepend=0)))
+    assert [token[owner == i].tolist() for i in range(len(words))] == [OWN.merged(x) for x in each]
+    ids, ends = OWN.encode_words(words)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [OWN.merged(x) for x in each]
 
 
 def test_query(spark):

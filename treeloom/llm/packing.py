@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, id_
     """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids and the end id, cut every length ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of = bpe.WordTable(own := bpe.loaded(path), lambda ids: np.array(ids, "<u4").tobytes())
+        own, words_of = bpe.loaded(path), bpe.word_table(path, "bytes", bpe.id_bytes)
         close = np.array([end], "<u4").tobytes()
         for batch in batches:
             texts = batch.column("text").to_pylist()
