@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-SQL = {}
+from treeloom.plans import text_queries
+
+MODULES = (text_queries,)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
 FLAGSHIP = "doc_line_diff_stats"
