@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The characters that count as white space, and as CJK.
 SPACE = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -43,7 +44,7 @@ def strip_heading_prefix(x: Column) -> Column:
     return F.when(year, x).otherwise(F.regexp_replace(x, PREFIX, ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 

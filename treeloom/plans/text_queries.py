@@ -165,33 +165,50 @@ base AS (
 _fallback = lambda w: f"CASE WHEN structure < 0.5 OR len(ta) + len(tb) = 0 THEN 0.0 ELSE {w[0]} + {w[1]} * structure + {w[2]} * (CASE WHEN len(ta) = 0 AND len(tb) = 0 THEN 1.0 ELSE least(len(ta), len(tb)) / greatest(len(ta), len(tb), 1) END) + {w[3]} * context END"
 _weighted = lambda w: f"greatest({w[0]} * tc + {w[1]} * structure, {_fallback(w[2])})"
 
-_context = F.when(F.col("a_brand") == F.col("b_brand"), 1.0).otherwise(0.7)
-_structure = F.when(F.col("a_type") == F.col("b_type"), 1.0).otherwise(0.4)
-_units = tuple(F.size(t.tokenize_text(F.col(x))) for x in "ab")
-_ab = (F.col("a"), F.col("b"))
-_same_words = sim.sequence_similarity(t.tokenize_text(_ab[0]), t.tokenize_text(_ab[1]))
+
+
+def _ab():
+    return F.col("a"), F.col("b")
+
+
+def _context():
+    return F.when(F.col("a_brand") == F.col("b_brand"), 1.0).otherwise(0.7)
+
+
+def _structure():
+    return F.when(F.col("a_type") == F.col("b_type"), 1.0).otherwise(0.4)
+
+
+def _units():
+    return tuple(F.size(t.tokenize_text(x)) for x in _ab())
+
+
+def _tokens_of():
+    return tuple(t.tokenize_text(x) for x in _ab())
+
+
 _heading_sql = "CASE WHEN a_size % 2 = 0 AND b_size % 2 = 0 THEN 0.4 * sj + 0.3 * {0} + 0.15 * {1} + 0.15 * context ELSE 0.6 * sj + 0.0 * {0} + 0.2 * {1} + 0.2 * context END".format("CASE WHEN a_type = b_type THEN 1.0 ELSE 0.5 END", "CASE WHEN a_size = b_size THEN 1.0 ELSE 0.6 END")
 _code_lines = lambda x: f"list_filter(list_transform(string_split(replace({x}, ' ', chr(10)), chr(10)), lambda l: trim(l)), lambda l: l <> '')"
 
 #: name: (Column over ``part_pairs``, the oracle's over ``texts``).
 PART_FUNCTIONS = {
-    "token_sequence_similarity": (lambda: _same_words, "ss"),
-    "text_content_similarity": (lambda: sim.text_content_similarity(*_ab), "tc"),
-    "paragraph_similarity": (lambda: sim.weighted_text(sim.text_content_similarity(*_ab), _structure, *_units, _context, sim.PARAGRAPH), _weighted(sim.PARAGRAPH)),
-    "container_similarity": (lambda: sim.weighted_text(sim.text_content_similarity(*_ab), _structure, *_units, _context, sim.CONTAINER), _weighted(sim.CONTAINER)),
+    "token_sequence_similarity": (lambda: sim.sequence_similarity(*_tokens_of()), "ss"),
+    "text_content_similarity": (lambda: sim.text_content_similarity(*_ab()), "tc"),
+    "paragraph_similarity": (lambda: sim.weighted_text(sim.text_content_similarity(*_ab()), _structure(), *_units(), _context(), sim.PARAGRAPH), _weighted(sim.PARAGRAPH)),
+    "container_similarity": (lambda: sim.weighted_text(sim.text_content_similarity(*_ab()), _structure(), *_units(), _context(), sim.CONTAINER), _weighted(sim.CONTAINER)),
     "heading_similarity": (
-        lambda: sim.heading_similarity(sim.jaccard(t.tokenize_text(_ab[0]), t.tokenize_text(_ab[1])), F.col("a_type") == F.col("b_type"), F.col("a_size") == F.col("b_size"), _context, (F.col("a_size") % 2 == 0) & (F.col("b_size") % 2 == 0)),
+        lambda: sim.heading_similarity(sim.jaccard(*_tokens_of()), F.col("a_type") == F.col("b_type"), F.col("a_size") == F.col("b_size"), _context(), (F.col("a_size") % 2 == 0) & (F.col("b_size") % 2 == 0)),
         _heading_sql,
     ),
     "code_similarity": (
-        lambda: sim.code_similarity(F.replace(_ab[0], F.lit(" "), F.lit("\n")), F.replace(_ab[1], F.lit(" "), F.lit("\n")), F.col("a_brand"), F.col("b_brand")),
+        lambda: sim.code_similarity(F.replace(F.col("a"), F.lit(" "), F.lit("\n")), F.replace(F.col("b"), F.lit(" "), F.lit("\n")), F.col("a_brand"), F.col("b_brand")),
         f"least(1.0, greatest({_set_jaccard(_code_lines('a'), _code_lines('b'))}, {_seq(_code_lines('a'), _code_lines('b'))}, {_seq(_chars('a'), _chars('b'))}) + CASE WHEN a_brand IS NOT DISTINCT FROM b_brand THEN 0.1 ELSE 0 END)",
     ),
     "definition_similarity": (
         lambda: sim.definition_similarity(F.col("a_brand") == F.col("b_brand"), F.col("a_type") == F.col("b_type"), F.col("a_size") == F.col("b_size")),
         "0.5 * (a_brand = b_brand)::INT + 0.25 * (a_type = b_type)::INT + 0.25 * (a_size = b_size)::INT",
     ),
-    "structure_fallback_score": (lambda: sim.structure_fallback(_structure, *_units, _context, *sim.PARAGRAPH[2]), _fallback(sim.PARAGRAPH[2])),
+    "structure_fallback_score": (lambda: sim.structure_fallback(_structure(), *_units(), _context(), *sim.PARAGRAPH[2]), _fallback(sim.PARAGRAPH[2])),
     "source_range_closeness": (lambda: sim.range_closeness(F.col("a_size"), F.col("b_size")), "greatest(0.0, 1 - abs(a_size - b_size) / 10)"),
     "path_suffix_compatible": (
         lambda: F.when(sim.is_path_suffix(F.split("a", " "), F.split("b", " ")), 1.0).otherwise(0.0),
