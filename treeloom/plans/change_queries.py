@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from treeloom.functions import text as t
 from treeloom.operators import matching as m
 from treeloom.operators import tree
-from treeloom.plans import kernels, pairs
+from treeloom.plans import kernels, pairs, report
 from treeloom.plans.stages import materialized
 from treeloom.plans.text_queries import _title
 from treeloom.plans.tree_queries import EXACT_SQL, HASHES_SQL, _exact, _hashed, _unique
@@ -334,3 +334,30 @@ def stats_cards(spark, sf_dir):
     on = lambda s: F.count(F.when(F.col("side") == s, 1))
     whole = v.groupBy("doc_id", "text").agg(on("old").alias("o"), on("new").alias("n")).agg(F.sum("o").alias("old_lines"), F.sum("n").alias("new_lines"), F.sum(F.least("o", "n")).alias("common"))
     return whole.selectExpr("stack(3, 'old_lines', old_lines, 'new_lines', new_lines, 'common', common) AS (card, value)")
+
+
+# -- reports
+
+
+def _changes(spark, sf_dir):
+    return materialized(pairs.compared(markdown_pairs(spark, sf_dir)))
+
+
+@query()
+def change_details(spark, sf_dir):
+    return report.details(_changes(spark, sf_dir))
+
+
+@query()
+def debug_snapshot(spark, sf_dir):
+    return report.snapshot(_changes(spark, sf_dir))
+
+
+@query()
+def display_warnings(spark, sf_dir):
+    return report.display_warnings(_changes(spark, sf_dir))
+
+
+@query()
+def change_navigation(spark, sf_dir):
+    return report.navigation(_changes(spark, sf_dir)).fillna("", ["previous_id", "next_id"])
