@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treeloom.llm import audio, bpe, content_sort, ngram_join, packing, pii, ppm, secrets, token_counts, url_filter
+from treeloom.llm import audio, bpe, content_sort, ngram_join, oracles, packing, pii, ppm, secrets, token_counts, url_filter
 from treeloom.llm.common import table
 
 
@@ -60,5 +60,8 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_url_filter": oracles.url_verdicts(),
     "op3_exact_dedup": content_sort.SQL,
+    "op6_ngram_join": oracles.ngram_components(),
+    "op7_secret_scan": oracles.secret_scan(),
 }
