@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,10 +15,12 @@ from treeloom.operators import tree
 from treeloom.plans import kernels, pairs, report
 from treeloom.plans.stages import materialized
 from treeloom.plans.text_queries import _title
-from treeloom.plans.tree_queries import EXACT_SQL, HASHES_SQL, _exact, _hashed, _unique
+from treeloom.plans.tree_queries import EXACT_SQL, HASHES_SQL, _exact, _hashed, _scored, _unique
 from treeloom.sources.tables import LINES_SQL, line_rule, line_versions, lines, table
 
 QUERIES, SQL = {}, {}
+#: Pairs of children beyond which a tree edit is not tried, as in the comparison's budget.
+MOST_TREE_CELLS = 10_000
 
 
 def query(sql: str | None = None):
@@ -361,3 +364,57 @@ def display_warnings(spark, sf_dir):
 @query()
 def change_navigation(spark, sf_dir):
     return report.navigation(_changes(spark, sf_dir)).fillna("", ["previous_id", "next_id"])
+
+
+# -- assignment and tree edits
+
+
+@query()
+def hungarian_pairs(spark, sf_dir):
+    """The optimal pairing of unmatched items of one parent, above the threshold."""
+    scored = _scored(spark, sf_dir).filter(F.col("score") >= m.MIN_SIMILARITY)
+    scored = scored.select("pair_id", "parent_id", "old_id", "new_id", (1 - F.col("score") + 1e-6 * F.abs(F.col("old_index") - F.col("new_index"))).alias("cost"))
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for _, part in pdf.groupby("parent_id", sort=False):
+            old, new = sorted(set(part["old_id"])), sorted(set(part["new_id"]))
+            costs: list[list[float | None]] = [[None] * len(new) for _ in old]
+            at_old, at_new = {x: i for i, x in enumerate(old)}, {x: i for i, x in enumerate(new)}
+            for o, n, c in zip(part["old_id"], part["new_id"], part["cost"], strict=True):
+                costs[at_old[o]][at_new[n]] = c
+            rows += [(pdf["pair_id"].iloc[0], old[i], new[j], round(costs[i][j], 9)) for i, j in kernels.optimal_assignment(costs)]
+        return pd.DataFrame(rows, columns=["pair_id", "old_id", "new_id", "cost"])
+
+    # A group is one pair; its parents are assigned one after the other.
+    return scored.groupBy("pair_id").applyInPandas(pick, "pair_id long, old_id string, new_id string, cost double")
+
+
+@query()
+def tree_edit_matches(spark, sf_dir):
+    """Nodes that a constrained tree edit keeps, of each customer's two trees."""
+    from treeloom.sources.tables import trees
+
+    rows = trees(spark, sf_dir).withColumn("label", F.concat_ws("|", "kind", "title", "text"))
+    listed = rows.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("side", "sort_a", "sort_b", "node_id", "parent_id", "label"))).alias("nodes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for pair_id, nodes in zip(batch.column("pair_id").to_pylist(), batch.column("nodes").to_pylist(), strict=True):
+                forests: dict[str, list] = {"old": [], "new": []}
+                by_id: dict[tuple, dict] = {}
+                for x in nodes:
+                    node = {"id": x["node_id"], "label": x["label"], "children": []}
+                    by_id[x["side"], x["node_id"]] = node
+                    up = by_id.get((x["side"], x["parent_id"]))
+                    (up["children"] if up else forests[x["side"]]).append(node)
+                if max(len(f[0]["children"]) if f else 0 for f in forests.values()) ** 2 > MOST_TREE_CELLS:
+                    continue
+                kind = lambda n: n["label"].split("|", 1)[0]
+                found, _ = kernels.tree_edit_matches(forests["old"], forests["new"], lambda n: n["children"], lambda a, b: kind(a) == kind(b), lambda a, b: 0.0 if a["label"] == b["label"] else 0.5)
+                out += [(pair_id, a["id"], b["id"]) for a, b in found]
+            a, b, c = zip(*out, strict=True) if out else ((),) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.string())], ["pair_id", "old_id", "new_id"])
+
+    return listed.mapInArrow(run, "pair_id long, old_id string, new_id string")
