@@ -111,3 +111,14 @@ def test_budgets_degrade():
     old, new = ("\n\n".join(f"p{i} {x}" for i in range(300)) for x in ("alpha", "beta"))
     root, _ = e.compare(old, new)
     assert root.degraded and root.warnings == ["subtree-budget-exceeded"]
+
+
+def test_many_unlike_paragraphs_take_bounded_time():
+    import random
+    import time
+
+    rng = random.Random(1)
+    text = lambda: "\n\n".join(" ".join(f"w{rng.randrange(900)}" for _ in range(90)) for _ in range(150))
+    start = time.time()
+    root, _ = e.compare("# A\n\n" + text(), "# A\n\n" + text())
+    assert time.time() - start < 60 and e.summary(root)["replaces"] == 150

@@ -41,6 +41,22 @@ def test_long_inputs():
     assert check(["x"] * 500, ["x"] * 300 + ["y"], k.align(["x"] * 500, ["x"] * 300 + ["y"])) == 300
 
 
+@settings(max_examples=200, deadline=None)
+@given(WORDS, WORDS, st.integers(0, 6))
+def test_beyond_the_most_edits_a_script_is_still_valid(a, b, most):
+    kept, k.MOST_EDITS = k.MOST_EDITS, most
+    try:
+        check(a, b, k.shortest_script(a, b))
+    finally:
+        k.MOST_EDITS = kept
+
+
+def test_very_different_long_inputs():
+    a, b = [str(i * 7 % 97) for i in range(9000)], [str(i * 11 % 89) for i in range(8000)]
+    check(a, b, k.align(a, b))
+    assert check([f"a{i}" for i in range(50_000)], [f"b{i}" for i in range(50_000)], k.align([f"a{i}" for i in range(50_000)], [f"b{i}" for i in range(50_000)])) == 0
+
+
 @given(st.lists(st.integers(0, 12), max_size=12))
 def test_longest_increasing(v):
     found = k.longest_increasing(v)

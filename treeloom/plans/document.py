@@ -10,6 +10,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -56,6 +57,11 @@ def words(x: str) -> list[str]:
     return out
 
 
+def grams(x: str) -> Counter:
+    x = x.lower()
+    return Counter(x[i : i + 3] for i in range(len(x) - 2)) if len(x) >= 3 else Counter([x] if x else [])
+
+
 def simhash(tokens: list[str]) -> int | None:
     """64 votes of each token's md5, a bit is 1 where its sum is not negative; None without a token."""
     if not tokens:
@@ -110,6 +116,14 @@ class Node:
     def sim(self) -> int | None:
         return simhash(self.tokens + self.structure)
 
+    @cached_property
+    def counts(self) -> Counter:
+        return Counter(self.tokens)
+
+    @cached_property
+    def grams(self) -> Counter:
+        return grams(self.text)
+
     @property
     def normal(self) -> str:
         return normal_title(self.title)

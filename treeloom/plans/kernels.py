@@ -17,6 +17,8 @@ Edit = tuple[str, int, int]
 
 # When which strategy is used.
 SHORT, MOST_CELLS, HECKEL_RATIO = 80, 6400, 0.6
+#: Edits beyond which a shortest script is given up.
+MOST_EDITS = 2000
 
 
 def interned(old: Sequence, new: Sequence) -> tuple[list[int], list[int]]:
@@ -49,7 +51,8 @@ def shortest_script(old: Sequence, new: Sequence) -> list[Edit]:
     """A shortest edit script by greedy furthest-reaching diagonals; common ends are cut off first.
 
     Only the diagonals that a round reaches are kept for walking back, so memory
-    grows with the square of the number of edits, not with the lengths.
+    grows with the square of the number of edits, not with the lengths. Beyond
+    MOST_EDITS edits the script is a valid one, but no longer the shortest.
     """
     a, b = interned(old, new)
     head = 0
@@ -60,8 +63,14 @@ def shortest_script(old: Sequence, new: Sequence) -> list[Edit]:
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     n, m = len(x), len(y)
+    ends = [("equal", len(a) - tail + t, len(b) - tail + t) for t in range(tail)]
+    start = [("equal", h, h) for h in range(head)]
+    if not set(x) & set(y):
+        return start + _shifted(replaced(x, y), head, head) + ends
     reach, rounds = {1: 0}, []
     for d in range(n + m + 1):
+        if d > MOST_EDITS:
+            return start + _shifted(between_anchors(x, y, rough_anchors(x, y), replaced), head, head) + ends
         now: dict[int, int] = {}
         for k in range(-d, d + 1, 2):
             down = k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1))
@@ -96,8 +105,7 @@ def shortest_script(old: Sequence, new: Sequence) -> list[Edit]:
     while i and j:
         i, j = i - 1, j - 1
         middle.append(("equal", head + i, head + j))
-    ends = [("equal", len(a) - tail + t, len(b) - tail + t) for t in range(tail)]
-    return [("equal", h, h) for h in range(head)] + middle[::-1] + ends
+    return start + middle[::-1] + ends
 
 
 def _shifted(edits: list[Edit], i: int, j: int) -> list[Edit]:
@@ -116,6 +124,24 @@ def between_anchors(old: Sequence, new: Sequence, anchors: list[tuple[int, int]]
     return out
 
 
+def replaced(old: Sequence, new: Sequence) -> list[Edit]:
+    return [("delete", i, -1) for i in range(len(old))] + [("insert", -1, j) for j in range(len(new))]
+
+
+def rough_anchors(old: Sequence, new: Sequence) -> list[tuple[int, int]]:
+    """The k-th occurrence of an element with its k-th on the other side, as far as they keep their order."""
+    places: dict = {}
+    for j, x in enumerate(new):
+        places.setdefault(x, []).append(j)
+    used: Counter = Counter()
+    pairs = []
+    for i, x in enumerate(old):
+        if used[x] < len(places.get(x, ())):
+            pairs.append((i, places[x][used[x]]))
+            used[x] += 1
+    return [pairs[k] for k in longest_increasing([j for _, j in pairs])]
+
+
 def unique_anchors(old: Sequence, new: Sequence) -> list[tuple[int, int]]:
     """Elements that occur once on each side, as far as they keep their order."""
     a, b = Counter(old), Counter(new)

@@ -8,10 +8,12 @@ from __future__ import annotations
 from collections import Counter
 
 from treeloom.functions.similarity import CONTAINER, HEADING_FULL, HEADING_LEAF, PARAGRAPH
-from treeloom.plans.document import Node
+from treeloom.plans.document import Node, grams
 
 #: From so many tokens on sets are compared by minimum hashes; and how many.
 MINHASH_FROM, MINHASHES = 256, 64
+#: Tokens up to which sequences are compared.
+MOST_SEQUENCE = 400
 
 
 def levenshtein(a, b) -> int:
@@ -62,19 +64,23 @@ def tokens(a, b) -> float:
     return minhash(a, b) if max(len(a), len(b)) > MINHASH_FROM else sets(a, b)
 
 
-def grams(x: str) -> Counter:
-    x = x.lower()
-    return Counter(x[i : i + 3] for i in range(len(x) - 2)) if len(x) >= 3 else Counter([x] if x else [])
-
-
 def ratio(a: float, b: float) -> float:
     return 1.0 if not a and not b else min(a, b) / max(a, b, 1)
 
 
 def content(a: Node, b: Node) -> float:
+    """The best of token sets, token sequences and 3-grams; of characters if neither has a token.
+
+    A sequence is no more alike than its elements are as multisets over the longer
+    length, so the costly comparison only runs where it can raise the result.
+    """
     if not a.tokens and not b.tokens:
         return sequence(a.text[:2000], b.text[:2000])
-    return max(tokens(a.tokens, b.tokens), sequence(a.tokens[:400], b.tokens[:400]) if max(len(a.tokens), len(b.tokens)) <= 400 else 0.0, multisets(grams(a.text), grams(b.text)))
+    best = max(tokens(a.tokens, b.tokens), multisets(a.grams, b.grams))
+    longest = max(len(a.tokens), len(b.tokens))
+    if longest <= MOST_SEQUENCE and sum((a.counts & b.counts).values()) / longest > best:
+        best = max(best, sequence(a.tokens, b.tokens))
+    return best
 
 
 def _weighted(a: Node, b: Node, context: float, weights) -> float:
