@@ -62,6 +62,15 @@ def test_code_lengths_are_exact():
             assert got[i, j] == pytest.approx(brute_bits(([x.encode() for x in samples[k]], nodes), t.encode()), rel=1e-4, abs=1e-4)
 
 
+def test_long_texts_are_priced_in_chunks(monkeypatch):
+    model = ppm.fit({"x": ["abab cabc é " * 9], "y": ["dede fefd " * 9]})
+    texts = ["ab cab " * 50, "é", "", "ded fe" * 70, "abc"]
+    want = model.lengths(texts)
+    for chunk in (1, 2, 3, 7, 100):
+        monkeypatch.setattr(ppm, "CHUNK", chunk)
+        assert np.allclose(model.lengths(texts), want)
+
+
 def test_probabilities_sum_to_one():
     model = ppm.fit({"x": ["the cat sat on the mat " * 5], "y": ["der hund und die katze " * 5]})
     p = np.exp2(-model.bits.reshape(-1, model.symbols, 2).astype(float))

@@ -8,8 +8,8 @@ arrays. Words with an incompatible pair are merged exactly, by rank.
 Words are found as the vocabulary's own normaliser and pre-tokeniser do: texts
 of ASCII and Latin-1 letters by one expression, others by the tokenizers
 library's normaliser and pre-tokeniser. What comes of a word is kept in a bounded
-table of the Python worker; a word that the table has lost is encoded again, with
-the same result.
+table for the length of a task; a word that the table has lost is encoded again,
+with the same result.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 
 from treeloom.llm.common import slices, texts_of
 
-#: Words that a worker remembers before it starts anew.
-MOST_WORDS = 400_000
+#: Words that a task remembers before it starts anew.
+MOST_WORDS = 120_000
 #: New words that are encoded together, and letters up to which a word takes part in that.
 CHUNK, LONG_WORD = 50_000, 64
 
@@ -362,16 +362,6 @@ class WordTable:
         return found
 
 
-_tables: dict[tuple, WordTable] = {}
-
-
-def word_table(path: str, name: str, make) -> WordTable:
-    """The table of that name, which a Python worker keeps from task to task."""
-    if (path, name) not in _tables:
-        _tables[path, name] = WordTable(loaded(path), make)
-    return _tables[path, name]
-
-
 def cut_lists(flat: list, ends: np.ndarray) -> list[list]:
     return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(ends) else []
 
@@ -395,7 +385,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, words_of = loaded(path), word_table(path, "ids", lambda ids, ends: cut_lists(ids.tolist(), ends))
+        bpe, words_of = loaded(path), WordTable(loaded(path), lambda ids, ends: cut_lists(ids.tolist(), ends))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for i, j in slices(texts):
@@ -428,7 +418,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        both = word_table(path, "digests", lambda ids, ends: [(" ".join(map(str, x)), bpe.decode(x)) for x in cut_lists(ids.tolist(), ends)])
+        both = WordTable(bpe, lambda ids, ends: [(" ".join(map(str, x)), bpe.decode(x)) for x in cut_lists(ids.tolist(), ends)])
         sha = hashlib.sha256
         for batch in batches:
             texts = batch.column("text").to_pylist()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,19 @@ def slices(texts: list[str], limit: int = SLICE_BYTES):
         yield first, len(texts)
 
 
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES):
+    """(first, last, texts) of runs of a string column of about limit bytes; only one run's texts are Python strings at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    first = size = 0
+    for i, n in enumerate(sizes):
+        if i > first and size + n > limit:
+            yield first, i, column.slice(first, i - first).to_pylist()
+            first, size = i, 0
+        size += n
+    if first < len(sizes):
+        yield first, len(sizes), column.slice(first).to_pylist()
+
+
 def unused(name: str, taken: list[str]) -> str:
     """name, with underscores before it until no column of taken is called so (columns compare without case)."""
     low = {c.lower() for c in taken}

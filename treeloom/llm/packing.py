@@ -26,24 +26,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.llm import bpe
-from treeloom.llm.common import checkpointed, slices, texts_of
+from treeloom.llm.common import checkpointed, text_slices, texts_of
 
 LENGTH = 4096
 END = 2
 #: Documents to a group, on average.
 GROUP = 4096
+#: Bytes of text that are split into words at one time.
+SLICE = 1 << 20
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids and the end id, cut every length ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, words_of = bpe.loaded(path), bpe.word_table(path, "bytes", bpe.id_bytes)
+        words_of = bpe.WordTable(own := bpe.loaded(path), bpe.id_bytes)
         close = np.array([end], "<u4").tobytes()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, j in slices(texts):
-                docs = [own.split(t) for t in texts[i:j]]
+            for i, j, texts in text_slices(batch.column("text"), SLICE):
+                docs = [own.split(t) for t in texts]
                 known = words_of.of(docs)
                 rows = []
                 for k, words in enumerate(docs, i):

@@ -30,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import slices
+from treeloom.llm.common import text_slices
 
 SAMPLE_DOCS = 600
 SAMPLE_BYTES = 1_500_000
+MARGIN = 4
 #: A context of three bytes is a node of the tree from so many occurrences on.
 LEAST_SEEN = 2
+#: Bytes that are priced at one time.
+CHUNK = 1 << 17
 UNKNOWN = "und"
 
 
@@ -55,17 +58,41 @@ class Model:
     bits: np.ndarray
 
     def lengths(self, texts: list[str]) -> np.ndarray:
-        """Code length in bits of each text (rows) in each language (columns)."""
+        """Code length in bits of each text (rows) in each language (columns).
+
+        Texts up to CHUNK bytes are priced some at a time, a longer one by itself in
+        chunks, so that memory does not grow with a text and equal texts give equal sums.
+        """
         data = [t.encode("utf-8", "surrogatepass") for t in texts]
-        s, starts, ends = _symbols(data, self.symbol)
+        out = np.zeros((len(texts), len(self.languages)))
+        first = size = 0
+        for i, d in enumerate(data):
+            if size + len(d) > CHUNK:
+                out[first:i] = self._priced(data[first:i])
+                first, size = i, 0
+            if len(d) > CHUNK:
+                for at in range(0, len(d), CHUNK):
+                    part = np.concatenate([np.zeros(max(0, 3 - at), np.int64), self.symbol[np.frombuffer(d[max(0, at - 3) : at + CHUNK], np.uint8)]])
+                    out[i] += self.bits[self._rows(part)].sum(0, dtype=np.float64)
+                first = i + 1
+            else:
+                size += len(d)
+        out[first:] = self._priced(data[first:])
+        return out
+
+    def _rows(self, s: np.ndarray) -> np.ndarray:
+        """The row of ``bits`` of each symbol after the first three."""
         n = self.symbols
         pair = s[1:-2] * n + s[2:-1]
         node = self.node[s[:-3] * (n * n) + pair]
-        row = np.where(node >= 0, node, pair + self.short) * n + s[3:]
-        out = np.zeros((len(texts), len(self.languages)))
+        return np.where(node >= 0, node, pair + self.short) * n + s[3:]
+
+    def _priced(self, data: list[bytes]) -> np.ndarray:
+        out = np.zeros((len(data), len(self.languages)))
+        s, starts, ends = _symbols(data, self.symbol)
         full = np.flatnonzero(ends > starts)
         if len(full):
-            cost = self.bits[row]
+            cost = self.bits[self._rows(s)]
             cuts = np.stack([starts[full], ends[full]], 1).ravel()
             out[full] = np.add.reduceat(np.concatenate([cost, np.zeros((1, cost.shape[1]), cost.dtype)]), cuts, axis=0, dtype=np.float64)[::2]
         return out
@@ -160,9 +187,15 @@ def held_out(doc_id) -> F.Column:
 def sample(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> dict[str, list[str]]:
     """The training texts of each language; at most most_docs rows of it, and no more than most_bytes but for the last."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    # Only hashes in a share of their range that holds about MARGIN times as many rows as are wanted meet in one task.
+    share = {r["lang"]: min(1.0, MARGIN * most_docs / r["count"]) for r in rows.groupBy("lang").count().collect()}
+    if not share:
+        return {}
+    wanted = F.create_map(*(F.lit(x) for kv in share.items() for x in kv))[F.col("lang")]
     w = Window.partitionBy("lang").orderBy("h", "doc_id")
     first = (
         rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("size"))
+        .filter((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= wanted)
         .withColumn("at", F.row_number().over(w)).filter(F.col("at") <= most_docs)
         .withColumn("before", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1))).filter(F.coalesce("before", F.lit(0)) < most_bytes)
     )
@@ -179,9 +212,8 @@ def identified(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most_bytes: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, j in slices([t or "" for t in texts], 1 << 20):
-                names, scores = model.value.judge(texts[i:j])
+            for i, j, texts in text_slices(batch.column("text"), 1 << 20):
+                names, scores = model.value.judge(texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[i:j], batch.column("held_out")[i:j], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                     ["doc_id", "held_out", "lang_pred", "score"],
@@ -199,11 +231,9 @@ def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            good = np.zeros(len(texts), bool)
-            for i, j in slices([t or "" for t in texts], 1 << 20):
-                names, scores = model.value.judge(texts[i:j])
-                good[i:j] = [n != UNKNOWN and p >= least for n, p in zip(names, scores, strict=True)]
-            yield batch.filter(pa.array(good))
+            for i, j, texts in text_slices(batch.column(at), 1 << 20):
+                names, scores = model.value.judge(texts)
+                yield batch.slice(i, j - i).filter(pa.array([n != UNKNOWN and p >= least for n, p in zip(names, scores, strict=True)], pa.bool_()))
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
