@@ -37,10 +37,10 @@ def query(sql: str | None = None):
 
 
 def markdown_pairs(spark, sf_dir) -> DataFrame:
-    """(pair_id, old_md, new_md): a document's two line versions as headings, items and paragraphs."""
+    """(pair_id, old_md, new_md): a document's two line versions; some whole lines become headings or items, the others stay as they are."""
     v = line_versions(table(spark, sf_dir, "documents"))
-    body = F.regexp_replace("text", r"[\[\]|#*_`$<>:~-]", " ")
-    md = F.when(F.length("text") % 5 == 0, F.concat(F.lit("## "), F.substring(body, 1, 40))).when(F.length("text") % 5 == 1, F.concat(F.lit("- [ ] "), body)).otherwise(body)
+    line = F.col("text")
+    md = F.when(F.length(line) % 5 == 0, F.concat(F.lit("## "), line)).when(F.length(line) % 5 == 1, F.concat(F.lit("- [ ] "), line)).otherwise(line)
     whole = lambda s: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("pos", "md")))), lambda x: x["md"]), "\n\n").alias(f"{s}_md")
     return v.withColumn("md", md).groupBy(F.col("doc_id").alias("pair_id")).agg(whole("old"), whole("new"))
 

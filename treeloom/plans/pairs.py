@@ -2,6 +2,7 @@
 
 ``compared`` is one pass over rows (pair_id, old_md, new_md): a pair is a row, so
 nothing is shuffled, and a pair too large for its budgets degrades by itself.
+Texts of any length are compared; only the reader of files has a limit.
 """
 
 from __future__ import annotations
@@ -16,9 +17,6 @@ from pyspark.sql import functions as F
 from treeloom.plans import engine, kernels
 from treeloom.plans.document import Document
 
-#: A side beyond this many characters is not compared; the pair gets a warning.
-MOST_CHARS = 5 * 1024 * 1024
-
 CHANGE = pa.struct(
     [
         ("change_id", pa.string()), ("parent_change_id", pa.string()), ("ord", pa.int32()), ("entity", pa.string()), ("kind", pa.string()), ("op", pa.string()),
@@ -67,10 +65,8 @@ def compared(pairs: DataFrame, options: engine.Options | None = None) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pair_id, old, new in zip(*(batch.column(c).to_pylist() for c in ("pair_id", "old_md", "new_md")), strict=True):
-                old, new = old or "", new or ""
-                large = max(len(old), len(new)) > MOST_CHARS
-                root, c = engine.compare("" if large else old, "" if large else new, options)
-                rows = change_rows(root, [*c.warnings, *(["file-too-large"] if large else [])])
+                root, c = engine.compare(old or "", new or "", options)
+                rows = change_rows(root, c.warnings)
                 columns = pa.array(rows, CHANGE).flatten()
                 yield pa.RecordBatch.from_arrays([pa.array([pair_id] * len(rows), pa.int64()), *columns], ["pair_id", *names])
 
