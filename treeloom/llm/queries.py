@@ -11,7 +11,7 @@ def op1(spark, sf_dir):
 
 
 def op2(spark, sf_dir):
-    return url_filter.judged(table(spark, sf_dir, "pages"))
+    return url_filter.judged(table(spark, sf_dir, "pages"), rounds=None)
 
 
 def op3(spark, sf_dir):

@@ -8,7 +8,8 @@ scores are on one scale. A host is blocked where its distrust passes a threshold
 and a multiple of its trust; else allowed.
 
 Edges are counted by pairs of hosts before they are shuffled, links within a host
-say nothing. Scores stay distributed; each few rounds go to a checkpoint. A host
+say nothing. Scores stay distributed; each few rounds go to a checkpoint, and the
+query goes on until no more score moves. A host
 with a large part of all pages is cut into salts before scores are joined to pages.
 
 Defined cases: null urls and urls without ``://`` have empty host and path; null
@@ -20,6 +21,7 @@ columns are ignored.
 from __future__ import annotations
 
 import string
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,8 @@ RULES = (
     ("block", "com/de/"),
 )
 DAMPING, ROUNDS, KEEP_EVERY = 0.85, 10, 5
+#: Scores are settled where KEEP_EVERY rounds change less than this, summed over all hosts.
+SETTLED = 1e-6
 #: Blocked: distrust over LEAST, and over RATIO times trust, as shares of a seed's own score.
 LEAST, RATIO = 0.05, 2.0
 
@@ -70,10 +74,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.filter("source <> '' AND target <> '' AND source <> target").groupBy("source", "target").agg(F.count("*").alias("links"))
 
 
-def scores(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def scores(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS) -> DataFrame:
     """(host, trust, distrust) of hosts with either, as multiples of 1 - damping.
 
     seeds: host, allowed, blocked (shares from 0 to 1); edges: source, target, links.
+    Without a number of rounds, scores spread until they are settled: a round passes on
+    at most damping of what the last one moved, so what is missing from a host then is
+    below SETTLED too.
     """
     out = edges.groupBy("source").agg(F.sum("links").alias("all"))
     into = edges.groupBy("target").agg(F.sum("links").alias("all"))
@@ -87,17 +94,27 @@ def scores(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds:
     )
     now = start
     if not moves.isEmpty():
-        for k in range(1, rounds + 1):
+        last = start
+        for k in count(1) if rounds is None else range(1, rounds + 1):
             sent = now.join(moves, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
             now = start.unionByName(sent).groupBy("kind", "host").agg(F.sum("score").alias("score"))
             if k % KEEP_EVERY == 0 or k == rounds:
                 now = checkpointed(now)
+                if rounds is None and _moved(last, now) < SETTLED:
+                    break
+                last = now
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
     return now.groupBy("host").agg(of("trust"), of("distrust"))
 
 
-def judged(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust, distrust of each row of pages (page_id, url, html)."""
+def _moved(last: DataFrame, now: DataFrame) -> float:
+    """The sum of all hosts' changes of score."""
+    both = last.withColumn("score", -F.col("score")).unionByName(now).groupBy("kind", "host").agg(F.sum("score").alias("moved"))
+    return both.agg(F.sum(F.abs("moved"))).first()[0] or 0.0
+
+
+def judged(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int | None = ROUNDS) -> DataFrame:
+    """page_id, host, path, rule, verdict, trust, distrust of each row of pages (page_id, url, html); rounds as in scores."""
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
