@@ -6,9 +6,10 @@ Spark spreads pairs over executors and each kernel sees one pair at a time.
 
 from __future__ import annotations
 
+import heapq
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 
@@ -17,8 +18,8 @@ Edit = tuple[str, int, int]
 
 # When which strategy is used.
 SHORT, MOST_CELLS, HECKEL_RATIO = 80, 6400, 0.6
-#: Edits beyond which a shortest script is given up.
-MOST_EDITS = 2000
+#: Edits beyond which a shortest script is found by rows of bits, and cells of which the rows are kept at one time.
+MOST_EDITS, ROW_CELLS = 2000, 1 << 28
 
 
 def interned(old: Sequence, new: Sequence) -> tuple[list[int], list[int]]:
@@ -52,7 +53,7 @@ def shortest_script(old: Sequence, new: Sequence) -> list[Edit]:
 
     Only the diagonals that a round reaches are kept for walking back, so memory
     grows with the square of the number of edits, not with the lengths. Beyond
-    MOST_EDITS edits the script is a valid one, but no longer the shortest.
+    MOST_EDITS edits a script of the same length is found by ``common_subsequence``.
     """
     a, b = interned(old, new)
     head = 0
@@ -70,7 +71,8 @@ def shortest_script(old: Sequence, new: Sequence) -> list[Edit]:
     reach, rounds = {1: 0}, []
     for d in range(n + m + 1):
         if d > MOST_EDITS:
-            return start + _shifted(between_anchors(x, y, rough_anchors(x, y), replaced), head, head) + ends
+            del rounds, reach
+            return start + _shifted(between_anchors(x, y, common_subsequence(x, y), replaced), head, head) + ends
         now: dict[int, int] = {}
         for k in range(-d, d + 1, 2):
             down = k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1))
@@ -128,18 +130,70 @@ def replaced(old: Sequence, new: Sequence) -> list[Edit]:
     return [("delete", i, -1) for i in range(len(old))] + [("insert", -1, j) for j in range(len(new))]
 
 
-def rough_anchors(old: Sequence, new: Sequence) -> list[tuple[int, int]]:
-    """The k-th occurrence of an element with its k-th on the other side, as far as they keep their order."""
+def _bit_rows(x: Sequence, y: Sequence) -> Iterator[int]:
+    """After each element of x: the places of y, as bits, where the longest common subsequence does not grow."""
     places: dict = {}
-    for j, x in enumerate(new):
-        places.setdefault(x, []).append(j)
-    used: Counter = Counter()
-    pairs = []
-    for i, x in enumerate(old):
-        if used[x] < len(places.get(x, ())):
-            pairs.append((i, places[x][used[x]]))
-            used[x] += 1
-    return [pairs[k] for k in longest_increasing([j for _, j in pairs])]
+    for j, e in enumerate(y):
+        places.setdefault(e, []).append(j)
+    width = (len(y) + 7) // 8
+
+    def mask(e) -> int:
+        bits = bytearray(width)
+        for j in places[e]:
+            bits[j >> 3] |= 1 << (j & 7)
+        return int.from_bytes(bits, "little")
+
+    # Masks of the most frequent elements are kept, as many as ROW_CELLS bits hold.
+    often = heapq.nlargest(ROW_CELLS // (8 * width + 1), set(x) & places.keys(), key=lambda e: len(places[e]))
+    masks = {e: mask(e) for e in often}
+    full = (1 << len(y)) - 1
+    row = full
+    for e in x:
+        if e in places:
+            both = row & (masks[e] if e in masks else mask(e))
+            row = ((row + both) | (row - both)) & full
+        yield row
+
+
+def _lengths(x: Sequence, y: Sequence) -> np.ndarray:
+    """Lengths of the longest common subsequence of x and the first 0, 1, ... elements of y."""
+    row = (1 << len(y)) - 1
+    for row in _bit_rows(x, y):  # noqa: B007
+        pass
+    flat = np.unpackbits(np.frombuffer(row.to_bytes((len(y) + 7) // 8, "little"), np.uint8), count=len(y), bitorder="little")
+    return np.concatenate(([0], np.cumsum(1 - flat.astype(np.int64))))
+
+
+def common_subsequence(x: Sequence, y: Sequence) -> list[tuple[int, int]]:
+    """Places (in x, in y) of a longest common subsequence, of inputs of any length.
+
+    Bit-parallel rows, one whole number each. x is halved and y cut where both
+    halves' lengths add up to most, until a part's rows fit ROW_CELLS bits; then they
+    are kept and walked back.
+    """
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        i, p, j, q = todo.pop()
+        if i == p or j == q:
+            continue
+        if p - i > 1 and (p - i) * (q - j) > ROW_CELLS:
+            half = (i + p) // 2
+            cut = j + int((_lengths(x[i:half], y[j:q]) + _lengths(x[half:p][::-1], y[j:q][::-1])[::-1]).argmax())
+            todo += [(half, p, cut, q), (i, half, j, cut)]
+            continue
+        rows = [(1 << (q - j)) - 1, *_bit_rows(x[i:p], y[j:q])]
+        found, a, b = [], p - i, q - j
+        while a and b:
+            if rows[a] >> (b - 1) & 1:
+                b -= 1
+            elif not rows[a - 1] >> (b - 1) & 1:
+                a -= 1
+            else:
+                a, b = a - 1, b - 1
+                found.append((i + a, j + b))
+        out += found[::-1]
+    return out
 
 
 def unique_anchors(old: Sequence, new: Sequence) -> list[tuple[int, int]]:
