@@ -19,8 +19,6 @@ from treeloom.plans.tree_queries import EXACT_SQL, HASHES_SQL, _exact, _hashed,
 from treeloom.sources.tables import LINES_SQL, line_rule, line_versions, lines, table
 
 QUERIES, SQL = {}, {}
-#: Pairs of children beyond which a tree edit is not tried, as in the comparison's budget.
-MOST_TREE_CELLS = 10_000
 
 
 def query(sql: str | None = None):
@@ -409,10 +407,8 @@ def tree_edit_matches(spark, sf_dir):
                     by_id[x["side"], x["node_id"]] = node
                     up = by_id.get((x["side"], x["parent_id"]))
                     (up["children"] if up else forests[x["side"]]).append(node)
-                if max(len(f[0]["children"]) if f else 0 for f in forests.values()) ** 2 > MOST_TREE_CELLS:
-                    continue
                 kind = lambda n: n["label"].split("|", 1)[0]
-                found, _ = kernels.tree_edit_matches(forests["old"], forests["new"], lambda n: n["children"], lambda a, b: kind(a) == kind(b), lambda a, b: 0.0 if a["label"] == b["label"] else 0.5)
+                found, _ = kernels.tree_edit_matches(forests["old"], forests["new"], lambda n: n["children"], lambda a, b: kind(a) == kind(b), lambda a, b: 0.0 if a["label"] == b["label"] else 0.5, kinds=lambda n: n["label"])
                 out += [(pair_id, a["id"], b["id"]) for a, b in found]
             a, b, c = zip(*out, strict=True) if out else ((),) * 3
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.string())], ["pair_id", "old_id", "new_id"])

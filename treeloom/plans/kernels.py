@@ -7,9 +7,11 @@ Spark spreads pairs over executors and each kernel sees one pair at a time.
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 
@@ -20,6 +22,8 @@ Edit = tuple[str, int, int]
 SHORT, MOST_CELLS, HECKEL_RATIO = 80, 6400, 0.6
 #: Edits beyond which a shortest script is found by rows of bits, and cells of which the rows are kept at one time.
 MOST_EDITS, ROW_CELLS = 2000, 1 << 28
+#: Cells of a tree edit's table beyond which only some of its rows are kept.
+MOST_TREE_CELLS = 10_000
 
 
 def interned(old: Sequence, new: Sequence) -> tuple[list[int], list[int]]:
@@ -288,10 +292,15 @@ def optimal_assignment(costs: Sequence[Sequence[float | None]]) -> list[tuple[in
     return sorted((int(i), int(j)) for j, i in enumerate(owner) if i < n and j < m and real[i, j])
 
 
-def tree_edit_matches(old: list, new: list, children: Callable, matchable: Callable, relabel: Callable, delete: float = 1.0, insert: float = 1.0) -> tuple[list[tuple], float]:
+def tree_edit_matches(
+    old: list, new: list, children: Callable, matchable: Callable, relabel: Callable, delete: float = 1.0, insert: float = 1.0, kinds: Callable | None = None
+) -> tuple[list[tuple], float]:
     """(matched nodes, cost) of a constrained edit between two ordered forests: matched nodes' children are compared with each other.
 
     matchable(a, b) and relabel(a, b) judge nodes; a subtree is deleted or inserted as a whole, node by node in cost.
+    Of forests beyond MOST_TREE_CELLS each so many rows of the table are kept and the rows between
+    are made again on the way back, so memory grows with the length to the power of 1.5. There, nodes
+    of equal kinds(node) are judged once, for all; it must tell apart what the callables do.
     """
     size: dict[int, int] = {}
     pair_cost: dict[tuple[int, int], tuple[float, list]] = {}
@@ -301,17 +310,21 @@ def tree_edit_matches(old: list, new: list, children: Callable, matchable: Calla
             size[id(x)] = 1 + sum(map(count, children(x)))
         return size[id(x)]
 
+    def judge(a, b) -> tuple[float, list]:
+        if not matchable(a, b):
+            return float("inf"), []
+        cost, inner = forest(children(a), children(b))
+        return relabel(a, b) + cost, [(a, b), *inner]
+
     def node(a, b) -> tuple[float, list]:
         key = (id(a), id(b))
         if key not in pair_cost:
-            if matchable(a, b):
-                cost, inner = forest(children(a), children(b))
-                pair_cost[key] = (relabel(a, b) + cost, [(a, b), *inner])
-            else:
-                pair_cost[key] = (float("inf"), [])
+            pair_cost[key] = judge(a, b)
         return pair_cost[key]
 
     def forest(xs: list, ys: list) -> tuple[float, list]:
+        if len(xs) * len(ys) > MOST_TREE_CELLS:
+            return long_forest(xs, ys)
         table = np.zeros((len(xs) + 1, len(ys) + 1))
         step = np.zeros(table.shape, np.int8)
         table[1:, 0] = np.cumsum([delete * count(x) for x in xs])
@@ -335,10 +348,80 @@ def tree_edit_matches(old: list, new: list, children: Callable, matchable: Calla
             i, j = i - (how in (1, 3)), j - (how in (2, 3))
         return float(table[-1, -1]), found
 
+    def long_forest(xs: list, ys: list) -> tuple[float, list]:
+        added = np.cumsum([0.0, *(insert * count(y) for y in ys)])
+        costs = _pair_costs(xs, ys, children, matchable, relabel, delete, insert, kinds) if kinds else None
+        if costs is None:
+            costs = lambda i: np.array([judge(xs[i], y)[0] for y in ys])
+
+        def row_after(row: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+            gone, kept = row + delete * count(xs[i]) - added, np.append(np.inf, row[:-1] + costs(i)) - added
+            best = np.minimum.accumulate(np.minimum(gone, kept))
+            come = np.append(np.inf, best[:-1])
+            return best + added, np.where(kept < np.minimum(gone, come), 3, np.where(come < gone, 2, 1)).astype(np.int8)
+
+        every = math.isqrt(len(xs))
+        saved, row = [], added
+        for i in range(len(xs)):
+            if i % every == 0:
+                saved.append(row)
+            row = row_after(row, i)[0]
+        cost, parts, j = float(row[-1]), [], len(ys)
+        for block in reversed(range(len(saved))):
+            row, steps = saved[block], []
+            for i in range(block * every, min(len(xs), (block + 1) * every)):
+                row, how = row_after(row, i)
+                steps.append(how)
+            for k in reversed(range(len(steps))):
+                while steps[k][j] == 2:
+                    j -= 1
+                if steps[k][j] == 3:
+                    j -= 1
+                    parts.append(judge(xs[block * every + k], ys[j])[1])
+        return cost, [m for part in reversed(parts) for m in part]
+
     cost, found = forest(old, new)
     return found, cost
 
 
+def _pair_costs(xs: list, ys: list, children: Callable, matchable: Callable, relabel: Callable, delete: float, insert: float, kinds: Callable) -> Callable | None:
+    """costs(i) of matching xs[i] with each of ys, all of ys at one time; None where a child has children of its own."""
+    if any(children(c) for side in (xs, ys) for n in side for c in children(n)):
+        return None
+    by_kind: dict = {}
+    of = lambda n: by_kind.setdefault(kinds(n), (len(by_kind), n))[0]
+    heads, width = np.array([of(y) for y in ys]), max(len(children(y)) for y in ys)
+    below, lengths = np.full((width, len(ys)), -1), np.array([len(children(y)) for y in ys])
+    for j, y in enumerate(ys):
+        for k, c in enumerate(children(y)):
+            below[k, j] = of(c)
+    theirs = [n for _, n in by_kind.values()]
+
+    @lru_cache(maxsize=max(16, (1 << 23) // len(theirs)))
+    def against(kind) -> np.ndarray:
+        a = mine[kind]
+        return np.array([relabel(a, b) if matchable(a, b) else np.inf for b in theirs] + [np.inf])
+
+    mine: dict = {}
+
+    def judged(n) -> np.ndarray:
+        kind = kinds(n)
+        mine.setdefault(kind, n)
+        return against(kind)
+
+    def costs(i: int) -> np.ndarray:
+        x = xs[i]
+        rows = [np.full(len(ys), k * insert) for k in range(width + 1)]
+        for c in children(x):
+            one, now = judged(c), [rows[0] + delete]
+            for k in range(width):
+                now.append(np.minimum(np.minimum(rows[k + 1] + delete, now[k] + insert), rows[k] + one[below[k]]))
+            rows = now
+        return judged(x)[heads] + np.stack(rows)[lengths, np.arange(len(ys))]
+
+    return costs
+
+
 def non_crossing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Pairs in order of the first, without those that do not raise the second."""
     out, top = [], -1
