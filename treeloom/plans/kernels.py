@@ -134,27 +134,30 @@ def replaced(old: Sequence, new: Sequence) -> list[Edit]:
     return [("delete", i, -1) for i in range(len(old))] + [("insert", -1, j) for j in range(len(new))]
 
 
-def _bit_rows(x: Sequence, y: Sequence) -> Iterator[int]:
-    """After each element of x: the places of y, as bits, where the longest common subsequence does not grow."""
+def bit_masks(x: Sequence, y: Sequence) -> Callable:
+    """mask(e): the places of e in y, as bits of a whole number. Those of x's most frequent elements are kept, as many as ROW_CELLS bits hold."""
     places: dict = {}
     for j, e in enumerate(y):
         places.setdefault(e, []).append(j)
     width = (len(y) + 7) // 8
 
-    def mask(e) -> int:
+    def made(e) -> int:
         bits = bytearray(width)
         for j in places[e]:
             bits[j >> 3] |= 1 << (j & 7)
         return int.from_bytes(bits, "little")
 
-    # Masks of the most frequent elements are kept, as many as ROW_CELLS bits hold.
     often = heapq.nlargest(ROW_CELLS // (8 * width + 1), set(x) & places.keys(), key=lambda e: len(places[e]))
-    masks = {e: mask(e) for e in often}
-    full = (1 << len(y)) - 1
-    row = full
+    masks = {e: made(e) for e in often}
+    return lambda e: masks[e] if e in masks else made(e) if e in places else 0
+
+
+def _bit_rows(x: Sequence, y: Sequence) -> Iterator[int]:
+    """After each element of x: the places of y, as bits, where the longest common subsequence does not grow."""
+    mask = bit_masks(x, y)
+    row = full = (1 << len(y)) - 1
     for e in x:
-        if e in places:
-            both = row & (masks[e] if e in masks else mask(e))
+        if both := row & mask(e):
             row = ((row + both) | (row - both)) & full
         yield row
 

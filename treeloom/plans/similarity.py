@@ -9,20 +9,33 @@ from collections import Counter
 
 from treeloom.functions.similarity import CONTAINER, HEADING_FULL, HEADING_LEAF, PARAGRAPH
 from treeloom.plans.document import Node, grams
+from treeloom.plans.kernels import bit_masks
 
 #: From so many tokens on sets are compared by minimum hashes; and how many.
 MINHASH_FROM, MINHASHES = 256, 64
-#: Tokens up to which sequences are compared.
-MOST_SEQUENCE = 400
+#: Characters up to which code is compared by character, else by line.
+CODE_CHARS = 5000
 
 
 def levenshtein(a, b) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Edit distance, by rows of bits: one step an element of a, over whole numbers of len(b) bits."""
+    head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[head:], b[head:]
+    tail = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b)
+    mask = bit_masks(a, b)
+    full, last, distance = (1 << len(b)) - 1, len(b) - 1, len(b)
+    more, less = full, 0
+    for x in a:
+        equal = mask(x)
+        zero = (((equal & more) + more) ^ more) | equal | less
+        up, down = less | (full & ~(zero | more)), more & zero
+        distance += (up >> last & 1) - (down >> last & 1)
+        up = up << 1 | 1
+        more, less = (down << 1 | ~(zero | up)) & full, up & zero & full
+    return distance
 
 
 def sequence(a, b) -> float:
@@ -75,10 +88,10 @@ def content(a: Node, b: Node) -> float:
     length, so the costly comparison only runs where it can raise the result.
     """
     if not a.tokens and not b.tokens:
-        return sequence(a.text[:2000], b.text[:2000])
+        return sequence(a.text, b.text)
     best = max(tokens(a.tokens, b.tokens), multisets(a.grams, b.grams))
     longest = max(len(a.tokens), len(b.tokens))
-    if longest <= MOST_SEQUENCE and sum((a.counts & b.counts).values()) / longest > best:
+    if sum((a.counts & b.counts).values()) / longest > best:
         best = max(best, sequence(a.tokens, b.tokens))
     return best
 
@@ -119,9 +132,8 @@ def similarity(a: Node, b: Node, context: float = 1.0) -> float:
         return _weighted(a, b, context, CONTAINER)
     if a.kind == "code":
         x, y = ([line.strip() for line in (n.value or "").split("\n") if line.strip()] for n in (a, b))
-        chars = sequence(a.text, b.text) if max(len(a.text), len(b.text)) <= 1000 else 0.0
-        lines = sequence(x, y) if max(len(x), len(y)) <= 500 else 0.0
-        return min(1.0, max(sets(x, y), lines, chars) + 0.1 * (a.lang == b.lang))
+        chars = sequence(a.text, b.text) if max(len(a.text), len(b.text)) <= CODE_CHARS else 0.0
+        return min(1.0, max(sets(x, y), sequence(x, y), chars) + 0.1 * (a.lang == b.lang))
     if a.kind == "table":
         return _table(a, b)
     if a.kind in ("definition", "footnote"):
@@ -130,7 +142,7 @@ def similarity(a: Node, b: Node, context: float = 1.0) -> float:
         if a.kind == "definition":
             return 0.5 * (a.url == b.url) + 0.25 * (a.link_title == b.link_title) + 0.25 * (a.identifier == b.identifier)
         return content(a, b)
-    return 0.95 if a.hashes["content"] == b.hashes["content"] else tokens(a.tokens, b.tokens) if a.tokens or b.tokens else sequence(a.text[:2000], b.text[:2000])
+    return 0.95 if a.hashes["content"] == b.hashes["content"] else tokens(a.tokens, b.tokens) if a.tokens or b.tokens else sequence(a.text, b.text)
 
 
 def words_of(x: str) -> list[str]:
