@@ -19,9 +19,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from treeloom.llm import bpe, content_sort, ngram_join, packing, ppm, secrets
-from treeloom.llm.common import checkpoint_dir, table
+from treeloom.llm.common import checkpoint_dir, checkpointed, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +34,23 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a doc_id, or with one that repeats, stay if their doc_id does: their copies went before."""
-    gone = ngram_join.linked(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Rows go by their doc_id; those without one, or with one that repeats, go by their text too, and of
+    several first ones of a group the one with the least md5 stays."""
+    rows = checkpointed(ngram_join.linked(docs, classes=True))
+    often = checkpointed(rows.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    gone = rows.filter("doc_id <> component_id").select("doc_id").distinct().join(often, "doc_id", "left_anti")
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if often.isEmpty() and docs.filter("doc_id IS NULL").isEmpty():
+        return left
+
+    odd = docs.filter("doc_id IS NULL").unionByName(docs.join(often, "doc_id", "left_semi").select(docs.columns))
+    odd = ngram_join.classes_of(odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).filter("class IS NOT NULL").select("doc_id", "class", F.md5("text").alias("mark"))
+    odd = checkpointed(odd.join(rows.filter("class IS NOT NULL").select("class", "component", "component_id").distinct(), "class"))
+    first = odd.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("mark").alias("first"))
+    lost = odd.join(first, "component", "left").filter(~F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("mark") != F.col("first")))
+    lost = lost.select(F.col("doc_id").alias("lost_id"), F.col("mark").alias("lost_mark")).distinct()
+    same = (F.md5(F.coalesce("text", F.lit(""))) == F.col("lost_mark")) & F.col("doc_id").eqNullSafe(F.col("lost_id"))
+    return left.join(lost, same, "left_anti")
 
 
 def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
