@@ -58,7 +58,7 @@ def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs, bpe.default_path())
+    return packing.packed(docs, bpe.default_path()).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("secrets", secret), ("packing", pack)]

@@ -1,66 +1,46 @@
 """Packing of documents' tokens into sequences of a fixed length.
 
-Documents are encoded (``bpe``), closed with an end id and cut into pieces of at
-most one sequence. Only the pieces' sizes are shuffled: first-fit decreasing runs
-on its own in each of the randomised groups of documents, finding the first bin
-with room in a tournament tree of the bins' capacities.
-
-Whole pieces fill a sequence of their own. A group leaves one sequence or two
-unfilled; with thousands of documents to a group, that is the padding.
+Documents are dealt at random to partitions and put in a fixed order there, so
+that each run of GROUP documents of a partition is a randomised group. A group's
+documents are encoded (``bpe``), closed with an end id and cut into pieces of at
+most one sequence; first-fit decreasing runs on the group alone, finding the
+first bin with room in a tournament tree of the bins' capacities. Texts are
+shuffled once, ids never.
+
+Whole pieces fill a sequence of their own and leave at once; of each document at
+most one shorter piece waits for its group, so a task holds GROUP such pieces. A
+group leaves one sequence or two unfilled; with thousands of documents to a
+group, that is the padding.
 
 Defined cases: a null or empty text is the end id alone; a text beyond one
-sequence gives several pieces; rows that repeat are packed each; a null doc_id
-is a value like any other; ties in size go by doc_id, then start; an empty table
-gives an empty result; further columns are ignored.
+sequence gives several pieces; rows that repeat are packed each; ids of any type
+and size pass through unchanged, nulls included, and no row's place depends on
+its id; ties in size go by the order of the deal; an empty table gives an empty
+result; further columns are ignored. docs must give the same rows in the same
+order when a lost task runs again, as tables and checkpoints do.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.llm import bpe
-from treeloom.llm.common import checkpointed, text_slices, texts_of
+from treeloom.llm.common import text_slices, texts_of
 
 LENGTH = 4096
 END = 2
-#: Documents to a group, on average.
+#: Documents to a group.
 GROUP = 4096
 #: Bytes of text that are split into words at one time.
 SLICE = 1 << 20
 
 
-def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids and the end id, cut every length ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of = bpe.WordTable(own := bpe.loaded(path), bpe.id_bytes)
-        close = np.array([end], "<u4").tobytes()
-        for batch in batches:
-            for i, j, texts in text_slices(batch.column("text"), SLICE):
-                docs = [own.split(t) for t in texts]
-                known = words_of.of(docs)
-                rows = []
-                for k, words in enumerate(docs, i):
-                    ids = memoryview(b"".join([known[w] for w in words]) + close)
-                    n = len(ids) // 4
-                    rows += [(k, s, min(length, n - s), zlib.crc32(ids[4 * s : 4 * (s + length)]), n) for s in range(0, n, length)]
-                at, *rest = map(np.array, zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(at)), *(pa.array(x, pa.int64()) for x in rest)],
-                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
-                )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return texts_of(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
-
-
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each item; sizes are placed from large to small, equal ones in their given order.
 
@@ -89,17 +69,104 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
+class _Pieces:
+    """Pieces in the order they came in; ids as little-endian unsigned 32-bit numbers."""
+
+    def __init__(self):
+        self.doc_ids, self.start, self.doc_tokens, self.ids = [], [], [], []
+
+    def add(self, doc_ids: pa.Array, rows: list[tuple[int, int, int, bytes]]) -> None:
+        """rows: (place in doc_ids, start, tokens of the document, ids)."""
+        if rows:
+            at, start, tokens, ids = zip(*rows, strict=True)
+            self.doc_ids.append(doc_ids.take(pa.array(at, pa.int64())))
+            self.start += start
+            self.doc_tokens += tokens
+            self.ids += ids
+
+    def sizes(self) -> np.ndarray:
+        return np.fromiter(map(len, self.ids), np.int64, len(self.ids)) // 4
+
+
+Placed = tuple[_Pieces, np.ndarray, np.ndarray]
+
+
+def _placed(batches: Iterator[pa.RecordBatch], path: str, length: int, end: int, group: int) -> Iterator[Placed]:
+    """(pieces, sequence_id, offset): whole pieces as they come, the others group by group."""
+    words_of = bpe.WordTable(own := bpe.loaded(path), bpe.id_bytes)
+    close = np.array([end], "<u4").tobytes()
+    free = TaskContext.get().partitionId() << 32
+    waiting, held = _Pieces(), 0
+    for batch in batches:
+        doc_ids = batch.column("doc_id")
+        for i, _, texts in text_slices(batch.column("text"), SLICE):
+            docs = [own.split(t) for t in texts]
+            known = words_of.of(docs)
+            whole, short = [], []
+            for k, words in enumerate(docs, i):
+                ids = b"".join([*[known[w] for w in words], close])
+                n = len(ids) // 4
+                full = n // length * length
+                whole += [(k, s, n, ids[4 * s : 4 * (s + length)]) for s in range(0, full, length)]
+                if full < n:
+                    short.append((k, full, n, ids[4 * full :]))
+            if whole:
+                out = _Pieces()
+                out.add(doc_ids, whole)
+                yield out, free + np.arange(len(whole)), np.zeros(len(whole), np.int64)
+                free += len(whole)
+            waiting.add(doc_ids, short)
+            held += len(texts)
+            if held >= group:
+                bins, offsets = first_fit_decreasing(waiting.sizes(), length)
+                yield waiting, free + bins, offsets
+                free += int(bins.max(initial=-1)) + 1
+                waiting, held = _Pieces(), 0
+    if waiting.ids:
+        bins, offsets = first_fit_decreasing(waiting.sizes(), length)
+        yield waiting, free + bins, offsets
+
+
+def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) in random partitions, in a fixed order there; by the rows' places, so that neither ids nor texts that repeat meet."""
+    deal = F.xxhash64(F.monotonically_increasing_id(), F.lit(17))
+    return texts_of(docs, id_col, text_col).withColumn("deal", deal).repartition("deal").sortWithinPartitions("deal").select("doc_id", "text")
+
+
 def packed(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    groups = max(1, -(-docs.count() // group))
-    # Written once: a group's members must not change when a lost task runs again.
-    cut = checkpointed(pieces(docs, path, length, end, id_col, text_col).withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(groups))))
+    """One row per piece: doc_id, start, length, ids (binary, little-endian unsigned 32 bits each), doc_tokens, sequence_id, offset."""
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
-        bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), length)
-        return pdf.drop(columns="group").assign(sequence_id=(pdf["group"].to_numpy() << 32) + bins, offset=offsets)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pieces, sequence, offset in _placed(batches, path, length, end, group):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays(pieces.doc_ids), pa.array(pieces.start, pa.int64()), pa.array(pieces.sizes()), pa.array(pieces.ids, pa.binary()),
+                    pa.array(pieces.doc_tokens, pa.int64()), pa.array(sequence), pa.array(offset),
+                ],
+                ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+            )
+            pa.default_memory_pool().release_unused()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return cut.groupBy("group").applyInPandas(place, schema)
+    return _dealt(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+
+
+def sequences(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, group: int = GROUP, pad: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per sequence of ``packed``: sequence_id, n_tokens, ids (array<int> of length ids, filled with pad)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pieces, sequence, offset in _placed(batches, path, length, end, group):
+            order = np.lexsort((offset, sequence))
+            names, first = np.unique(sequence[order], return_index=True)
+            sizes = np.add.reduceat(pieces.sizes()[order], first)
+            ids = np.full((len(names), length), pad, np.int32)
+            ids[np.arange(length) < sizes[:, None]] = np.frombuffer(b"".join([pieces.ids[k] for k in order]), "<u4")
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1) * length, pa.int32()), pa.array(ids.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sizes), rows], ["sequence_id", "n_tokens", "ids"])
+
+    return _dealt(docs, id_col, text_col).mapInArrow(run, "sequence_id long, n_tokens long, ids array<int>")
+
+
+def digests(rows: DataFrame) -> DataFrame:
+    """rows of ``packed`` with the ids' crc32 in place of the ids."""
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -39,7 +39,7 @@ def op8(spark, sf_dir):
 
 
 def op9(spark, sf_dir):
-    return packing.packed(table(spark, sf_dir, "documents"), bpe.default_path())
+    return packing.digests(packing.packed(table(spark, sf_dir, "documents"), bpe.default_path()))
 
 
 def op10(spark, sf_dir):
