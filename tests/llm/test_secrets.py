@@ -1,6 +1,7 @@
 import hashlib
 import re
 import sys
+import time
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -64,3 +65,30 @@ def test_redact_keeps_rows_and_columns(spark):
     assert "[secret]' and [secret]" in texts and None in texts and "word " * 3000 in texts
     assert all(r["n_chars"] == len(r["text"]) for r in out.collect() if r["text"] is not None)
     assert secrets.redact(df.limit(0)).count() == 0
+
+
+def test_many_matches_in_one_text_take_little_time(spark):
+    text = "🎉 password=abcdefgh1 é " * 100_000
+    df = spark.createDataFrame([(1, text, "en", "s", len(text))], SCHEMA)
+    secrets.report(df.limit(0)).collect()
+    start = time.time()
+    r = secrets.report(df).first()
+    assert r["n_assign"] == 100_000 and time.time() - start < 15
+    want = [m.span() for m in ASSIGN.finditer(text)]
+    assert r["spans"] == ",".join(f"assign:{a}:{b}" for a, b in want)
+    start = time.time()
+    assert secrets.redact(df).first()["text"] == "🎉 [secret] é " * 100_000 and time.time() - start < 15
+
+
+def test_rows_without_ids_and_with_repeated_ones(spark):
+    some = [(None, SECRETS[0]), (None, "clean"), (None, None), (4, SECRETS[1]), (4, SECRETS[4]), (4, "clean"), (4, "clean")] + [(None, SECRETS[0])] * 30
+    df = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"] or 0, r["base_sha256"]) for r in secrets.report(df).collect())
+    assert got == sorted((d or 0, brute(t)[3]) for d, t in some)
+    assert sorted(map(repr, (r["doc_id"] for r in secrets.redact(df).collect()))) == sorted(repr(d) for d, _ in some)
+
+
+def test_a_key_on_very_many_rows_is_salted(spark):
+    some = [(7, SECRETS[0])] * 3000 + [(i, "clean") for i in range(300)]
+    got = secrets.report(spark.createDataFrame(some, "doc_id long, text string")).groupBy("base_sha256").count().collect()
+    assert {r["base_sha256"]: r["count"] for r in got} == {brute(SECRETS[0])[3]: 3000, brute("clean")[3]: 300}

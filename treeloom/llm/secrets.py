@@ -1,28 +1,34 @@
 """Secret scans over a trigram inverted index, with DataFrame operations only.
 
 Each rule's regular expression yields a Boolean trigram query (``trigrams``).
-Postings (trigram, document) are made for the trigrams of those queries, the
-postings of a conjunction are intersected by document, and the rule's expression
-runs on the candidates alone. A rule without a mandatory trigram scans all texts.
+Postings (trigram, key) are made for the trigrams of those queries, the postings of
+a conjunction are intersected by key, and the rule's expression runs on the
+candidates alone. A rule without a mandatory trigram scans all texts.
 
-Index and verification are keyed by doc_id, so no list of documents meets in one
-task: a posting is a row, and an intersection is a count over one document's rows.
+A row's key is a hash of its id and text. Two texts that share a key share their
+candidate rules, which the expressions then verify, so a collision changes nothing.
+A posting is a row, and an intersection is a count over one key's rows, so no list
+of documents meets in one task. Keys with very many rows are salted.
+
+A text with n matches takes time in proportion to its length and n * sqrt(n):
+places are running sums, made block by block.
 
 Defined cases: a null text counts as empty and gives zero counts and empty
-spans; rows that repeat a doc_id are each judged by their own text; a null
-doc_id is a key like any other; an empty table gives an empty result; ties in
-start order go by the order of the rules; further columns are ignored.
+spans; rows that repeat an id are each judged by their own text, and so are rows
+without one; an empty table gives an empty result; ties in start order go by the
+order of the rules; further columns are ignored by ``report`` and kept by ``redact``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.llm import trigrams
-from treeloom.llm.common import checkpointed, texts_of, unused
+from treeloom.llm.common import hot_keys, salted_join
 
 
 @dataclass(frozen=True)
@@ -48,65 +54,90 @@ RULES = (
 
 
 def index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Postings (gram, doc_id) of the trigrams that the rules ask for; docs: doc_id, text."""
+    """Postings (gram, key) of the trigrams that the rules ask for; docs: key, text."""
     grams = sorted({g for r in rules for q in (trigrams.query(r.pattern) or ()) for g in q})
-    low = F.lower("text")
-    held = F.array_compact(F.array(*(F.when(low.contains(g), F.lit(g)) for g in grams)))
-    return docs.select("doc_id", F.explode(held).alias("gram"))
+    held = F.array_compact(F.array(*(F.when(F.col("low").contains(g), F.lit(g)) for g in grams)))
+    return docs.select("key", F.lower("text").alias("low")).select("key", F.explode(held).alias("gram"))
 
 
 def candidates(spark: SparkSession, postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, rules): the indexed rules whose query the postings of a document fulfil."""
+    """(key, rules): the indexed rules whose query the postings of a key fulfil."""
     terms, sizes = [], {}
     for r, rule in enumerate(rules):
         for k, q in enumerate(sorted(map(sorted, trigrams.query(rule.pattern) or ()))):
             sizes[r, k] = len(q)
             terms += [(r, k, g) for g in q]
+    # Both tables have a row for each trigram of the rules.
     asked = F.broadcast(spark.createDataFrame(terms, "rule int, part int, gram string"))
     need = F.broadcast(spark.createDataFrame([(r, k, n) for (r, k), n in sizes.items()], "rule int, part int, need int"))
     met = (
         postings.join(asked, "gram")
-        .groupBy("doc_id", "rule", "part").agg(F.countDistinct("gram").alias("held"))
+        .groupBy("key", "rule", "part").agg(F.countDistinct("gram").alias("held"))
         .join(need, ["rule", "part"]).filter("held = need")
     )
-    return met.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
+    return met.groupBy("key").agg(F.collect_set("rule").alias("rules"))
+
+
+def _with(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
+def _running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array's numbers what step makes of 0 and all numbers before it; step is associative.
+
+    A block has about as many numbers as there are blocks, and only a block's results grow one by one.
+    """
+
+    def grown(own: Column, first: Column) -> Column:
+        return F.aggregate(own, F.array(first), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+
+    def whole(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda k: F.slice(v, k * width + 1, width))
+        return _with(blocks, lambda cut: _with(
+            grown(F.transform(cut, lambda own: F.aggregate(own, F.lit(0), step)), F.lit(0)),
+            lambda firsts: F.flatten(F.transform(cut, lambda own, k: F.slice(grown(own, F.get(firsts, k)), 1, F.size(own)))),
+        ))
+
+    return _with(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(v))
 
 
-def _found(rule: Rule, text: Column) -> Column:
-    """Spans (start, end) of the rule's matches in text, in code points."""
+def _found(rule: Rule, text: Column, length: Callable[[Column], Column]) -> Column:
+    """Spans (start, end) of the rule's matches in text, in the unit of length."""
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     kept = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else hits
     gaps = F.split(text, rule.pattern, -1)
-    parts = F.arrays_zip(hits.alias("hit"), kept.alias("kept"), F.slice(gaps, 1, F.size(hits)).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    sizes = F.arrays_zip(
+        F.transform(hits, length).alias("hit"), F.transform(kept, F.length).alias("kept"), F.slice(F.transform(gaps, length), 1, F.size(hits)).alias("gap")
+    )
 
-    def step(acc, part):
-        begin = acc["at"] + F.length(part["gap"])
-        end = begin + F.length(part["hit"])
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(part["kept"]) >= rule.least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def spans(parts: Column) -> Column:
+        before = _running(F.transform(parts, lambda p: p["gap"] + p["hit"]), lambda a, b: a + b)
+        placed = F.zip_with(parts, before, lambda p, at: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + p["hit"]).alias("end"), p["kept"].alias("kept")))
+        return F.transform(F.filter(placed, lambda s: s["kept"] >= rule.least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["spans"])
+    return _with(sizes, spans)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' rows as (doc_id, text, found), found holding one array of spans (start, end) for each rule."""
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", length: Callable[[Column], Column] = F.length) -> DataFrame:
+    """docs' rows as (row, text, found): all columns as a struct, the text, and an array of spans (start, end) for each rule."""
     spark = docs.sparkSession
-    base = texts_of(docs, id_col, text_col)
-    asked = candidates(spark, index(base, rules), rules).select(F.col("doc_id").alias("candidate"), "rules")
-    rows = base.join(asked, F.col("doc_id").eqNullSafe(F.col("candidate")), "left").drop("candidate")
+    base = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
+    asked = candidates(spark, index(base, rules), rules)
+    hot = hot_keys(base.groupBy("key").agg(F.count("*").alias("n")), "key", docs.count())
+    rows = salted_join(base.withColumn("place", F.monotonically_increasing_id()), asked, "key", hot, "place")
     none = F.array().cast("array<struct<start:int,end:int>>")
     spans = []
     for r, rule in enumerate(rules):
-        found = F.when(F.col("text").rlike(rule.pattern), _found(rule, F.col("text"))).otherwise(none)
+        found = F.when(F.col("text").rlike(rule.pattern), _found(rule, F.col("text"), length)).otherwise(none)
         spans.append((found if trigrams.query(rule.pattern) is None else F.when(F.array_contains("rules", r), found).otherwise(none)).alias(rule.kind))
-    return rows.select("doc_id", "text", F.struct(*spans).alias("found"))
+    return rows.select("row", "text", F.struct(*spans).alias("found"))
 
 
 def ordered(rules: tuple[Rule, ...], only_base: bool = False) -> Column:
     """The spans of all rules as one array of (start, rank, end), in order."""
 
-
     def ranked(rank: int, kind: str) -> Column:
         return F.transform(f"found.{kind}", lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end")))
 
@@ -120,38 +151,32 @@ def _joined(rules: tuple[Rule, ...], only_base: bool) -> Column:
 
 def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     counts = [F.size(f"found.{r.kind}").cast("long").alias(f"n_{r.kind}") for r in rules if r.base]
-    return scan(docs, rules).select("doc_id", *counts, F.sha2(_joined(rules, True), 256).alias("base_sha256"), _joined(rules, False).alias("spans"))
+    return scan(docs.select("doc_id", "text"), rules).select("row.doc_id", *counts, F.sha2(_joined(rules, True), 256).alias("base_sha256"), _joined(rules, False).alias("spans"))
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
-    """docs with every secret replaced by mark and n_chars, if there, set anew; all rows stay.
+def _redacted(text: Column, spans: Column, mark: str) -> Column:
+    """text without spans (in bytes, in order); those that overlap are covered by one mark."""
 
-    Spans that overlap are covered by one mark. Of rows that repeat a doc_id each
-    gets its own text back: they are told apart by their text's hash.
-    """
-    found = scan(docs, rules).filter(" OR ".join(f"size(found.{r.kind}) > 0" for r in rules))
-
-    def step(acc, s):
-        more = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(more, piece).otherwise(acc["out"]).alias("out"))
-
-    new = F.aggregate(ordered(rules), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    done = found.select("doc_id", F.xxhash64("text").alias("h"), F.struct(new.alias("x"), F.col("text").alias("t")).alias("y"))
-    done = done.select(F.col("doc_id").alias("_red_doc"), F.col("h").alias("_red_h"), F.concat(F.col("y.x.out"), F.substring("y.t", F.col("y.x.at") + 1, F.lit(2**31 - 1))).alias("_red_text"))
-    done = checkpointed(done.dropDuplicates(["_red_doc", "_red_h"]))
-    key = unused("red_key", docs.columns)
-    out = docs.withColumn(key, F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
-    out = out.join(done, out["doc_id"].eqNullSafe(F.col("_red_doc")) & (F.col(key) == F.col("_red_h")), "left")
-    text = F.coalesce(F.col("_red_text"), docs["text"])
+    def told(raw: Column, own: Column) -> Column:
+        ends = F.transform(own, lambda s: s["end"])
+        cut = lambda s, at: F.when(s["start"] >= at, F.concat(F.substring(raw, at + 1, s["start"] - at).cast("string"), F.lit(mark))).otherwise("")
+        tail = F.substring(raw, F.array_max(ends) + 1, F.octet_length(raw)).cast("string")
+        return F.concat(F.array_join(F.zip_with(own, _running(ends, lambda a, b: F.greatest(a, b)), cut), ""), tail)
+
+    return _with(text.cast("binary"), lambda raw: _with(spans, lambda own: told(raw, own)))
+
+
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
+    """docs with every secret replaced by mark and n_chars, if there, set anew; all rows stay."""
+    hit = " OR ".join(f"size(found.{r.kind}) > 0" for r in rules)
+    rows = scan(docs, rules, length=F.octet_length).withColumn("new", F.when(F.expr(hit), _redacted(F.col("text"), ordered(rules), mark)))
     columns = []
     for c in docs.columns:
+        old = F.col("row").getField(c)
         if c == "text":
-            columns.append(text.alias(c))
+            columns.append(F.coalesce("new", old).alias(c))
         elif c == "n_chars":
-            columns.append(F.when(F.col("_red_text").isNotNull(), F.length("_red_text").cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c))
+            columns.append(F.when(F.col("new").isNotNull(), F.length("new").cast(docs.schema[c].dataType)).otherwise(old).alias(c))
         else:
-            columns.append(docs[c])
-    return out.select(*columns)
-
-
+            columns.append(old.alias(c))
+    return rows.select(*columns)
