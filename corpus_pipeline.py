@@ -1,6 +1,6 @@
 """From raw documents to packed training sequences, in five stages.
 
-language     documents without a language, or with an unsure one, go (ppm)
+language     documents without a language, and those that mix languages or fit none, go (ppm)
 exact        of equal texts the one that the content sort keeps stays
 near         one document of each group of near-duplicates stays, the smallest doc_id
 secrets      secrets are replaced by a mark; no document goes

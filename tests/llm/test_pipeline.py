@@ -28,7 +28,7 @@ def test_stages_against_brute_force(spark, tmp_path):
 
     model = ppm.fit(ppm.sample(docs))
     judged = zip(some, *model.judge([t for _, t, *_ in some]))
-    left = [r for r, name, score in judged if name != "und" and score >= 0.5]
+    left = [r for r, name, score in judged if name != "und" and score >= ppm.LEAST]
     kept = {d for d, _, _, k, _ in exact_brute(left) if k}
     left = [r for r in left if r[0] in kept]
     kept = {d for d, _, c in near_brute(left) if d == c}

@@ -3,6 +3,7 @@ import random
 import sys
 import zlib
 from collections import Counter
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -10,61 +11,67 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from cases import AWKWARD, EXTRA, rows, widened
+from cases import AWKWARD, EXTRA, SCHEMA, rows, widened
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from treeloom.llm import ppm
 
 
-def brute_bits(training, text):
-    """Code length by walking the tree byte by byte; start marks are symbol -1. nodes: contexts of three that are kept."""
-    data, nodes = training
-    counts = [{} for _ in range(4)]
+def brute_bits(data, kept, text, order=ppm.ORDER):
+    """Code length by walking the tree byte by byte; kept: contexts of two symbols or more that are nodes. The start symbol is 256."""
+    start = [256] * order
+    counts = {}
     for t in data:
-        s = [-1, -1, -1, *t]
-        for i in range(3, len(s)):
-            for k in range(4):
-                counts[k].setdefault(tuple(s[i - k : i]), Counter())[s[i]] += 1
-    alphabet = sorted({b for own in nodes["all"] for b in own})
+        s = [*start, *t]
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                counts.setdefault(tuple(s[i - k : i]), Counter())[s[i]] += 1
 
+    @lru_cache(None)
     def p(context, b):
         k = len(context)
-        if k == 3 and context not in nodes["three"]:
+        if k >= 2 and context not in kept:
             return p(context[1:], b)
         shorter = (lambda x: p(context[1:], x)) if k else (lambda x: 1 / 256)
-        c = counts[k].get(context)
+        c = counts.get(context)
         if not c:
-            return shorter(b) if k else 1 / 256 / (sum(1 / 256 for _ in [-1, *alphabet]))
+            return shorter(b)
         n, q = sum(c.values()), len(c)
-        rest = sum(shorter(x) for x in [-1, *alphabet] if x not in c)
-        escape = q / (n + q) if rest else 0
-        return c[b] / n * (1 - escape) if b in c else escape * shorter(b) / rest
+        if b in c:
+            return c[b] / (n + q)
+        return q / (n + q) * shorter(b) / sum(shorter(x) for x in range(256) if x not in c)
 
-    s = [-1, -1, -1, *(b if b in alphabet else -1 for b in text)]
-    return sum(-math.log2(p(tuple(s[i - 3 : i]), s[i])) for i in range(3, len(s)))
+    s = [*start, *text]
+    return sum(-math.log2(p(tuple(s[i - order : i]), s[i])) for i in range(order, len(s)))
 
 
-def test_code_lengths_are_exact():
-    samples = {"x": ["abab cabc", "é ab", "abc abc"], "y": ["dede fefd", "ded ab"]}
-    model = ppm.fit(samples)
-    three = Counter()
+def nodes(samples, least=ppm.LEAST_SEEN, order=ppm.ORDER):
     kept = set()
     for texts in samples.values():
-        three = Counter()
+        seen = Counter()
         for t in texts:
-            s = [-1, -1, -1, *t.encode()]
-            three.update(tuple(s[i - 3 : i]) for i in range(3, len(s)))
-        kept |= {c for c, n in three.items() if n >= ppm.LEAST_SEEN}
-    nodes = {"three": kept, "all": [t.encode() for ts in samples.values() for t in ts]}
-    texts = ["ab cab", "ded fe", "zzz", "é", "", "ab" * 20, "é!d"]
-    got = model.lengths(texts)
+            s = [*[256] * order, *t.encode()]
+            seen.update(tuple(s[i - k : i]) for i in range(order, len(s)) for k in range(2, order + 1))
+        kept |= {c for c, n in seen.items() if n >= least}
+    return kept
+
+
+SAMPLES = {"x": ["abab cabc", "é ab", "abc abc"], "y": ["dede fefd", "ded ab"]}
+
+
+def test_code_lengths_are_exact():
+    model = ppm.fit(SAMPLES)
+    texts = ["ab cab", "ded fe", "zzz", "é", "", "ab" * 20, "é!d", "cabc abc ded"]
+    got = model.lengths([t.encode() for t in texts])
     for j, k in enumerate(model.languages):
         for i, t in enumerate(texts):
-            assert got[i, j] == pytest.approx(brute_bits(([x.encode() for x in samples[k]], nodes), t.encode()), rel=1e-4, abs=1e-4)
+            assert got[i, j] == pytest.approx(brute_bits([x.encode() for x in SAMPLES[k]], nodes(SAMPLES), t.encode()), rel=1e-4, abs=1e-4)
 
 
 def test_long_texts_are_priced_in_chunks(monkeypatch):
     model = ppm.fit({"x": ["abab cabc é " * 9], "y": ["dede fefd " * 9]})
-    texts = ["ab cab " * 50, "é", "", "ded fe" * 70, "abc"]
+    texts = [t.encode() for t in ["ab cab " * 50, "é", "", "ded fe" * 70, "abc"]]
     want = model.lengths(texts)
     for chunk in (1, 2, 3, 7, 100):
         monkeypatch.setattr(ppm, "CHUNK", chunk)
@@ -72,9 +79,30 @@ def test_long_texts_are_priced_in_chunks(monkeypatch):
 
 
 def test_probabilities_sum_to_one():
-    model = ppm.fit({"x": ["the cat sat on the mat " * 5], "y": ["der hund und die katze " * 5]})
-    p = np.exp2(-model.bits.reshape(-1, model.symbols, 2).astype(float))
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
+    model = ppm.fit({"x": ["the cat sat on the mat " * 5], "y": ["der hund und die katze " * 5], "z": []})
+    for context in (b"", b"t", b"the ", b"hund", b"q", b"u\xff", bytes([0, 1, 2, 3])):
+        last = np.stack([model.prices(ppm.codes([context + bytes([b])], ppm.ORDER)[0])[-1] for b in range(256)])
+        assert np.allclose(np.exp2(-last.astype(float)).sum(0), 1, atol=1e-4), context
+
+
+def test_tables_keep_within_their_bound():
+    rng = random.Random(1)
+    samples = {k: [made(rng, k, 400) for _ in range(4)] for k in ("en", "fr", "de")}
+    wide = ppm.fit(samples)
+    bound = wide.size() - 40_000
+    tight = ppm.fit(samples, most_bytes=bound)
+    assert tight.size() <= bound and sum(len(v.escape) for v in tight.levels) > 0
+    assert tight.judge([made(rng, "fr", 9)])[0] == ["fr"]
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.sets(st.integers(0, 2**63), max_size=300), st.lists(st.integers(0, 2**63), max_size=50))
+def test_places(keys, others):
+    keys = np.array(sorted(keys), np.uint64)
+    table = ppm.Places(keys)
+    assert table.of(keys).tolist() == list(range(len(keys)))
+    known = {int(k): i for i, k in enumerate(keys)}
+    assert table.of(np.array(others, np.uint64)).tolist() == [known.get(o, -1) for o in others]
 
 
 def made(rng, lang, n):
@@ -97,7 +125,25 @@ def test_held_out_accuracy_and_awkward_rows(spark):
     assert len(held) > 40 and sum(a == b for a, b in held) >= 0.97 * len(held)
     kept = ppm.accepted(spark.createDataFrame(widened(some), EXTRA))
     assert kept.columns == [c.split()[0] for c in EXTRA.split(", ")]
-    assert {r["doc_id"] for r in kept.collect()} == {d for d, r in got.items() if r["lang_pred"] != "und" and r["score"] >= 0.5}
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, r in got.items() if r["lang_pred"] != "und" and r["score"] >= ppm.LEAST}
+
+
+def test_mixed_and_unknown_texts_have_low_scores(spark):
+    rng = random.Random(5)
+    langs = [rng.choice(["en", "fr", "de"]) for _ in range(300)]
+    some = rows([made(rng, k, rng.randrange(10, 60)) for k in langs], langs)
+    clean = [made(rng, k, 40) for k in ("en", "fr", "de") for _ in range(20)]
+    mixed = [" ".join(w for pair in zip(made(rng, a, 30).split(), made(rng, b, 30).split()) for w in pair) for a, b in (("en", "fr"), ("fr", "de"), ("de", "en")) for _ in range(10)]
+    unknown = [" ".join("".join(rng.choice("жшщюя") for _ in range(5)) for _ in range(40)), "QXZJ KVWQ " * 30, "a1%$ 7!?x " * 20]
+    more = [(1000 + i, t, None, "s", len(t)) for i, t in enumerate([*clean, *mixed, *unknown])]
+    docs = spark.createDataFrame([*some, *more], SCHEMA)
+    left = {r["doc_id"] for r in ppm.accepted(docs).collect()}
+    assert sum(1000 + i in left for i in range(60)) >= 58
+    assert sum(1060 + i in left for i in range(33)) <= 1
+    assert len(left & {r[0] for r in some}) >= 297
+    twice = spark.createDataFrame([*some, some[0], some[0], (None, *some[0][1:])], SCHEMA)
+    got = [(r["lang_pred"], r["score"]) for r in ppm.identified(twice).collect() if r["doc_id"] in (0, None)]
+    assert len(got) == 4 and len(set(got)) == 1
 
 
 def test_without_training_rows(spark):
