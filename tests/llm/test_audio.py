@@ -60,23 +60,32 @@ def test_a_tone_lands_in_its_band_and_segments_follow_energy():
 def test_tensors_have_a_fixed_shape():
     x = audio.listen("abc def " * 5000)
     back = pa.ipc.open_stream(audio.stored(audio.tensors(x))).read_all()
-    assert isinstance(back.schema.field("mel").type, pa.FixedShapeTensorType) and back.schema.field("mel").type.shape == [64, 20]
+    assert isinstance(back.schema.field("mel").type, pa.FixedShapeTensorType) and back.schema.field("mel").type.shape == [32, 20]
     whole = np.concatenate([c.to_numpy_ndarray() for c in back["mel"].chunks]).reshape(-1, 20)
-    assert (whole[: len(x.mel)] == x.mel).all() and back["start"][1].as_py() == 64 * 128 / 8000
+    assert (whole[: len(x.mel)] == x.mel).all() and back["start"][1].as_py() == pytest.approx(32 * 128 / 12000)
+    mel, energy = audio.read_back(audio.stored(audio.tensors(x)))
+    assert (mel == x.mel).all() and (energy == x.energy).all()
+    assert back["end"][-1].as_py() == pytest.approx((len(x.mel) - 1) * 128 / 12000 + 256 / 12000)
 
 
 def test_query(spark):
     some = rows(AWKWARD)
     for df in (spark.createDataFrame(some, SCHEMA), spark.createDataFrame(widened(some), EXTRA).repartition(3)):
-        got = {r["doc_id"]: r for r in audio.digests(df).collect()}
+        files = {r["doc_id"]: r for r in audio.columns(df).collect()}
+        got = {r["doc_id"]: r for r in audio.digests(audio.columns(df)).collect()}
         assert len(got) == len(some)
         for doc_id, text, *_ in some:
             r, x = got[doc_id], audio.listen(text or "")
             payload = bytes(x.payload)
             assert (r["payload_sha256"], r["tail_crc32"], r["payload_bytes"]) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(payload))
-            assert (r["media_sha256"], r["media_bytes"], r["feature"]) == (hashlib.sha256(x.media).hexdigest(), len(payload) + 44, audio.feature(x))
+            assert (r["media_sha256"], r["media_bytes"], r["feature"]) == (hashlib.sha256(x.media).hexdigest(), len(payload) + 44, audio.feature(x.mel, x.energy, files[doc_id]["active"]))
     assert got[9]["feature"] == got[11]["feature"]
-    files = audio.columns(df).collect()
-    assert {hashlib.sha256(r["media"]).hexdigest() for r in files} == {r["media_sha256"] for r in got.values()}
+    assert {hashlib.sha256(r["media"]).hexdigest() for r in files.values()} == {r["media_sha256"] for r in got.values()}
     assert pa.ipc.open_stream(files[0]["features"]).read_all().num_rows >= 1
-    assert audio.digests(df.limit(0)).count() == 0
+    assert audio.digests(audio.columns(df.limit(0))).count() == 0
+
+
+def test_repeated_rows_and_rows_without_ids(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (None, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["feature"]) for r in audio.digests(audio.columns(df)).collect())
+    assert [g[:2] for g in got] == [(0, 0), (0, 3), (1, 3), (1, 3)] and len({g[2] for g in got[1:]}) == 1

@@ -6,6 +6,7 @@ polyphase filter, cut into overlapped frames and turned into log-mel energies.
 Frames are stored as fixed-shape Arrow tensors (chunks of FRAMES x MELS, the last
 one filled with the floor value) with their time spans. Segments of activity come
 from the frames' energy by hysteresis: on above one level, off below a lower one.
+``columns`` makes the files and tensors; ``digests`` reads them back and sums them up.
 
 Each document is computed alone, in blocks that depend on its own length only, so
 equal texts give equal values wherever they run.
@@ -28,15 +29,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from treeloom.llm.common import slices, texts_of
+from treeloom.llm.common import text_slices, texts_of
 
 UNIT = 192
 RATE = 16_000
 #: Resampling to RATE * UP / DOWN.
-UP, DOWN, TAPS = 1, 2, 16
+UP, DOWN, TAPS = 3, 4, 16
 WINDOW, HOP, MELS = 256, 128, 20
+#: Seconds from one frame to the next, and of one frame.
+STEP, SPAN = HOP * DOWN / (RATE * UP), WINDOW * DOWN / (RATE * UP)
 #: Frames to a tensor, and frames computed at one time.
-FRAMES, BLOCK = 64, 8192
+FRAMES, BLOCK = 32, 8192
 FLOOR = 1e-6
 #: Levels of the segmentation in dB above the mean energy.
 ON, OFF = 3.0, 1.0
@@ -59,7 +62,7 @@ def to_wave(payload: bytes, rate: int = RATE) -> bytes:
     return head + payload
 
 
-def from_wave(media: bytes) -> tuple[int, memoryview]:
+def from_wave(media: bytes | pa.Buffer) -> tuple[int, memoryview]:
     """(rate, samples) of a mono 8-bit wave file, whatever other chunks it has."""
     kind, _, form = struct.unpack_from("<4sI4s", media)
     if kind != b"RIFF" or form != b"WAVE":
@@ -152,16 +155,18 @@ def listen(text: str) -> Audio:
 
 
 def tensors(audio: Audio) -> pa.Table:
-    """Chunks of FRAMES x MELS as a fixed-shape tensor column, with first frame, start and end in seconds."""
+    """Chunks of FRAMES frames, with first frame, frames in use, start and end in seconds, and two fixed-shape tensor columns: mel and energy."""
     n = len(audio.mel)
     chunks = -(-n // FRAMES)
-    full = np.full((chunks * FRAMES, MELS), np.log(FLOOR), np.float32)
-    full[:n] = audio.mel
-    step = HOP / (RATE * UP / DOWN)
+    mel, energy = np.full((chunks * FRAMES, MELS), np.log(FLOOR), np.float32), np.full(chunks * FRAMES, 10 * np.log10(FLOOR), np.float32)
+    mel[:n], energy[:n] = audio.mel, audio.energy
     first = np.arange(chunks) * FRAMES
-    last = np.minimum(first + FRAMES, n) - 1
-    tensor = pa.FixedShapeTensorArray.from_numpy_ndarray(full.reshape(chunks, FRAMES, MELS))
-    return pa.table({"frame": first, "start": first * step, "end": last * step + WINDOW / (RATE * UP / DOWN), "mel": tensor})
+    used = np.minimum(n - first, FRAMES)
+    shaped = pa.FixedShapeTensorArray.from_numpy_ndarray
+    return pa.table({
+        "frame": first, "frames": used, "start": first * STEP, "end": (first + used - 1) * STEP + SPAN,
+        "mel": shaped(mel.reshape(chunks, FRAMES, MELS)), "energy": shaped(energy.reshape(chunks, FRAMES)),
+    })
 
 
 def stored(table: pa.Table) -> bytes:
@@ -171,23 +176,29 @@ def stored(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def feature(audio: Audio) -> str:
-    """A summary of the features: frames, mean energy, active spans in frames, digest of the mel values at 0.01."""
-    spans = ",".join(f"{a}-{b}" for a, b in audio.spans.tolist())
-    steps = np.round(audio.mel * 100).astype("<i4")
-    return f"frames={len(audio.mel)};energy={audio.energy.mean():.2f};active={spans};mel={hashlib.sha256(steps.tobytes()).hexdigest()[:32]}"
+def read_back(features: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(mel, energy) of the frames in use."""
+    table = pa.ipc.open_stream(features).read_all()
+    n = sum(table["frames"].to_pylist())
+    mel, energy = (np.concatenate([c.to_numpy_ndarray() for c in table[k].chunks]) for k in ("mel", "energy"))
+    return mel.reshape(-1, MELS)[:n], energy.reshape(-1)[:n]
+
+
+def feature(mel: np.ndarray, energy: np.ndarray, spans: list[dict]) -> str:
+    """A summary of the features: frames, mean energy, active spans in seconds, digest of the mel values at 0.01."""
+    said = ",".join(f"{s['start']:.3f}-{s['end']:.3f}" for s in spans)
+    steps = np.round(mel * 100).astype("<i4")
+    return f"frames={len(mel)};energy={energy.mean():.2f};active={said};mel={hashlib.sha256(steps.tobytes()).hexdigest()[:32]}"
 
 
 def columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media, features, active): the wave file, the tensors as an Arrow stream, active spans in seconds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = HOP / (RATE * UP / DOWN)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, j in slices(texts):
-                found = [listen(t) for t in texts[i:j]]
-                spans = [[{"start": a * step, "end": (b - 1) * step + 2 * step} for a, b in x.spans.tolist()] for x in found]
+            for i, j, texts in text_slices(batch.column("text")):
+                found = [listen(t) for t in texts]
+                spans = [[{"start": a * STEP, "end": (b - 1) * STEP + SPAN} for a, b in x.spans.tolist()] for x in found]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id")[i:j], pa.array([x.n_bytes for x in found], pa.int64()), pa.array([x.media for x in found], pa.binary()),
@@ -195,33 +206,31 @@ def columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     ],
                     ["doc_id", "n_bytes", "media", "features", "active"],
                 )
+            pa.default_memory_pool().release_unused()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return texts_of(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary, features binary, active array<struct<start:double,end:double>>")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+def digests(rows: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; rows as ``columns`` gives them.
 
-    The same files and features as ``columns``, reduced where they are made.
+    Payload and features are read back from the stored files and tensors.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda x: hashlib.sha256(x).hexdigest()
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, j in slices(texts):
-                found = []
-                for t in texts[i:j]:
-                    x = listen(t)
-                    found.append((x.n_bytes, len(x.payload), sha(x.payload), zlib.crc32(x.payload[-16:]), len(x.media), sha(x.media), feature(x)))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[i:j], *(pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True))],
-                    ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-                )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return texts_of(docs, id_col, text_col).mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+            found = []
+            for media, features, spans in zip(*(batch.column(c) for c in ("media", "features", "active")), strict=True):
+                file = media.as_buffer()
+                _, payload = from_wave(file)
+                found.append((len(payload), sha(payload), zlib.crc32(payload[-16:]), file.size, sha(file), feature(*read_back(features.as_buffer()), spans.as_py())))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else [[]] * 6, kinds, strict=True))],
+                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+            )
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -43,7 +43,7 @@ def op9(spark, sf_dir):
 
 
 def op10(spark, sf_dir):
-    return audio.digests(table(spark, sf_dir, "documents"))
+    return audio.digests(audio.columns(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
