@@ -1,8 +1,9 @@
 """Trees as tables: places, sizes, paths and bottom-up hashes, level by level.
 
 Input rows have pair_id, side, node_id, parent_id, kind, depth, sibling_index,
-sort_a, sort_b (document order), title and text. A tree has as many levels as its
-deepest node, so each operator is a fixed number of joins by parent.
+sort_a, sort_b (document order), title and text. Operators take one step for each
+level down to the deepest node, a number that ``deepest`` reads from the data if it
+isn't given. Nodes that come in partitions by pair_id stay in them.
 """
 
 from __future__ import annotations
@@ -15,14 +16,21 @@ from treeloom.functions.text import content_hash, normalize_heading_title
 KEY = ["pair_id", "side"]
 
 
-def placed(nodes: DataFrame) -> DataFrame:
+def deepest(nodes: DataFrame) -> int:
+    """The depth of the deepest node; -1 without nodes."""
+    found = nodes.agg(F.max("depth")).first()[0]
+    return -1 if found is None else int(found)
+
+
+def placed(nodes: DataFrame, levels: int | None = None) -> DataFrame:
     """With preorder and subtree_size: a subtree is an unbroken run in document order."""
     w = Window.partitionBy(*KEY).orderBy("sort_a", "sort_b")
     rows = nodes.withColumn("preorder", F.row_number().over(w) - 1)
     # A node's subtree ends where the next node of the same or a lesser depth starts; by depth, the next such place.
     after = Window.partitionBy(*KEY).orderBy("preorder").rowsBetween(1, Window.unboundedFollowing)
     total = F.count("*").over(Window.partitionBy(*KEY))
-    ends = [F.when(F.col("depth") == d, F.coalesce(F.min(F.when(F.col("depth") <= d, F.col("preorder"))).over(after), total) - F.col("preorder")) for d in range(3)]
+    levels = deepest(nodes) if levels is None else levels
+    ends = [F.when(F.col("depth") == d, F.coalesce(F.min(F.when(F.col("depth") <= d, F.col("preorder"))).over(after), total) - F.col("preorder")) for d in range(max(levels, 0) + 1)]
     return rows.withColumn("subtree_size", F.coalesce(*ends).cast("long"))
 
 
@@ -40,12 +48,12 @@ def self_hash() -> Column:
     return content_hash(F.col("kind"), normalize_heading_title(F.col("title")), F.col("text"), F.col("checked"))
 
 
-def hashed(nodes: DataFrame, deepest: int = 2) -> DataFrame:
+def hashed(nodes: DataFrame, levels: int | None = None) -> DataFrame:
     """With self_hash, direct_hash, subtree_hash, body_hash: Merkle hashes from the leaves up, one join a level."""
     rows = nodes.withColumn("self_hash", self_hash())
     below = None  # (pair_id, side, parent_id, own, deep): the children's hashes in order
     out = []
-    for d in range(deepest, -1, -1):
+    for d in range(max(deepest(nodes) if levels is None else levels, 0), -1, -1):
         level = rows.filter(F.col("depth") == d)
         if below is None:
             level = level.withColumn("own", F.lit("")).withColumn("deep", F.lit(""))
@@ -65,12 +73,12 @@ def hashed(nodes: DataFrame, deepest: int = 2) -> DataFrame:
     return whole
 
 
-def paths(nodes: DataFrame, deepest: int = 2) -> DataFrame:
+def paths(nodes: DataFrame, levels: int | None = None) -> DataFrame:
     """(pair_id, side, node_id, path, path_hash): normalised titles from the root's children down."""
     title = normalize_heading_title(F.col("title"))
     level = nodes.filter("depth = 0").select(*KEY, "node_id", F.lit("").alias("path"))
     out = level
-    for d in range(1, deepest + 1):
+    for d in range(1, (deepest(nodes) if levels is None else levels) + 1):
         own = nodes.filter((F.col("depth") == d) & (F.col("kind") != "listItem")).select(*KEY, "node_id", "parent_id", title.alias("title"))
         level = own.join(level.withColumnRenamed("node_id", "parent_id"), [*KEY, "parent_id"]).select(
             *KEY, "node_id", F.when(F.col("path") == "", F.col("title")).otherwise(F.concat_ws(" / ", "path", "title")).alias("path")

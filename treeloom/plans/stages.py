@@ -7,13 +7,29 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """df as a table in the cluster's shared folder (``spark.checkpoint.dir``; a temporary one where that is unset).
+def materialized(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df as a table in the cluster's shared folder (``spark.checkpoint.dir``; only in local mode a temporary one stands in for it).
 
     It keeps plans small: a tree's hashes take a join a level, and matching reads them
     many times. The files outlive an executor, so nothing is computed twice.
+
+    by: a pair's id. The table is dealt by it, and all later joins, windows and counts
+    whose keys hold it take place in its partitions, without another exchange.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stages"))
-    return df.checkpoint(eager=True)
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="stages"))
+    if not by:
+        return df.checkpoint(eager=True)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    # Adaptive plans do not say how their rows are dealt; this stage only deals them.
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), by).checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -74,12 +74,16 @@ same AS (
 )"""
 
 
+#: The deepest level of the trees that the driver tables give.
+TREE_LEVELS = 2
+
+
 def _hashed(spark, sf_dir):
-    return materialized(tree.hashed(materialized(trees(spark, sf_dir))))
+    return materialized(tree.hashed(materialized(trees(spark, sf_dir), "pair_id"), TREE_LEVELS), "pair_id")
 
 
 def _exact(nodes):
-    return materialized(m.exact_subtrees(nodes))
+    return materialized(m.exact_subtrees(nodes), "pair_id")
 
 
 def _committed(nodes):
