@@ -56,6 +56,6 @@ def test_compared_pairs(spark):
     assert {(r["layer"], r["op"], r["old_text"], r["new_text"]) for r in pairs.span_rows(changes).collect()} >= {("word", "replace", "old", "new")}
     tones = {(r["pair_id"], r["side"], r["line"]): r["tone"] for r in pairs.projected(df, changes).collect()}
     assert tones[1, "new", 3] == "replace" and tones[1, "new", 1] == "plain" and tones[2, "new", 1] == "insert"
-    merged = [(r["old_line"], r["new_line"]) for r in pairs.merged_rows(df).filter("pair_id = 1").orderBy("row").collect()]
+    merged = [(r["old_line"], r["new_line"]) for r in pairs.merged_rows(df, changes).filter("pair_id = 1").orderBy("row").collect()]
     assert merged == [(1, 1), (2, 2), (3, 3)]
     assert pairs.compared(df.limit(0)).count() == 0

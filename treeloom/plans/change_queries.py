@@ -73,7 +73,18 @@ def markdown_projection(spark, sf_dir):
 
 @query()
 def markdown_merged_rows(spark, sf_dir):
-    return pairs.merged_rows(markdown_pairs(spark, sf_dir)).fillna(-1, ["old_line", "new_line"])
+    p = markdown_pairs(spark, sf_dir)
+    return pairs.merged_rows(p, materialized(pairs.compared(p).drop("spans", "meta"))).fillna(-1, ["old_line", "new_line", "peer_row"])
+
+
+@query()
+def markdown_details(spark, sf_dir):
+    return pairs.detailed(markdown_pairs(spark, sf_dir))
+
+
+@query()
+def markdown_change_index(spark, sf_dir):
+    return pairs.change_index(materialized(pairs.compared(markdown_pairs(spark, sf_dir)).drop("spans", "meta")))
 
 
 @query()

@@ -16,7 +16,7 @@ from functools import cached_property
 
 import numpy as np
 
-from treeloom.sources.markdown import front_matter, parse, plain
+from treeloom.sources.markdown import front_matter, normal_id, parse, plain
 
 _WORD = re.compile(r"[^\W_]+(?:['’.][^\W_]+)*|_+")
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]+")
@@ -107,6 +107,7 @@ class Node:
     hashes: dict = field(default_factory=dict)
     tokens: list = field(default_factory=list)
     structure: list = field(default_factory=list)
+    marks: list = field(default_factory=list)
 
     @property
     def shape(self) -> str:
@@ -114,7 +115,7 @@ class Node:
 
     @cached_property
     def sim(self) -> int | None:
-        return simhash(self.tokens + self.structure)
+        return simhash(self.tokens + self.marks)
 
     @cached_property
     def counts(self) -> Counter:
@@ -216,11 +217,13 @@ class Document:
         if n.entity == "block":
             n.text = " ".join((n.value if n.value is not None else plain(n.inline) if n.inline else " ".join(c for r in n.rows for c, _ in r) if n.rows else " ".join(filter(None, (n.identifier, n.url, n.link_title)))).split()) if n.kind != "code" else n.value or ""
             n.structure = [t for t, _ in _preorder(n.inline)]
+            n.marks = structured_tokens({"type": n.kind, "url": n.url, "title": n.link_title, "identifier": n.identifier, "children": [*n.inline, *({"type": "tableRow", "children": [{"type": "tableCell", "children": c} for _, c in r]} for r in n.rows)]})
         else:
             n.text = " ".join(filter(None, [n.title if n.kind == "heading" else "", n.value or "", *(c.text for c in n.children)]))
             n.structure = [c.shape for c in n.children]
+            n.marks = [*(words(n.title) if n.kind == "heading" else []), *(t for c in n.children for t in c.marks)]
         n.tokens = words(n.text)
-        own = [n.kind, n.normal if n.kind == "heading" else "", n.heading_depth, n.list_depth, n.quote_depth, n.checked, n.ordered, n.value, n.lang, n.meta, n.url, n.link_title, n.align, [[c for c, _ in r] for r in n.rows], n.inline]
+        own = [n.kind, n.normal if n.kind == "heading" else "", n.heading_depth, n.list_depth, n.quote_depth, n.checked, n.ordered, n.value, n.lang, n.meta, n.url, n.link_title, n.align, [[c for _, c in r] for r in n.rows], n.inline]
         own.append(n.identifier if n.entity == "block" or n.kind == "footnote" else None)
         kids = [c.hashes for c in n.children]
         # An item, quote or footnote holds its whole body in its own hash.
@@ -234,6 +237,14 @@ class Document:
         n.hashes = h
 
 
+def structured_tokens(node: dict) -> list[str]:
+    """What a block and its inline nodes are and point to, beside their text."""
+    own = [f"{name}:{node[key].lower()}" for name, key in (("url", "url"), ("title", "title"), ("alt", "alt")) if node.get(key)]
+    if node.get("identifier"):
+        own.append(f"id:{normal_id(node['identifier'])}")
+    return [*own, f"type:{node['type']}", *(t for c in node.get("children", []) for t in structured_tokens(c))]
+
+
 def _preorder(nodes: list[dict]):
     for x in nodes:
         yield x["type"], x

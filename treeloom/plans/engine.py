@@ -6,12 +6,14 @@ within a pair; ``plans.pairs`` spreads pairs over a table.
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 from treeloom.plans import kernels as k
 from treeloom.plans.document import Document, Node, canonical, slug, words
-from treeloom.plans.similarity import multisets, similarity
+from treeloom.plans.similarity import fallback_score, margin, multisets, recallable, relabel_score, sequence, sets, similarity
 
 
 @dataclass(frozen=True)
@@ -38,6 +40,10 @@ class Options:
     child_bonus: float = 0.15
 
 
+#: Matches that bound where others may lie.
+ANCHORS = frozenset(("forced-root", "exact-subtree", "exact-subtree-resolved", "exact-self"))
+
+
 @dataclass(eq=False)
 class Change:
     """op: equal, insert, delete, replace, move, meta-update."""
@@ -74,6 +80,7 @@ class Comparison:
         self.by_new: dict[Node, Node] = {}
         self.kind: dict[Node, tuple[str, float]] = {}
         self.warnings: list[str] = []
+        self.anchors: list[tuple[int, int]] = []
 
     # -- matches
 
@@ -82,6 +89,8 @@ class Comparison:
         if a in self.by_old or b in self.by_new:
             return self.by_old.get(a) is b
         self.by_old[a], self.by_new[b], self.kind[a] = b, a, (kind, score)
+        if kind in ANCHORS:
+            bisect.insort(self.anchors, (a.preorder, b.preorder))
         return True
 
     def parents_matched(self, a: Node, b: Node) -> bool:
@@ -106,6 +115,7 @@ class Comparison:
         for a, b in sorted(pairs, key=lambda p: (-p[0].size, p[0].preorder)):
             if a not in covered and b not in covered and self.match(a, b, "exact-subtree"):
                 covered.update(a.below(), b.below(), (a, b))
+        self.resolve_repeated(covered)
         olds = [n for n in self.old.nodes[1:] if n not in covered]
         news = [n for n in self.new.nodes[1:] if n not in covered]
         is_kind = lambda kind, f: lambda n: f(n) if n.kind == kind else None
@@ -132,26 +142,55 @@ class Comparison:
             if ends[a] == ends[b] == 1:
                 self.match(a, b, kind)
 
-    def bounds(self, a: Node) -> tuple[int, int]:
-        """Places among the siblings of the new parent between the partners of a's nearest matched siblings."""
-        low, high = -1, 1 << 30
+    def resolve_repeated(self, covered: set[Node]) -> None:
+        """Subtrees that stand equally often, and more than once, on both sides, where their children tell which is which."""
+        sides: list[dict] = [defaultdict(list), defaultdict(list)]
+        for by, nodes in zip(sides, (self.old.nodes[1:], self.new.nodes[1:]), strict=True):
+            for n in nodes:
+                by[n.shape, n.hashes["subtree"]].append(n)
+        groups = [(v, sides[1][x]) for x, v in sides[0].items() if len(v) > 1 and len(v) == len(sides[1].get(x, ()))]
+        for olds, news in sorted(groups, key=lambda g: -g[0][0].size):
+            for a, b in told_apart(olds, news, lambda n: [c.hashes["subtree"] for c in n.children]):
+                if a not in covered and b not in covered and self.match(a, b, "exact-subtree-resolved"):
+                    covered.update(a.below(), b.below(), (a, b))
+
+    def bounds(self, a: Node, parent: Node | None) -> tuple[int, int] | None:
+        """Between which places under parent the partner of a lies, by a's nearest siblings with a partner there; None without any."""
+        if a.parent is None or parent is None:
+            return None
+        low, high = -1, len(parent.children)
+        found = False
         for s in a.parent.children:
             p = self.by_old.get(s)
-            if p is not None and self.kind[s][0] in ("exact-subtree", "exact-self"):
+            if s is not a and p is not None and p.parent is parent:
+                found = True
                 if s.place < a.place:
                     low = p.place
-                elif s.place > a.place and high == 1 << 30:
+                else:
                     high = p.place
-        return (low, high) if low < high else (-1, 1 << 30)
+                    break
+        return (low, high) if found and low < high else None
+
+    def interval(self, a: Node) -> tuple[int, int] | None:
+        """First and last place in the new document's order between the partners of the nearest anchors; None if that is empty."""
+        left = bisect.bisect_left(self.anchors, (a.preorder, -1)) - 1
+        right = bisect.bisect_left(self.anchors, (a.preorder + 1, -1))
+        low = self.anchors[left][1] + 1 if left >= 0 else 0
+        high = self.anchors[right][1] - 1 if right < len(self.anchors) else len(self.new.nodes) - 1
+        return (low, high) if low <= high else None
+
+    def anchored(self, a: Node, b: Node) -> bool:
+        """Whether b lies where a's anchors allow it: among siblings if some are matched, else in the whole document."""
+        if (near := self.bounds(a, b.parent)) is not None:
+            return near[0] < b.place < near[1]
+        whole = self.interval(a)
+        return whole is None or whole[0] <= b.preorder <= whole[1]
 
     def guarded(self, a: Node, b: Node) -> str:
         """exact-self under matched parents; near its place with a witness exact-self-with-context; else none."""
         if self.parents_matched(a, b):
             return "exact-self"
-        if a.parent is None or b.parent is None or abs(a.place - b.place) > self.o.sibling_offset:
-            return ""
-        low, high = self.bounds(a)
-        if not low < b.place < high:
+        if a.parent is None or b.parent is None or abs(a.place - b.place) > self.o.sibling_offset or not self.anchored(a, b):
             return ""
         near = lambda n: {s.hashes["self"] for s in n.parent.children if 0 < abs(s.place - n.place) <= self.o.sibling_window}
         return "exact-self-with-context" if near(a) & near(b) else ""
@@ -293,18 +332,19 @@ class Comparison:
             return
         scores: dict[tuple[Node, Node], float] = {}
         for p in olds:
-            for q in self.recalled(p, [q for q in news if q.shape == p.shape]):
+            for q in self.recalled(p, self.bounded(p, [q for q in news if q.shape == p.shape], b)):
                 base = similarity(p, q, self.context(p, q))
                 shared = multisets(Counter(c.hashes["self"] for c in p.children), Counter(c.hashes["self"] for c in q.children)) if p.children and q.children else 0.0
                 scores[p, q] = base + self.o.child_bonus * shared
+        lead = leads(scores)
         for (p, q), s in sorted(scores.items(), key=lambda x: (-x[1], x[0][0].preorder)):
-            if s >= self.o.min_similarity and self.clear(scores, p, q, s):
+            if s >= self.o.min_similarity and lead(p, q, s) >= self.o.min_margin:
                 self.match(p, q, "local-similarity", s)
 
-    def clear(self, scores: dict, p: Node, q: Node, s: float) -> bool:
-        rival = max([0.0, *(v for (x, y), v in scores.items() if (x is p) != (y is q))])
-        others = [v for (x, y), v in scores.items() if (x is p) != (y is q)]
-        return not others or s - rival >= self.o.min_margin
+    def bounded(self, p: Node, qs: list[Node], parent: Node) -> list[Node]:
+        """Those between the partners of p's nearest matched siblings; all if none is."""
+        near = self.bounds(p, parent)
+        return qs if near is None else [q for q in qs if near[0] < q.place < near[1]] or qs
 
     def recalled(self, p: Node, qs: list[Node]) -> list[Node]:
         if len(qs) <= self.o.recall_most or p.sim is None:
@@ -314,39 +354,55 @@ class Comparison:
         return found or qs
 
     def fall_back(self, c: Change) -> None:
-        """Where much stays unpaired, a tree edit pairs deletions with insertions."""
-        gone, come = [x for x in c.children if x.op == "delete"], [x for x in c.children if x.op == "insert"]
-        if not self.o.local_recovery or not gone or not come:
+        """Where much stays unpaired, a tree edit proposes pairs of deletions and insertions; clear and good ones are taken, the cheapest first."""
+        if not self.o.local_recovery:
             return
-        if sum(x.op != "equal" for x in c.children) / len(c.children) <= self.o.tree_share:
+        unpaired = sum(x.op != "equal" for x in c.children)
+        if unpaired / max(1, len(c.old.children) + len(c.new.children)) <= self.o.tree_share:
             return
+        gone, come = [x for x in c.children if x.op == "delete"], [x for x in c.children if x.op == "insert"]
         if len(gone) * len(come) > self.o.most_tree_cost:
             c.warnings.append("tree-budget-exceeded")
             return
-        like = lambda p, q: similarity(p, q, self.context(p, q)) if p.shape == q.shape else 0.0
-        found, _ = k.tree_edit_matches([x.old for x in gone], [x.new for x in come], lambda n: n.children, lambda p, q: p.shape == q.shape, lambda p, q: 1 - like(p, q))
         tops = {x.old: x for x in gone}, {x.new: x for x in come}
-        for p, q in found:
-            if p in tops[0] and q in tops[1] and like(p, q) >= self.o.min_similarity:
+        may = lambda p, q: p.shape == q.shape and recallable(p, q)
+        cost = lambda p, q: 1 - relabel_score(p, q)
+        edit = lambda olds, news: k.tree_edit_matches(olds, news, lambda n: n.children, may, cost)
+        found = [(p, q) for p, q in edit(list(tops[0]), list(tops[1]))[0] if p in tops[0] and q in tops[1]] if gone and come else []
+        scores = {(p, q): fallback_score(p, q, self.context(p, q)) for p, q in found}
+        of_old, of_new = defaultdict(list), defaultdict(list)
+        for (p, q), s in scores.items():
+            of_old[p].append(s)
+            of_new[q].append(s)
+        good = [x for x, s in scores.items() if s >= self.o.min_similarity and min(margin(of_old[x[0]]), margin(of_new[x[1]])) >= self.o.min_margin]
+        if not good:
+            c.warnings.append("tree-no-candidates")
+            return
+        used: set[Node] = set()
+        for p, q in sorted(good, key=lambda x: (edit([x[0]], [x[1]])[1], -scores[x])):
+            if p not in used and q not in used:
+                used |= {p, q}
                 c.children.remove(tops[0][p])
-                at = c.children.index(tops[1][q])
-                c.children[at] = self.changed(p, q, "aligned")
+                c.children[c.children.index(tops[1][q])] = self.changed(p, q, "aligned")
 
     # -- after alignment
 
     def recover_moves(self, root: Change) -> None:
         """Deletions and insertions of one content at another place."""
         everything = list(walk(root))
-        up = {id(c): p for p in everything for c in p.children}
         gone = [c for c in everything if c.op == "delete"]
         come = [c for c in everything if c.op == "insert"]
         covered: set[int] = set()
         count = lambda key: (Counter(key(c.old) for c in gone), Counter(key(c.new) for c in come))
-        by = {h: count(lambda n, h=h: (n.shape, n.hashes[h])) for h in ("subtree", "direct", "body")}
+        by = {h: count(lambda n, h=h: (n.shape, n.hashes[h])) for h in ("subtree", "content")}
         pairs = defaultdict(list)
         for c in come:
             pairs[c.new.shape].append(c)
-        slugs = count(lambda n: slug(n.title) if n.kind == "heading" else None)
+        slugs: tuple[dict, dict] = (defaultdict(list), defaultdict(list))
+        for names, nodes in zip(slugs, ([c.old for c in gone], [c.new for c in come]), strict=True):
+            for n in nodes:
+                if n.kind == "heading":
+                    names[slug(n.title)].append(n)
         for g in sorted(gone, key=lambda c: (-c.old.size, c.old.preorder)):
             for t in sorted(pairs[g.old.shape], key=lambda c: (-c.new.size, c.new.preorder)):
                 if id(g) in covered or id(t) in covered:
@@ -363,25 +419,42 @@ class Comparison:
                     covered.update(id(x) for x in walk(c))
                     c.op, c.role, c.move_id, c.match_kind, c.pair_kind, c.children = "move", role, name, kind, "match", []
                 break
-        del up
 
     def move_kind(self, a: Node, b: Node, by: dict, slugs) -> str:
         suffix = min(len(a.path), len(b.path))
-        compatible = a.path[len(a.path) - suffix :] == b.path[len(b.path) - suffix :]
+        compatible = suffix > 0 and a.path[len(a.path) - suffix :] == b.path[len(b.path) - suffix :]
         if abs(a.depth - b.depth) > self.o.depth_most and not compatible:
             return ""
-        if a.entity == "section" and not self.o.size_low <= b.size / a.size <= self.o.size_high:
+        if a.entity == "section" and not self.o.size_low <= a.size / b.size <= self.o.size_high:
             return ""
         lone = lambda h: a.hashes[h] == b.hashes[h] and by[h][0][a.shape, a.hashes[h]] == by[h][1][b.shape, b.hashes[h]] == 1
         if self.by_old.get(a) is b or (lone("subtree") and bool(a.text or a.children)):
             return "move-exact"
-        if a.entity == "section" and a.children and lone("direct"):
+        if a.entity == "section" and a.hashes["direct"] == b.hashes["direct"] and (compatible or self.neighbours_matched(a, b)) and bool(a.text or a.children):
             return "move-direct"
-        name = slug(a.title)
-        if a.kind == "heading" and name and name == slug(b.title) and slugs[0][name] == slugs[1][name] == 1:
-            body = 1.0 if a.hashes["body"] == b.hashes["body"] else multisets(Counter(a.tokens), Counter(b.tokens))
-            return "move-heading" if body >= self.o.min_similarity else ""
-        return "move-code" if a.kind == "code" and a.value and a.value == b.value and by["subtree"][0][a.shape, a.hashes["subtree"]] == 1 else ""
+        if a.kind == "heading" and slug(a.title) and slug(a.title) == slug(b.title):
+            score = heading_score(a, b)
+            if score >= self.o.min_similarity:
+                own = [heading_score(a, q) for q in slugs[1][slug(a.title)]]
+                theirs = [heading_score(p, b) for p in slugs[0][slug(a.title)]]
+                if min(margin(own), margin(theirs)) >= self.o.min_margin:
+                    return "move-heading"
+        return "move-code" if a.kind == "code" and a.value and lone("content") else ""
+
+    def neighbours_matched(self, a: Node, b: Node) -> bool:
+        """Whether a node next to a has its partner next to b."""
+        if a.parent is None or b.parent is None:
+            return False
+        beside = lambda n: [s for s in n.parent.children if abs(s.place - n.place) == 1]
+        return any(self.by_old.get(s) in beside(b) for s in beside(a))
+
+    def recover_definitions(self, root: Change) -> None:
+        """Deleted and inserted definitions with one identifier that no other of them has become pairs."""
+        left = lambda op, taken: [n for c in walk(root) if c.op == op and (n := c.node).kind == "definition" and n.identifier and n not in taken]
+        for a, b in self.unique(left("delete", self.by_old), left("insert", self.by_new), lambda n: n.identifier):
+            self.match(a, b, "definition-identifier")
+        for c in walk(root):
+            self.rejoin(c)
 
     def reclassify(self, root: Change) -> None:
         """Renames and changes of metadata among pairs."""
@@ -391,9 +464,8 @@ class Comparison:
             a, b = c.old, c.new
             self_same = c.op == "equal"
             if a.kind == "heading" and not self_same and slug(a.title) and slug(b.title):
-                # A name with no likeness at all needs a body, or its place, as evidence.
-                evidence = a.hashes["body"] == b.hashes["body"] or set(words(a.title)) & set(words(b.title)) or c.pair_kind == "match"
-                if evidence and a.normal != b.normal and (a.heading_depth, a.list_depth, a.quote_depth) == (b.heading_depth, b.list_depth, b.quote_depth):
+                evidence = a.hashes["body"] == b.hashes["body"] or self.children_matched(a, b) or c.pair_kind == "match"
+                if evidence and not unlike_leaves(a, b) and a.normal != b.normal and (a.heading_depth, a.list_depth, a.quote_depth) == (b.heading_depth, b.list_depth, b.quote_depth):
                     c.op, c.renamed, c.self_changed = "equal", True, False
                     self.match(a, b, "heading-rename")
                     c.pair_kind = "match"
@@ -407,7 +479,7 @@ class Comparison:
                 c.pair_kind = "match"
             elif a.kind == "code" and a.value == b.value and (a.lang, a.meta) != (b.lang, b.meta):
                 c.meta += [(x, "replace", getattr(a, x), getattr(b, x)) for x in ("lang", "meta") if getattr(a, x) != getattr(b, x)]
-            elif a.kind == "table" and [[x for x, _ in r] for r in a.rows] == [[x for x, _ in r] for r in b.rows] and a.align != b.align:
+            elif a.kind == "table" and [[x for _, x in r] for r in a.rows] == [[x for _, x in r] for r in b.rows] and a.align != b.align:
                 c.meta.append(("align", "replace", a.align, b.align))
             elif a.kind == "listItem" and a.checked != b.checked:
                 c.meta.append(("checked", "replace", a.checked, b.checked))
@@ -416,6 +488,13 @@ class Comparison:
             if c.meta and not c.renamed:
                 c.op, c.meta_changed = "meta-update", True
 
+    def children_matched(self, a: Node, b: Node) -> bool:
+        """Whether two children at least, and half of the fewer ones, are partners."""
+        if not a.children or not b.children:
+            return False
+        shared = sum((p := self.by_old.get(x)) is not None and p.parent is b for x in a.children)
+        return shared >= max(2, math.ceil(min(len(a.children), len(b.children)) / 2))
+
     def present(self, root: Change) -> None:
         """Spans of changed texts: words of paragraphs and titles, lines of code, cells of tables."""
         for c in walk(root):
@@ -430,12 +509,13 @@ class Comparison:
                 if len(c.spans) > self.o.long_code:
                     c.spans = folded(c.spans, self.o.code_context)
             elif a.kind == "table":
-                c.spans = cell_spans(a, b)
+                c.spans = cell_spans(a, b, self.o.most_inline_cost)
 
     def run(self) -> Change:
         self.deterministic()
         root = self.changed(self.old.root, self.new.root, "match")
         self.recover_moves(root)
+        self.recover_definitions(root)
         self.reclassify(root)
         for c in reversed(list(walk(root))):
             c.below_changed = c.below_changed or any(x.op != "equal" or x.renamed or x.below_changed for x in c.children)
@@ -444,6 +524,53 @@ class Comparison:
         return root
 
 
+def told_apart(olds: list[Node], news: list[Node], keys) -> list[tuple[Node, Node]]:
+    """Pairs of equally many nodes on both sides, if each has a child that one partner only has; else none.
+
+    keys: of a node, one for each child. A key counts where it stands once below a
+    node, and it is evidence if one new node alone has it so. With hashes of the very
+    subtrees that are alike no key tells nodes apart; keys that say more do.
+    """
+    once = lambda n: {x for x, m in Counter(keys(n)).items() if m == 1}
+    holders = defaultdict(list)
+    for b in news:
+        for x in once(b):
+            holders[x].append(b)
+    found = []
+    for a in olds:
+        partners = {id(holders[x][0]): holders[x][0] for x in once(a) if len(holders.get(x, ())) == 1}
+        if len(partners) == 1:
+            found += [(a, b) for b in partners.values()]
+    return found if len(olds) == len(news) == len(found) == len({id(b) for _, b in found}) else []
+
+
+def leads(scores: dict[tuple[Node, Node], float]):
+    """lead(p, q, s): by how much the pair's score s is above the best of all other pairs of p or of q; s itself if there is none."""
+    best: dict[tuple[int, Node], list[float]] = defaultdict(list)
+    for (p, q), s in scores.items():
+        for end in ((0, p), (1, q)):
+            best[end] = sorted([*best[end], s], reverse=True)[:2]
+
+    def lead(p: Node, q: Node, s: float) -> float:
+        rivals = [top[1] if top[0] == s else top[0] for top in (best[0, p], best[1, q]) if len(top) == 2]
+        return s - max(rivals) if rivals else 1.0
+
+    return lead
+
+
+def heading_score(a: Node, b: Node) -> float:
+    same = a.hashes["body"] == b.hashes["body"] and bool(a.children) or a.hashes["content"] == b.hashes["content"]
+    return 1.0 if same else sets(a.tokens, b.tokens)
+
+
+def unlike_leaves(a: Node, b: Node) -> bool:
+    """Headings without a body whose names have nothing in common."""
+    if a.children or b.children:
+        return False
+    x, y = words(a.normal), words(b.normal)
+    return (max(sets(x, y), sequence(x, y)) if x or y else sequence(a.title, b.title)) <= 0
+
+
 def walk(c: Change):
     """A change and all below it, in document order."""
     todo = [c]
@@ -541,22 +668,42 @@ def folded(spans: list[tuple], around: int) -> list[tuple]:
     return [s for i, s in enumerate(spans) if i in keep]
 
 
-def cell_spans(a: Node, b: Node) -> list[tuple]:
-    """Cells of rows and columns that belong together; same shapes go cell by cell."""
-    text = lambda n: [[x for x, _ in r] for r in n.rows]
-    x, y = text(a), text(b)
-    if [len(r) for r in x] == [len(r) for r in y]:
+def table_edits(a: Node, b: Node) -> tuple[list, list] | None:
+    """Edit scripts (op, i, j) of two tables' rows and columns; None if both have as many rows and as many columns."""
+    x, y = cell_texts(a), cell_texts(b)
+    if len(x) == len(y) and max(map(len, x), default=0) == max(map(len, y), default=0):
+        return None
+    key = lambda t: ["\t".join(r) for r in t]
+    return k.align(key(x), key(y)), k.align(x[0] if x else [], y[0] if y else [])
+
+
+def cell_texts(n: Node) -> list[list[str]]:
+    return [[t for t, _ in r] for r in n.rows]
+
+
+def cell_spans(a: Node, b: Node, most: int) -> list[tuple]:
+    """Changed cells and the spans within them.
+
+    Tables of one shape go cell by cell; else rows and columns are aligned, those that
+    one side alone has are edits of the table, and the others are compared at their
+    new places.
+    """
+    x, y = cell_texts(a), cell_texts(b)
+    edits = table_edits(a, b)
+    out = []
+    if edits is None:
         rows, cols = [(i, i) for i in range(len(x))], [(j, j) for j in range(max(map(len, x), default=0))]
     else:
-        key = lambda t: ["\t".join(r) for r in t]
-        rows = [(i, j) for op, i, j in k.align(key(x), key(y)) if op == "equal"]
-        cols = [(i, j) for op, i, j in k.align(x[0] if x else [], y[0] if y else []) if op == "equal"]
-    out = []
+        rows, cols = ([(i, j) for op, i, j in own if op == "equal"] for own in edits)
+        out += [("table_row", max(i, j), -1, op, "\t".join(x[i]) if i >= 0 else "", "\t".join(y[j]) if j >= 0 else "") for op, i, j in edits[0] if op != "equal"]
+        out += [("table_column", -1, max(i, j), op, x[0][i] if i >= 0 else "", y[0][j] if j >= 0 else "") for op, i, j in edits[1] if op != "equal"]
+    get = lambda n, i, j: n.rows[i][j] if j < len(n.rows[i]) else ("", [])
     for i, p in rows:
         for j, q in cols:
-            old, new = x[i][j] if j < len(x[i]) else "", y[p][q] if q < len(y[p]) else ""
-            if old != new:
-                out.append(("cell", i, j, "replace", old, new))
+            (old, before), (new, after) = get(a, i, j), get(b, p, q)
+            if canonical(before) != canonical(after):
+                out.append(("cell", p, q, "replace", old, new))
+                out += [(f"cell_{layer}", p, q, op, u, v) for layer, _, _, op, u, v in inline_spans(before, after, most)]
     return out
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeloom.plans import engine, kernels
+from treeloom.plans import detail, engine, rows
 from treeloom.plans.document import Document
 
 CHANGE = pa.struct(
@@ -111,45 +111,80 @@ def tone_of() -> F.Column:
     return F.when(op.isin("delete", "replace", "move", "insert"), op).when(op == "meta-update", "meta").when(F.col("renamed"), "rename").when(F.col("reordered"), "reorder").otherwise("plain")
 
 
-def projected(pairs: DataFrame, changes: DataFrame) -> DataFrame:
-    """Lines of both sides with the change that shows on each: the strongest tone, then the shortest range."""
+def projected(pairs: DataFrame, changes: DataFrame, plain: bool = False) -> DataFrame:
+    """Lines of both sides with the change that shows on each: the strongest tone, then the shortest range.
+
+    plain: also changes without a tone show, where no other does.
+    """
     sides = []
     for side in ("old", "new"):
         lines = pairs.select("pair_id", F.posexplode(F.split(F.coalesce(f"{side}_md", F.lit("")), "\r?\n", -1)).alias("at", "text")).select("pair_id", F.lit(side).alias("side"), (F.col("at") + 1).alias("line"), "text")
         first = F.when(F.col("renamed") & (F.col("entity") == "section"), F.col(f"{side}_line")).otherwise(F.col(f"{side}_end"))
-        shown = changes.filter((F.col(f"{side}_line") > 0) & (tone_of() != "plain")).select(
+        shown = changes.filter((F.col(f"{side}_line") > 0) & (F.lit(plain) | (tone_of() != "plain"))).select(
             "pair_id", "change_id", "ord", tone_of().alias("tone"), (first - F.col(f"{side}_line")).alias("span"), F.explode(F.sequence(F.col(f"{side}_line"), F.greatest(first, f"{side}_line"))).alias("line")
         )
         rank = F.array_position(F.array(*(F.lit(x) for x in TONES)), F.col("tone"))
-        best = F.row_number().over(Window.partitionBy("pair_id", "line").orderBy(rank, "span", "ord"))
+        best = F.row_number().over(Window.partitionBy("pair_id", "line").orderBy(rank, "span", F.col("ord") == 0, "ord"))
         top = shown.withColumn("best", best).filter("best = 1").select("pair_id", "line", "change_id", "tone")
         sides.append(lines.join(top, ["pair_id", "line"], "left").select("pair_id", "side", "line", "text", "change_id", F.coalesce("tone", F.lit("plain")).alias("tone")))
     return sides[0].unionByName(sides[1])
 
 
-def merged_rows(pairs: DataFrame) -> DataFrame:
-    """(pair_id, row, old_line, new_line): lines of both sides in aligned rows; the k-th deleted line of a run stands by the k-th inserted one."""
+def merged_rows(pairs: DataFrame, changes: DataFrame) -> DataFrame:
+    """(pair_id, row, old_line, new_line, peer_row): lines of both sides in aligned rows (``plans.rows``), and of a moved line the row of its other end."""
+    about = changes.select(
+        "pair_id", "change_id", F.when(F.col("parent_change_id").isNotNull(), F.col("change_id")).alias("key"), F.when(F.col("pair_kind") != "none", F.col("pair_kind")).otherwise("").alias("pair_kind"),
+        "below_changed", F.array_join("warnings", "|").alias("warnings"), F.when(F.col("op") == "move", F.col("move_id")).otherwise("").alias("moved"),
+    )
+    lines = projected(pairs, changes, plain=True).join(about, ["pair_id", "change_id"], "left")
+    line = F.struct(F.col("line").alias("number"), "text", "key", "tone", F.coalesce("pair_kind", F.lit("")).alias("pair_kind"), F.coalesce("below_changed", F.lit(False)).alias("below_changed"), F.coalesce("warnings", F.lit("")).alias("warnings"), F.coalesce("moved", F.lit("")).alias("moved"))
+    whole = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, line))).alias(s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pair_id, old, new in zip(*(batch.column(c).to_pylist() for c in ("pair_id", "old", "new")), strict=True):
+                found = rows.merged([rows.Line(**x) for x in old], [rows.Line(**x) for x in new])
+                x, y = ([None if r[k] is None else r[k].number for r in found] for k in (0, 1))
+                columns = [pa.array([pair_id] * len(found), pa.int64()), *(pa.array(c, pa.int32()) for c in (range(len(found)), x, y, rows.peers(found)))]
+                yield pa.RecordBatch.from_arrays(columns, ["pair_id", "row", "old_line", "new_line", "peer_row"])
+
+    return lines.groupBy("pair_id").agg(whole("old"), whole("new")).mapInArrow(run, "pair_id long, row int, old_line int, new_line int, peer_row int")
+
+
+def detailed(pairs: DataFrame, options: engine.Options | None = None) -> DataFrame:
+    """What the detail view of each change shows (``plans.detail``); lines, code and tables as JSON, empty where there is none."""
+    options = options or engine.Options()
+    names = ["pair_id", "change_id", *(f"{s}_{c}" for c in ("text", "lines", "code", "table") for s in ("old", "new")), "affected_lines"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said = lambda x: json.dumps(x, ensure_ascii=False) if x else ""
         for batch in batches:
             for pair_id, old, new in zip(*(batch.column(c).to_pylist() for c in ("pair_id", "old_md", "new_md")), strict=True):
-                a, b = (old or "").split("\n"), (new or "").split("\n")
-                rows, gone, come = [], [], []
-                for op, i, j in [*kernels.align(a, b), ("end", -1, -1)]:
-                    if op == "delete":
-                        gone.append(i + 1)
-                    elif op == "insert":
-                        come.append(j + 1)
-                    else:
-                        n = max(len(gone), len(come))
-                        rows += zip(gone + [None] * (n - len(gone)), come + [None] * (n - len(come)), strict=True)
-                        gone, come = [], []
-                        if op == "equal":
-                            rows.append((i + 1, j + 1))
-                x, y = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([pair_id] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int32()), pa.array(x, pa.int32()), pa.array(y, pa.int32())], ["pair_id", "row", "old_line", "new_line"])
-
-    return pairs.select("pair_id", "old_md", "new_md").mapInArrow(run, "pair_id long, row int, old_line int, new_line int")
+                root, c = engine.compare(old or "", new or "", options)
+                found = []
+                for i, x in enumerate(engine.walk(root)):
+                    if x.op == "equal" and not (x.renamed or x.reordered):
+                        continue
+                    own = [(n := detail.side_of(x, s)) and detail.preview(n) for s in ("old", "new")]
+                    for show in (detail.highlighted, detail.code_lines, detail.table_rows):
+                        own += [said(show(x, s)) for s in ("old", "new")]
+                    found.append((pair_id, f"c{i}", *own, detail.affected_lines(x, c.old, c.new)))
+                if found:
+                    kinds = [pa.int64(), *[pa.string()] * 9, pa.list_(pa.int32())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
+
+    kinds = ", ".join(f"{n} string" for n in names[1:-1])
+    return pairs.select("pair_id", "old_md", "new_md").mapInArrow(run, f"pair_id long, {kinds}, affected_lines array<int>")
+
+
+def change_index(changes: DataFrame) -> DataFrame:
+    """(pair_id, kind, key, change_id): the first change of each old node, new node and pair, and all changes of each move."""
+    of = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    pair = F.when(F.col("pair_kind") != "none", F.concat_ws(":", "pair_kind", "old_id", "new_id"))
+    keys = F.array(of("old", F.col("old_id")), of("new", F.col("new_id")), of("pair", pair), of("move", F.when(F.col("move_id") != "", F.col("move_id"))))
+    listed = changes.select("pair_id", "change_id", "ord", F.explode(keys).alias("x")).select("pair_id", "x.kind", "x.key", "change_id", "ord").filter("key IS NOT NULL")
+    first = F.row_number().over(Window.partitionBy("pair_id", "kind", "key").orderBy("ord"))
+    return listed.withColumn("at", first).filter("at = 1 OR kind = 'move'").select("pair_id", "kind", "key", "change_id")
 
 
 def move_peers(changes: DataFrame) -> DataFrame:

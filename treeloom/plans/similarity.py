@@ -16,6 +16,12 @@ MINHASH_FROM, MINHASHES = 256, 64
 #: Characters up to which code is compared by character, else by line.
 CODE_CHARS = 5000
 
+# Recall by signatures, and the scores of the structural fallback.
+RECALL_DISTANCE, RECALL_BONUS = 24, 0.05
+PATH_BONUS, RANGE_BONUS = 0.1, 0.05
+FALLBACK_BASE, FALLBACK_SHAPE, FALLBACK_PATH, FALLBACK_RANGE, FALLBACK_SAME = 0.35, 0.3, 0.15, 0.1, 0.2
+OTHER_PATH, LINES_APART, NO_RANGE = 0.7, 10, 0.7
+
 
 def levenshtein(a, b) -> int:
     """Edit distance, by rows of bits: one step an element of a, over whole numbers of len(b) bits."""
@@ -149,3 +155,59 @@ def words_of(x: str) -> list[str]:
     from treeloom.plans.document import normal_title, words
 
     return words(normal_title(x))
+
+
+def signature_distance(a: Node, b: Node) -> int | None:
+    """Bits in which the signatures differ; None if one has none."""
+    return None if a.sim is None or b.sim is None else (a.sim ^ b.sim).bit_count()
+
+
+def recallable(a: Node, b: Node) -> bool:
+    """Whether two nodes are near enough for a tree edit to pair them: an equal hash, or a near signature."""
+    same = any(a.hashes[h] == b.hashes[h] for h in ("self", "identity", "content"))
+    headings = a.kind == b.kind == "heading" and a.hashes["body"] == b.hashes["body"]
+    if same or headings:
+        return True
+    distance = signature_distance(a, b)
+    return distance is None or distance <= RECALL_DISTANCE
+
+
+def recall_bonus(a: Node, b: Node) -> float:
+    distance = signature_distance(a, b)
+    return 0.0 if distance is None else max(0.0, (RECALL_DISTANCE - distance) / RECALL_DISTANCE) * RECALL_BONUS
+
+
+def closeness(a: Node, b: Node) -> float:
+    """By the first lines; some if one is not known."""
+    return max(0.0, 1 - abs(a.line - b.line) / LINES_APART) if a.line and b.line else NO_RANGE
+
+
+def same_path(a: Node, b: Node) -> bool:
+    return bool(a.path) and a.path == b.path
+
+
+def relabel_score(a: Node, b: Node) -> float:
+    """How well b stands for a in a tree edit."""
+    if a.shape != b.shape:
+        return 0.0
+    if a.hashes["self"] == b.hashes["self"]:
+        return 1.0
+    return min(1.0, similarity(a, b) + PATH_BONUS * same_path(a, b) + RANGE_BONUS * closeness(a, b) + recall_bonus(a, b))
+
+
+def child_shapes(a: Node, b: Node) -> float:
+    return multisets(Counter(c.shape for c in a.children), Counter(c.shape for c in b.children))
+
+
+def fallback_score(a: Node, b: Node, context: float) -> float:
+    """A pair of the structural fallback by content, children's shapes, path and place."""
+    shapes = child_shapes(a, b)
+    same = FALLBACK_SAME if len(a.children) == len(b.children) and shapes == 1 else 0.0
+    path = 1.0 if same_path(a, b) else OTHER_PATH
+    return min(1.0, FALLBACK_BASE * similarity(a, b, context) + FALLBACK_SHAPE * shapes + FALLBACK_PATH * path + FALLBACK_RANGE * closeness(a, b) + same)
+
+
+def margin(scores: list[float]) -> float:
+    """The best score less the second best; 1 if there is one only."""
+    top = sorted(scores, reverse=True)[:2]
+    return top[0] - top[1] if len(top) == 2 else 1.0
