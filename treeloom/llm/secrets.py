@@ -123,10 +123,11 @@ def _found(rule: Rule, text: Column, length: Callable[[Column], Column]) -> Colu
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", length: Callable[[Column], Column] = F.length) -> DataFrame:
     """docs' rows as (row, text, found): all columns as a struct, the text, and an array of spans (start, end) for each rule."""
     spark = docs.sparkSession
-    base = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
-    asked = candidates(spark, index(base, rules), rules)
+    text = F.coalesce(F.col("row").getField(text_col), F.lit("")).alias("text")
+    base = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(id_col, text_col).alias("key"))
+    asked = candidates(spark, index(base.select("key", text), rules), rules)
     hot = hot_keys(base.groupBy("key").agg(F.count("*").alias("n")), "key", docs.count())
-    rows = salted_join(base.withColumn("place", F.monotonically_increasing_id()), asked, "key", hot, "place")
+    rows = salted_join(base.withColumn("place", F.monotonically_increasing_id()), asked, "key", hot, "place").select("row", text, "rules")
     none = F.array().cast("array<struct<start:int,end:int>>")
     spans = []
     for r, rule in enumerate(rules):
