@@ -1,16 +1,18 @@
 """Personal data by weak supervision.
 
-Patterns propose candidate spans. Labelers vote on each: its form (regex), lists
-of known names and ranges (gazetteer), and its surroundings (context) speak for
-it, against it, or not at all. Counts of the different votes over the whole corpus
-go into expectation-maximisation, which estimates how reliable each labeler is
-and how likely a span with such votes is personal; a logistic classifier learns
-those likelihoods from votes, kind and length, and decides about the spans that
-are not fixed. Spans of the base kinds always stay.
-
-The corpus is read once: candidates go to a checkpoint, and the counted votes are
-a table whose size has a bound that does not depend on the corpus (kinds x
-3^labelers x lengths), so that table alone reaches the driver.
+Patterns and lists propose candidate spans. Labelers vote on each: its form (regex),
+lists of names, zones, ranges and country codes (gazetteer), and its surroundings
+(context) speak for it, against it, or not at all. Counts of the different votes over
+the whole corpus go into expectation-maximisation, which estimates how reliable each
+labeler is and how likely a span with such votes is personal. A logistic classifier
+learns those likelihoods from the text alone, never from the votes: the span's shape,
+what stands next to it and the words around it. It decides about the spans that are
+not fixed. Spans of the base kinds always stay.
+
+The corpus is read once: candidates go to a checkpoint. The counted votes are a table
+whose size has a bound that does not depend on the corpus (kinds x 3^labelers), so that
+table alone reaches the driver, and with it TRAIN candidates of each kind, those with
+the smallest hashes, for the classifier.
 
 Defined cases: a null text counts as empty; texts of any length are scanned in
 linear time; rows that repeat are judged each; a null doc_id passes through; ties
@@ -22,17 +24,20 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeloom.llm.common import checkpointed, texts_of
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "national", "social", "masked", "titled")
+KINDS = (*BASE, "national", "social", "masked", "titled", "name")
+#: Candidates of each kind that the classifier learns from, and how many more are looked at for them.
+TRAIN, MARGIN = 1500, 4
 LABELERS = ("form", "known", "near", "unlike", "alone", "rare")
 
 # The base patterns. Each is written so that a failing start costs no second look at its run.
@@ -50,6 +55,23 @@ _MASKED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])]
 _TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?")
 
 # Lists and surroundings that the labelers know.
+_GIVEN = frozenset("""
+adam alan albert alex alice amanda amy andrea andrew angela anna anne anthony antonio barbara benjamin brian carlos carol catherine charles christine christopher
+claire daniel david deborah dennis diana donald dorothy edward elena elizabeth emily emma eric eva frank gary george grace hannah hans heather helen henry
+isabel jack jacob james jane janet jason jean jeffrey jennifer jessica joan john jonathan jose joseph joshua juan judith julia karen karl kate katherine kenneth
+kevin laura lauren linda lisa louis lucas lucy luis manuel marco margaret maria marie mark martha martin mary matthew melissa michael michelle nancy nicholas
+nicole olivia pamela patricia patrick paul peter philip pierre rachel raymond rebecca richard robert roger ronald rose ruth samuel sandra sarah scott sharon
+sophie stephanie stephen steven susan teresa theresa thomas timothy victoria virginia walter william
+""".split())
+_FAMILY = frozenset("""
+adams allen anderson bailey baker becker bell bennett brooks brown butler campbell carter clark collins cook cooper cox davis diaz edwards evans fischer flores
+foster garcia gomez gonzalez gray green hall harris hernandez hill hoffman howard hughes jackson james jenkins johnson jones kelly king klein lee lewis long
+lopez martin martinez miller mitchell moore morales morgan morris muller murphy myers nelson nguyen ortiz parker perez perry peterson phillips powell price
+ramirez reed reyes richardson rivera roberts robinson rodriguez rogers ross russell sanchez sanders schmidt schneider scott simmons smith stewart sullivan
+taylor thomas thompson torres turner walker ward watson weber white williams wilson wood wright young
+""".split())
+_COUNTRY = re.compile(r"1|7|2[07]|3[0123469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-69][0-9]|3[578][0-9]|42[013]|5[09][0-9]|6[789][0-9]|8[058][0-9]|9[679][0-9]")
+_NAME = re.compile(r"\b[A-Z][a-z]{1,30} [A-Z][a-z]{1,30}\b")
 _ZONES = frozenset("com org net edu gov info io co uk de fr es it eu us ca".split())
 _BRANDS = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6011|65|35|30|36|38")
 _NEAR = re.compile(r"\b(?:call|phone|tel|telephone|mobile|cell|fax|contact|e-?mail|mail|write|reach|card|visa|pay|address|ssn|social|name|dear|ip)\b", re.I)
@@ -112,7 +134,12 @@ def further_spans(text: str) -> list[tuple[int, int, int]]:
     low = text.lower() if "(" in text or "[" in text else ""
     if "(at)" in low or "[at]" in low:
         out += [(6, *m.span()) for m in _MASKED.finditer(text)]
-    out += [(7, *m.span()) for m in _TITLED.finditer(text)]
+    titled = [m.span() for m in _TITLED.finditer(text)]
+    out += [(7, *t) for t in titled]
+    ends = {e for _, e in titled}
+    for m in _NAME.finditer(text):
+        if m.end() not in ends and m[0].split(" ")[0].lower() in _GIVEN:
+            out.append((8, *m.span()))
     return out
 
 
@@ -135,7 +162,7 @@ def votes(text: str, kind: int, start: int, end: int, times: int) -> tuple[int,
         known = 1 if _BRANDS.match(digits) else -1
     elif name == "phone":
         form = 1 if 10 <= len(digits) <= 13 else -1
-        known = 1 if digits[:1] == "1" else 0
+        known = 1 if _COUNTRY.match(digits) else -1
     elif name == "national":
         form = 1 if digits[0] not in "01" else -1
         known = -1 if digits[0] in "01" or digits[3] in "01" else 1
@@ -144,7 +171,10 @@ def votes(text: str, kind: int, start: int, end: int, times: int) -> tuple[int,
     elif name == "masked":
         form, known = 1, 1 if re.split(r"\W+", span.lower())[-1] in _ZONES else -1
     elif name == "titled":
-        form, known = 1, 1
+        words = {w.lower() for w in span.split(" ")[1:]}
+        form, known = 1, 1 if words & (_GIVEN | _FAMILY) else 0
+    elif name == "name":
+        form, known = 0, 1 if span.split(" ")[1].lower() in _FAMILY else -1
     near = 1 if _NEAR.search(before) or _NEAR.search(after) else 0
     unlike = -1 if _UNLIKE.search(before) or _UNLIKE.search(after) else 0
     beside = before[-1:] + after[:1]
@@ -152,8 +182,32 @@ def votes(text: str, kind: int, start: int, end: int, times: int) -> tuple[int,
     return form, known, near, unlike, alone, -1 if times > 3 else 0
 
 
+def _sort(c: str) -> int:
+    return 0 if not c else 1 if c.isspace() else 2 if c.isdigit() else 3 if c.isalpha() else 4 if c in ",.;:!?" else 5
+
+
+#: Where each group of features starts: kind, length, digits, different digits, signs in the span, its first and last sign, the signs beside it, and words around it.
+WORDS = 128
+_OFFSETS = np.cumsum([0, len(KINDS), 12, 20, 11, 8, 6, 6, 6, 6, 4 * WORDS]).tolist()
+_WORD = re.compile(r"\w+")
+
+
+def features(text: str, kind: int, start: int, end: int) -> list[int]:
+    """The features that hold of a span: what it looks like and what is around it, as numbers below ``_OFFSETS[-1]``."""
+    span = text[start:end]
+    digits = [c for c in span if "0" <= c <= "9"]
+    at = _OFFSETS
+    out = [at[0] + kind, at[1] + min(11, len(span) // 3), at[2] + min(19, len(digits)), at[3] + min(10, len(set(digits)))]
+    out += [at[4] + k for k, c in enumerate(".-( +@_[") if c in span]
+    out += [at[5] + _sort(span[:1]), at[6] + _sort(span[-1:]), at[7] + _sort(text[start - 1 : start] if start else ""), at[8] + _sort(text[end : end + 1])]
+    before, after = _WORD.findall(text[max(0, start - AROUND) : start])[-2:], _WORD.findall(text[end : end + AROUND])[:2]
+    for k, w in [*enumerate(reversed(before)), *enumerate(after, 2)]:
+        out.append(at[9] + k * WORDS + zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % WORDS)
+    return out
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, found) with found: (kind, start, end, votes, size) of each candidate. Spans that overlap one of a base kind are none."""
+    """(doc_id, found) with found: (kind, start, end, votes, features) of each candidate. Spans that overlap one of a base kind are none."""
 
     def look(text: str) -> list[dict]:
         base = base_spans(text)
@@ -168,11 +222,11 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for _, s, e in spans:
             times[text[s:e]] = times.get(text[s:e], 0) + 1
         return [
-            {"kind": k, "start": s, "end": e, "votes": "".join("-0+"[v + 1] for v in votes(text, k, s, e, times[text[s:e]])), "size": min(3, (e - s) // 8)}
+            {"kind": k, "start": s, "end": e, "votes": "".join("-0+"[v + 1] for v in votes(text, k, s, e, times[text[s:e]])), "features": features(text, k, s, e)}
             for k, s, e in spans
         ]
 
-    inner = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("votes", pa.string()), ("size", pa.int32())]))
+    inner = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("votes", pa.string()), ("features", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +234,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, inner)], ["doc_id", "found"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return texts_of(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, found array<struct<kind:int,start:int,end:int,votes:string,size:int>>")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, found array<struct<kind:int,start:int,end:int,votes:string,features:array<int>>>")
 
 
 def reliabilities(vote: np.ndarray, kind: np.ndarray, count: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
@@ -211,46 +265,66 @@ def reliabilities(vote: np.ndarray, kind: np.ndarray, count: np.ndarray, rounds:
     return like, chance
 
 
-def _features(vote: np.ndarray, kind: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.ones((len(kind), 1)), vote, np.eye(len(KINDS))[kind], np.eye(4)[size]], 1)
+def design(rows: list[list[int]]) -> np.ndarray:
+    """Rows of features as a matrix, with a last column of ones."""
+    x = np.zeros((len(rows), _OFFSETS[-1] + 1), np.float32)
+    x[:, -1] = 1
+    for i, own in enumerate(rows):
+        x[i, own] = 1
+    return x
 
 
-def classifier(vote: np.ndarray, kind: np.ndarray, size: np.ndarray, count: np.ndarray, like: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights of a logistic model of like, by Newton's method."""
-    x = _features(vote, kind, size)
-    w = np.zeros(x.shape[1])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (count * (p - like)) + ridge * w
-        w -= np.linalg.solve((x * (count * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), slope)
-    return w
+def classifier(x: np.ndarray, like: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
+    """Weights of a logistic model of like, by Newton's method over the columns that occur; the others weigh nothing."""
+    used = np.flatnonzero(x.any(0))
+    part, w = x[:, used], np.zeros(len(used))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+        slope = part.T @ (p - like) + ridge * w
+        step = np.linalg.solve((part * (p * (1 - p))[:, None]).T @ part + ridge * np.eye(len(w)), slope)
+        w -= step
+        if np.abs(step).max() < 1e-6:
+            break
+    out = np.zeros(x.shape[1])
+    out[used] = w
+    return out
 
 
-def learned(found: DataFrame) -> dict[tuple[int, str, int], float]:
-    """How likely a span is personal, for all (kind, votes, size) of the candidates in found."""
-    rows = sorted(map(tuple, found.select(F.explode("found").alias("x")).groupBy("x.kind", "x.votes", "x.size").count().collect()))
-    if not rows:
-        return {}
-    kind, said, size, count = zip(*rows, strict=True)
+def learned(found: DataFrame, most: int = TRAIN) -> np.ndarray | None:
+    """Weights of all features and, last, of the constant; None without a candidate."""
+    rows = found.select(F.xxhash64("doc_id", "found").alias("own"), F.posexplode("found").alias("at", "x")).select("own", "at", "x.*")
+    counts = sorted(map(tuple, rows.groupBy("kind", "votes").count().collect()))
+    if not counts:
+        return None
+    kind, said, count = zip(*counts, strict=True)
     vote = np.array([["-0+".index(c) - 1 for c in v] for v in said])
-    kind, size, count = np.array(kind), np.array(size), np.array(count, float)
-    like, _ = reliabilities(vote, kind, count)
-    w = classifier(vote, kind, size, count, like)
-    p = 1 / (1 + np.exp(-_features(vote, kind, size) @ w))
-    return {r[:3]: float(x) for r, x in zip(rows, p, strict=True)}
+    like = dict(zip(zip(kind, said, strict=True), reliabilities(vote, np.array(kind), np.array(count, float))[0], strict=True))
+    of_kind = np.bincount(kind, count)
+    # Only hashes in a share of their range that holds about MARGIN times as many candidates as are wanted meet in one task.
+    share = F.create_map(*(F.lit(x) for k, n in enumerate(of_kind) if n for x in (k, float(min(1.0, MARGIN * most / n)))))[F.col("kind")]
+    h = F.xxhash64("own", "at")
+    near = rows.withColumn("h", h).filter((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= share)
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy("h", "start"))
+    chosen = near.withColumn("rank", rank).filter(F.col("rank") <= most).select("kind", "votes", "features").collect()
+    chosen.sort(key=lambda r: (r["kind"], r["votes"], r["features"]))
+    return classifier(design([r["features"] for r in chosen]), np.array([like[r["kind"], r["votes"]] for r in chosen]))
+
+
+def likelihood(weights: np.ndarray, own: list[int]) -> float:
+    return float(1 / (1 + np.exp(-np.clip(weights[own].sum() + weights[-1], -30, 30))))
 
 
 def spans(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans) with spans: (start, rank, end, score), in order: all of the base kinds, others from a score of least on."""
     found = checkpointed(candidates(docs, id_col, text_col))
-    score = docs.sparkSession.sparkContext.broadcast(learned(found))
+    weights = docs.sparkSession.sparkContext.broadcast(learned(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         for batch in batches:
             out = []
             for own in batch.column("found").to_pylist():
-                kept = [(x["start"], x["kind"], x["end"], score.value[x["kind"], x["votes"], x["size"]]) for x in own]
+                kept = [(x["start"], x["kind"], x["end"], likelihood(weights.value, x["features"])) for x in own]
                 out.append([dict(zip(("start", "rank", "end", "score"), x, strict=True)) for x in sorted(kept) if x[1] < len(BASE) or x[3] >= least])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, inner)], ["doc_id", "spans"])
 
