@@ -59,14 +59,14 @@ def test_equal_documents_have_no_change(text):
 
 
 CASES = [
-    ("", "# New", "inserts"), ("# A", "# A\n\nnew paragraph", "inserts"), ("- a", "- a\n  - b", "inserts"), ("# A\n\npara", "# A", "deletes"),
-    ("---\na: 1\n---", "---\na: 1\nb: 2\n---", "meta_updates"), ("---\ntags: [a]\n---", "---\ntags: [a, b]\n---", "meta_updates"), ("# Old Title", "# New Title", "renames"),
-    ("| a | b |\n| --- | --- |\n| 1 | 2 |", "| a | b |\n| --- | --- |\n| 1 | 3 |", "replaces"), ("- [ ] task", "- [x] task", "meta_updates"),
-    ("```js\ncode\n```", "```ts\ncode\n```", "meta_updates"), ("| a |\n| :-- |\n| 1 |", "| a |\n| :--: |\n| 1 |", "meta_updates"),
-    ("# Intro\n\nhello old world", "# Intro\n\nhello new world", "replaces"), ("# Intro\n\nhello", "# Intro\n\nworld", None), ("# Old Name\n\nBody text", "# New Name\n\nBody text", "renames"),
-    ("## Overview\n\nsame body", "## Summary\n\nsame body", "renames"), ("```\na\nb\nc\n```", "```\na\nx\nc\n```", "replaces"), ("# A\n# B\n# C", "# C\n# A\n# B", "reorders"),
-    ("- a\n- b\n- c", "- c\n- a\n- b", None), ("Text[^old]\n\n[^old]: note", "Text[^new]\n\n[^new]: note", "renames"), ("[old]: url", "[new]: url", "renames"), ("[id]: old", "[id]: new", "meta_updates"),
-    ("$$x=1$$", "$$y=2$$", None), ("> a\n> b", "> a", None), ("# A", "paragraph", None), ("- a\n  - b\n    - c\n      - d\n        - e", "- a\n  - b\n    - c\n      - d\n        - f", None),
+    ("", "# Fresh", "inserts"), ("# Top", "# Top\n\nan added passage", "inserts"), ("- outer", "- outer\n  - inner", "inserts"), ("# Top\n\npassage", "# Top", "deletes"),
+    ("---\nsize: 1\n---", "---\nsize: 1\ncolor: 2\n---", "meta_updates"), ("---\nwords: [x]\n---", "---\nwords: [x, y]\n---", "meta_updates"), ("# Early Name", "# Late Name", "renames"),
+    ("| h | i |\n| --- | --- |\n| 4 | 5 |", "| h | i |\n| --- | --- |\n| 4 | 6 |", "replaces"), ("- [ ] chore", "- [x] chore", "meta_updates"),
+    ("```py\nrun\n```", "```rb\nrun\n```", "meta_updates"), ("| h |\n| :-- |\n| 4 |", "| h |\n| :--: |\n| 4 |", "meta_updates"),
+    ("# Start\n\ngood grey morning", "# Start\n\ngood blue morning", "replaces"), ("# Start\n\nmorning", "# Start\n\nevening", None), ("# First Title\n\nits passage", "# Second Title\n\nits passage", "renames"),
+    ("## Aims\n\none passage", "## Goals\n\none passage", "renames"), ("```\np\nq\nr\n```", "```\np\nz\nr\n```", "replaces"), ("# P\n# Q\n# R", "# R\n# P\n# Q", "reorders"),
+    ("- p\n- q\n- r", "- r\n- p\n- q", None), ("Said[^one]\n\n[^one]: remark", "Said[^two]\n\n[^two]: remark", "renames"), ("[one]: place", "[two]: place", "renames"), ("[key]: here", "[key]: there", "meta_updates"),
+    ("$$a=4$$", "$$b=5$$", None), ("> p\n> q", "> p", None), ("# P", "passage", None), ("- p\n  - q\n    - r\n      - s\n        - t", "- p\n  - q\n    - r\n      - s\n        - u", None),
 ]
 
 
@@ -77,7 +77,7 @@ def test_cases(old, new, kind):
 
 
 def test_blank_lines_are_no_change_and_long_code_is_folded():
-    assert not any(stats("# A", "# A\n\n\n")[0][k] for k in COUNTED)
+    assert not any(stats("# Top", "# Top\n\n\n")[0][k] for k in COUNTED)
     lines = [f"line {i}" for i in range(5000)]
     s, root = stats("```\n" + "\n".join(lines) + "\n```", "```\n" + "\n".join([*lines[:2500], "other", *lines[2501:]]) + "\n```")
     code = next(c for c in e.walk(root) if c.node.kind == "code")
@@ -92,9 +92,9 @@ def test_moves_are_one_pair_of_changes():
 
 
 def test_spans_of_a_paragraph_and_metadata_paths():
-    _, root = stats("# Intro\n\nhello old world", "# Intro\n\nhello new world")
+    _, root = stats("# Start\n\ngood grey morning", "# Start\n\ngood blue morning")
     p = next(c for c in e.walk(root) if c.node.kind == "paragraph")
-    assert ("word", 0, 0, "replace", "old", "new") in p.spans and p.pair_kind in ("match", "aligned")
+    assert ("word", 0, 0, "replace", "grey", "blue") in p.spans and p.pair_kind in ("match", "aligned")
     assert e.metadata_diff({"a": 1, "b": {"x": 1}}, {"b": {"x": 2}, "c": 3}) == [("$.a", "delete", 1, None), ("$.b.x", "replace", 1, 2), ("$.c", "insert", None, 3)]
 
 

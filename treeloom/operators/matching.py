@@ -159,3 +159,51 @@ def mutual_best(scored: DataFrame, old: list[str], new: list[str], least: float
     best = lambda keys: F.max("score").over(Window.partitionBy(*keys))
     rows = margins(scored, old, new).withColumn("best_old", best(old)).withColumn("best_new", best(new))
     return rows.filter((F.col("score") == F.col("best_old")) & (F.col("score") == F.col("best_new")) & (F.col("score") >= least) & (F.col("margin_old") >= margin) & (F.col("margin_new") >= margin)).drop("best_old", "best_new")
+
+
+def told_apart(members: DataFrame, keys: DataFrame) -> DataFrame:
+    """(pair_id, group, old_id, new_id) of groups of equally many nodes on both sides that their children tell apart.
+
+    members: pair_id, side, group, node_id. keys: pair_id, side, node_id, child. A child
+    counts where it stands once below its node, and it is evidence if one new node of
+    the group alone has it so. A group is resolved as a whole or not at all.
+    """
+    once = keys.groupBy("pair_id", "side", "node_id", "child").count().filter("count = 1").drop("count").join(members, ["pair_id", "side", "node_id"])
+    single = once.filter("side = 'new'").groupBy("pair_id", "group", "child").agg(F.count("*").alias("n"), F.min("node_id").alias("new_id")).filter("n = 1").drop("n")
+    found = once.filter("side = 'old'").join(single, ["pair_id", "group", "child"]).groupBy("pair_id", "group", F.col("node_id").alias("old_id"))
+    found = found.agg(F.min("new_id").alias("new_id"), F.max("new_id").alias("other")).filter("new_id = other").drop("other")
+    size = members.groupBy("pair_id", "group").agg(F.count_if(F.col("side") == "old").alias("n_old"), F.count_if(F.col("side") == "new").alias("n_new"))
+    whole = found.groupBy("pair_id", "group").agg(F.count("*").alias("n"), F.countDistinct("new_id").alias("different")).join(size, ["pair_id", "group"])
+    return found.join(whole.filter("n = n_old AND n = n_new AND n = different").select("pair_id", "group"), ["pair_id", "group"], "left_semi")
+
+
+def neighbours_matched(pairs: DataFrame, nodes: DataFrame, matches: DataFrame) -> DataFrame:
+    """pairs (pair_id, old_id, new_id) where a node next to the old one has its partner next to the new one."""
+    of = lambda s, name: nodes.filter(F.col("side") == s).select("pair_id", F.col("node_id").alias(f"{s}_{name}"), F.col("parent_id").alias(f"{s}_parent"), F.col("sibling_index").alias(f"{s}_{name}_at"))
+    own = pairs.select("pair_id", "old_id", "new_id").join(of("old", "id"), ["pair_id", "old_id"]).join(of("new", "id"), ["pair_id", "new_id"])
+    near = lambda s: F.abs(F.col(f"{s}_near_at") - F.col(f"{s}_id_at")) == 1
+    known = matches.select("pair_id", F.col("old_id").alias("old_near"), F.col("new_id").alias("new_near")).join(of("old", "near"), ["pair_id", "old_near"]).join(of("new", "near"), ["pair_id", "new_near"])
+    return own.join(known, ["pair_id", "old_parent", "new_parent"]).filter(near("old") & near("new")).select("pair_id", "old_id", "new_id").distinct()
+
+
+def bounded(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Candidates (pair_id, old_id, new_id, new_index) between the partners of the old node's nearest matched siblings; all of a node's if none is.
+
+    bounds: as ``sibling_bounds`` gives them.
+    """
+    edges = bounds.select("pair_id", F.col("node_id").alias("old_id"), "left_new", "right_new")
+    inside = (F.col("new_index") > F.coalesce("left_new", F.lit(-1))) & (F.coalesce(F.col("new_index") < F.col("right_new"), F.lit(True)))
+    rows = rows.join(edges, ["pair_id", "old_id"]).withColumn("inside", inside)
+    some = F.max("inside").over(Window.partitionBy("pair_id", "old_id"))
+    return rows.withColumn("some", some).filter("inside OR NOT some").drop("inside", "some", "left_new", "right_new")
+
+
+def child_shapes(pairs: DataFrame, nodes: DataFrame, shape: Column) -> DataFrame:
+    """pairs (pair_id, old_id, new_id) with score: how alike the shapes of both nodes' children are as multisets; 1 without children."""
+    counts = nodes.filter("depth > 0").groupBy("pair_id", "side", F.col("parent_id").alias("node_id"), shape.alias("shape")).agg(F.count("*").alias("n"))
+    each = F.array(F.struct(F.lit("old").alias("side"), F.col("old_id").alias("node_id")), F.struct(F.lit("new").alias("side"), F.col("new_id").alias("node_id")))
+    rows = pairs.select("pair_id", "old_id", "new_id").withColumn("x", F.explode(each)).select("pair_id", "old_id", "new_id", "x.*").join(counts, ["pair_id", "side", "node_id"], "left")
+    on = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0)).alias(s)
+    both = rows.groupBy("pair_id", "old_id", "new_id", "shape").agg(on("old"), on("new"))
+    most = F.sum(F.greatest("old", "new"))
+    return both.groupBy("pair_id", "old_id", "new_id").agg(F.when(most > 0, F.round(F.sum(F.least("old", "new")) / most, NINE)).otherwise(1.0).alias("score"))

@@ -15,8 +15,9 @@ from treeloom.operators import tree
 from treeloom.plans import kernels, pairs, report
 from treeloom.plans.stages import materialized
 from treeloom.plans.text_queries import _title
-from treeloom.plans.tree_queries import EXACT_SQL, HASHES_SQL, _exact, _hashed, _scored, _unique
-from treeloom.sources.tables import LINES_SQL, line_rule, line_versions, lines, table
+from treeloom.plans.tree_queries import EXACT_SQL, HASHES_SQL, TREE_LEVELS, _exact, _hashed, _scored, _unique
+from treeloom.sources.ledgers import LEDGER_TREES_SQL, ledger_trees
+from treeloom.sources.tables import LINES_SQL, TREES_SQL, line_rule, line_versions, lines, table
 
 QUERIES, SQL = {}, {}
 
@@ -143,6 +144,28 @@ def reorder_marks(spark, sf_dir):
     return listed.mapInArrow(run, "doc_id long, old_pos int, new_pos int, reordered boolean")
 
 
+# A longest increasing run, by the smallest last value of a run of each length; of values in order.
+_RUN = "list_reduce(list_prepend([]::INT[], [[v] for v in {0}]), lambda runs, v: list_concat(list_concat(runs[1:len(list_filter(runs, lambda t: t < v[1]))], v), runs[len(list_filter(runs, lambda t: t < v[1])) + 2:]))"
+
+
+@query(f"""
+WITH {LINES_SQL}, met AS (SELECT o.doc_id, o.pos AS i, n.pos AS j FROM versions o JOIN versions n ON n.doc_id = o.doc_id AND n.text = o.text AND o.side = 'old' AND n.side = 'new'),
+common AS (SELECT doc_id, len({_RUN.format('js')}) AS n FROM (SELECT doc_id, list(j ORDER BY i, j DESC) AS js FROM met GROUP BY doc_id)),
+sizes AS (SELECT doc_id, count(*) FILTER (WHERE side = 'old') AS o, count(*) FILTER (WHERE side = 'new') AS n FROM versions GROUP BY doc_id)
+SELECT doc_id, coalesce(c.n, 0)::BIGINT AS n_equal, (o - coalesce(c.n, 0))::BIGINT AS n_delete, (s.n - coalesce(c.n, 0))::BIGINT AS n_insert FROM sizes s LEFT JOIN common c USING (doc_id)""")
+def shortest_edit_counts(spark, sf_dir):
+    """How many lines a shortest script keeps, takes out and puts in."""
+    return _scripts(spark, sf_dir, "myers").drop("script")
+
+
+@query(f"""
+WITH {LINES_SQL}, once AS (SELECT doc_id, text, min(pos) FILTER (WHERE side = 'old') AS i, min(pos) FILTER (WHERE side = 'new') AS j FROM versions GROUP BY ALL HAVING count(*) FILTER (WHERE side = 'old') = 1 AND count(*) FILTER (WHERE side = 'new') = 1)
+SELECT doc_id, n AS lines, (n - len({_RUN.format('js')}))::BIGINT AS reordered FROM (SELECT doc_id, count(*) AS n, list(j ORDER BY i) AS js FROM once GROUP BY doc_id)""")
+def reorder_counts(spark, sf_dir):
+    """Lines that are unique on both sides, and how many of them leave the longest run in common order."""
+    return reorder_marks(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if("reordered").alias("reordered"))
+
+
 # -- trees and tables
 
 
@@ -171,21 +194,23 @@ def rename_recovery(spark, sf_dir):
     return found.filter("old_title <> new_title").select("pair_id", "old_id", "new_id", "old_title", "new_title")
 
 
-_MOVES = f"""{EXACT_SQL}, taken AS (SELECT pair_id, 'old' AS side, old_id AS node_id FROM exact UNION ALL SELECT pair_id, 'new', new_id FROM exact),
-loose AS (SELECT n.* FROM nodes n WHERE depth > 0 AND NOT EXISTS (SELECT 1 FROM taken x WHERE x.pair_id = n.pair_id AND x.side = n.side AND x.node_id = n.node_id) AND NOT EXISTS (SELECT 1 FROM taken x WHERE x.pair_id = n.pair_id AND x.side = n.side AND x.node_id = n.parent_id)),
-moved AS (SELECT * FROM ({_unique('loose', 'pair_id', 'self_hash', 'node_id')}) WHERE n_old = 1 AND n_new = 1)"""
+_MOVES = EXACT_SQL.replace(TREES_SQL, LEDGER_TREES_SQL)
 
 
-@query(f"""WITH {_MOVES} SELECT v.pair_id, v.old_id, v.new_id, CASE WHEN o.subtree_hash = n.subtree_hash THEN 'move-exact' WHEN o.kind = 'heading' AND o.direct_hash = n.direct_hash THEN 'move-direct' ELSE 'move-self' END AS move_kind
-FROM moved v JOIN nodes o ON o.pair_id = v.pair_id AND o.side = 'old' AND o.node_id = v.old_id JOIN nodes n ON n.pair_id = v.pair_id AND n.side = 'new' AND n.node_id = v.new_id WHERE o.parent_id <> n.parent_id""")
+@query(f"""WITH {_MOVES}, taken AS (SELECT pair_id, 'old' AS side, old_id AS node_id FROM exact UNION ALL SELECT pair_id, 'new', new_id FROM exact),
+loose AS (SELECT n.* FROM nodes n WHERE depth > 0 AND NOT EXISTS (SELECT 1 FROM taken x WHERE x.pair_id = n.pair_id AND x.side = n.side AND x.node_id = n.node_id) AND NOT EXISTS (SELECT 1 FROM taken x WHERE x.pair_id = n.pair_id AND x.side = n.side AND x.node_id = n.parent_id)),
+found AS (SELECT pair_id, old_id, new_id FROM exact UNION ALL SELECT pair_id, old_id, new_id FROM ({_unique('loose', 'pair_id', 'self_hash', 'node_id')}) WHERE n_old = 1 AND n_new = 1)
+SELECT v.pair_id, v.old_id, v.new_id, CASE WHEN o.subtree_hash = n.subtree_hash THEN 'move-exact' WHEN o.kind = 'heading' AND o.direct_hash = n.direct_hash THEN 'move-direct' ELSE 'move-self' END AS move_kind
+FROM found v JOIN nodes o ON o.pair_id = v.pair_id AND o.side = 'old' AND o.node_id = v.old_id JOIN nodes n ON n.pair_id = v.pair_id AND n.side = 'new' AND n.node_id = v.new_id WHERE o.parent_id <> n.parent_id""")
 def move_candidates(spark, sf_dir):
-    """Nodes outside equal subtrees whose self is unique on both sides, under another parent."""
-    nodes = _hashed(spark, sf_dir)
+    """Equal subtrees, and other nodes whose self is unique on both sides, under another parent."""
+    nodes = materialized(tree.hashed(materialized(ledger_trees(spark, sf_dir), "pair_id"), TREE_LEVELS), "pair_id")
     exact = _exact(nodes)
     loose = m.unmatched(nodes.filter("depth > 0"), exact, "pair_id", "node_id").withColumnsRenamed({"node_id": "own", "parent_id": "node_id"})
     loose = m.unmatched(loose, exact, "pair_id", "node_id").withColumnsRenamed({"node_id": "parent_id", "own": "node_id"})
     of = lambda s: nodes.filter(F.col("side") == s).select("pair_id", F.col("node_id").alias(f"{s}_id"), *(F.col(c).alias(f"{s}_{c}") for c in ("parent_id", "kind", "subtree_hash", "direct_hash")))
-    found = m.unique_shared(loose, "pair_id", "self_hash", "node_id").join(of("old"), ["pair_id", "old_id"]).join(of("new"), ["pair_id", "new_id"]).filter("old_parent_id <> new_parent_id")
+    found = exact.select("pair_id", "old_id", "new_id").unionByName(m.unique_shared(loose, "pair_id", "self_hash", "node_id").select("pair_id", "old_id", "new_id"))
+    found = found.join(of("old"), ["pair_id", "old_id"]).join(of("new"), ["pair_id", "new_id"]).filter("old_parent_id <> new_parent_id")
     kind = F.when(F.col("old_subtree_hash") == F.col("new_subtree_hash"), "move-exact").when((F.col("old_kind") == "heading") & (F.col("old_direct_hash") == F.col("new_direct_hash")), "move-direct").otherwise("move-self")
     return found.select("pair_id", "old_id", "new_id", kind.alias("move_kind"))
 

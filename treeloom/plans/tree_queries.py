@@ -36,7 +36,7 @@ _UP = "SELECT s.*, md5(self_hash || '/' || coalesce(own, '')) AS direct_hash, md
 HASHES_SQL = f"""{TREES_SQL}, selfs AS (SELECT *, {_SELF} AS self_hash FROM trees),
 d2 AS (SELECT *, md5(self_hash || '/') AS direct_hash, md5(self_hash || '/') AS subtree_hash, md5('') AS body_hash FROM selfs WHERE depth = 2),
 k1 AS ({_KIDS.format('d2')}), d1 AS ({_UP.format('k1', 1)}), k0 AS ({_KIDS.format('d1')}), d0 AS ({_UP.format('k0', 0)}),
-nodes AS (SELECT * FROM d2 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d0)"""
+nodes AS MATERIALIZED (SELECT * FROM d2 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d0)"""
 
 
 def _unique(source: str, pair: str, key: str, node: str) -> str:
@@ -45,7 +45,7 @@ def _unique(source: str, pair: str, key: str, node: str) -> str:
 
 
 EXACT_SQL = f"""{HASHES_SQL}, shared AS (SELECT * FROM ({_unique('(SELECT * FROM nodes WHERE depth > 0)', 'pair_id', 'subtree_hash', 'node_id')}) WHERE n_old = 1 AND n_new = 1),
-exact AS (SELECT pair_id, old_id, new_id FROM shared s WHERE NOT EXISTS (
+exact AS MATERIALIZED (SELECT pair_id, old_id, new_id FROM shared s WHERE NOT EXISTS (
   SELECT 1 FROM nodes o JOIN shared p ON p.pair_id = o.pair_id AND p.old_id = o.parent_id WHERE o.side = 'old' AND o.pair_id = s.pair_id AND o.node_id = s.old_id))"""
 
 CANDIDATES_SQL = f"""{EXACT_SQL}, taken AS (SELECT pair_id, 'old' AS side, old_id AS node_id FROM exact UNION ALL SELECT pair_id, 'new', new_id FROM exact),
@@ -226,7 +226,7 @@ def match_local_by_key(spark, sf_dir):
 
 
 _SCORED = f"""{EXACT_SQL}, taken AS (SELECT pair_id, 'old' AS side, old_id AS node_id FROM exact UNION ALL SELECT pair_id, 'new', new_id FROM exact),
-loose AS (SELECT n.* FROM nodes n WHERE kind = 'listItem' AND NOT EXISTS (SELECT 1 FROM taken x WHERE x.pair_id = n.pair_id AND x.side = n.side AND x.node_id = n.node_id)
+loose AS MATERIALIZED (SELECT n.* FROM nodes n WHERE kind = 'listItem' AND NOT EXISTS (SELECT 1 FROM taken x WHERE x.pair_id = n.pair_id AND x.side = n.side AND x.node_id = n.node_id)
   AND NOT EXISTS (SELECT 1 FROM taken x WHERE x.pair_id = n.pair_id AND x.side = n.side AND x.node_id = n.parent_id)),
 pairs AS (SELECT o.pair_id, o.node_id AS old_id, n.node_id AS new_id, o.parent_id, o.sibling_index AS oi, n.sibling_index AS ni, string_split(o.text, ' ') AS a, string_split(n.text, ' ') AS b
   FROM loose o JOIN loose n ON n.pair_id = o.pair_id AND n.parent_id = o.parent_id AND o.side = 'old' AND n.side = 'new'),
@@ -292,3 +292,72 @@ def projection_blocks(spark, sf_dir):
     rows = line_versions(table(spark, sf_dir, "documents")).withColumn("tone", tone)
     rows = rows.withColumn("block", F.sum(F.when(F.col("tone") == F.lag("tone").over(w), 0).otherwise(1)).over(w))
     return rows.groupBy("doc_id", "side", "block", "tone").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("n"))
+
+
+# -- evidence from children and siblings
+
+_TAKEN = f"""{EXACT_SQL}, taken AS (SELECT pair_id, 'old' AS side, old_id AS node_id FROM exact UNION ALL SELECT pair_id, 'new', new_id FROM exact),
+loose AS (SELECT n.*, {_title('title')} AS slug FROM nodes n WHERE kind = 'heading' AND NOT EXISTS (SELECT 1 FROM taken x WHERE x.pair_id = n.pair_id AND x.side = n.side AND x.node_id = n.node_id)),
+named AS (SELECT pair_id, old_id, new_id FROM ({_unique('loose', 'pair_id', 'slug', 'node_id')}) WHERE n_old = 1 AND n_new = 1)"""
+
+
+def _named(nodes, exact):
+    loose = m.unmatched(nodes.filter("kind = 'heading'"), exact, "pair_id", "node_id")
+    return m.unique_shared(loose.withColumn("slug", t.normalize_heading_title(F.col("title"))), "pair_id", "slug", "node_id").select("pair_id", "old_id", "new_id")
+
+
+@query(f"""
+WITH {HASHES_SQL}, alike AS (SELECT pair_id, self_hash, count(*) FILTER (WHERE side = 'old') AS n FROM nodes WHERE kind = 'heading' GROUP BY ALL HAVING count(*) FILTER (WHERE side = 'old') >= 2 AND count(*) FILTER (WHERE side = 'new') = count(*) FILTER (WHERE side = 'old')),
+keys AS (SELECT h.pair_id, h.side, h.node_id, h.self_hash, c.subtree_hash AS child FROM nodes h JOIN alike USING (pair_id, self_hash) JOIN nodes c ON c.pair_id = h.pair_id AND c.side = h.side AND c.parent_id = h.node_id WHERE h.kind = 'heading' GROUP BY ALL HAVING count(*) = 1),
+single AS (SELECT pair_id, self_hash, child, min(node_id) AS new_id FROM keys WHERE side = 'new' GROUP BY ALL HAVING count(*) = 1),
+evidence AS (SELECT k.pair_id, k.self_hash, k.node_id AS old_id, min(new_id) AS new_id FROM keys k JOIN single s ON s.pair_id = k.pair_id AND s.self_hash = k.self_hash AND s.child = k.child WHERE side = 'old' GROUP BY ALL HAVING count(DISTINCT new_id) = 1),
+whole AS (SELECT pair_id, self_hash FROM evidence JOIN alike USING (pair_id, self_hash) GROUP BY pair_id, self_hash, n HAVING count(*) = n AND count(DISTINCT new_id) = n)
+SELECT pair_id, old_id, new_id FROM evidence JOIN whole USING (pair_id, self_hash)""")
+def resolved_by_children(spark, sf_dir):
+    """Headings with one name that stand equally often on both sides, told apart by their items."""
+    nodes = _hashed(spark, sf_dir)
+    heads = nodes.filter("kind = 'heading'").withColumnRenamed("self_hash", "group")
+    members = heads.join(m.ambiguous_shared(heads, "pair_id", "group", "node_id").select("pair_id", "group"), ["pair_id", "group"], "left_semi").select("pair_id", "side", "group", "node_id")
+    keys = nodes.filter("depth > 0").select("pair_id", "side", F.col("parent_id").alias("node_id"), F.col("subtree_hash").alias("child"))
+    return m.told_apart(members, keys).select("pair_id", "old_id", "new_id")
+
+
+@query(f"""
+WITH {_TAKEN} SELECT DISTINCT c.pair_id, c.old_id, c.new_id FROM named c
+JOIN nodes o ON o.pair_id = c.pair_id AND o.side = 'old' AND o.node_id = c.old_id JOIN nodes n ON n.pair_id = c.pair_id AND n.side = 'new' AND n.node_id = c.new_id
+JOIN nodes p ON p.pair_id = c.pair_id AND p.side = 'old' AND p.parent_id = o.parent_id AND abs(p.sibling_index - o.sibling_index) = 1
+JOIN exact e ON e.pair_id = c.pair_id AND e.old_id = p.node_id
+JOIN nodes q ON q.pair_id = c.pair_id AND q.side = 'new' AND q.node_id = e.new_id AND q.parent_id = n.parent_id AND abs(q.sibling_index - n.sibling_index) = 1""")
+def neighbour_context(spark, sf_dir):
+    """Headings of one name with a matched neighbour on both sides."""
+    nodes = _hashed(spark, sf_dir)
+    exact = _exact(nodes)
+    return m.neighbours_matched(_named(nodes, exact), nodes, exact)
+
+
+@query(f"""
+WITH {_TAKEN}, known AS (SELECT e.pair_id, o.parent_id, o.sibling_index AS spot, n.sibling_index AS partner FROM exact e JOIN nodes o ON o.pair_id = e.pair_id AND o.side = 'old' AND o.node_id = e.old_id JOIN nodes n ON n.pair_id = e.pair_id AND n.side = 'new' AND n.node_id = e.new_id),
+edged AS (SELECT o.pair_id, o.node_id, o.parent_id, coalesce(max_by(partner, spot) FILTER (WHERE spot < o.sibling_index), -1) AS low, coalesce(min_by(partner, spot) FILTER (WHERE spot > o.sibling_index), 1000000000) AS high
+  FROM loose o LEFT JOIN known k ON k.pair_id = o.pair_id AND k.parent_id = o.parent_id WHERE o.side = 'old' GROUP BY o.pair_id, o.node_id, o.parent_id, o.sibling_index),
+every AS (SELECT o.pair_id, o.node_id AS old_id, n.node_id AS new_id, n.sibling_index > low AND n.sibling_index < high AS inside FROM edged o JOIN loose n ON n.pair_id = o.pair_id AND n.side = 'new' AND n.parent_id = o.parent_id)
+SELECT pair_id, old_id, new_id FROM (SELECT *, bool_or(inside) OVER (PARTITION BY pair_id, old_id) AS has_some FROM every) WHERE inside OR NOT has_some""")
+def bounded_candidates(spark, sf_dir):
+    """Unmatched headings of both sides that lie between the same matched ones."""
+    nodes = _hashed(spark, sf_dir)
+    exact = _exact(nodes)
+    loose = m.unmatched(nodes.filter("kind = 'heading'"), exact, "pair_id", "node_id")
+    of = lambda s: loose.filter(F.col("side") == s).select("pair_id", "parent_id", F.col("node_id").alias(f"{s}_id"), F.col("sibling_index").alias(f"{s}_index"))
+    rows = of("old").join(of("new"), ["pair_id", "parent_id"]).select("pair_id", "old_id", "new_id", "new_index")
+    return m.bounded(rows, m.sibling_bounds(nodes, exact)).select("pair_id", "old_id", "new_id")
+
+
+@query(f"""
+WITH {_TAKEN}, counted AS (SELECT pair_id, side, parent_id, kind || coalesce(checked::VARCHAR, '') AS shape, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+both_sides AS (SELECT c.pair_id, c.old_id, c.new_id, k.shape, sum(CASE WHEN k.side = 'old' THEN k.n ELSE 0 END) AS o, sum(CASE WHEN k.side = 'new' THEN k.n ELSE 0 END) AS n
+  FROM named c LEFT JOIN counted k ON k.pair_id = c.pair_id AND (k.side = 'old' AND k.parent_id = c.old_id OR k.side = 'new' AND k.parent_id = c.new_id) GROUP BY ALL)
+SELECT pair_id, old_id, new_id, coalesce(round(sum(least(o, n)) / nullif(sum(greatest(o, n)), 0), 9), 1.0)::DOUBLE AS score FROM both_sides GROUP BY pair_id, old_id, new_id""")
+def child_shape_similarity(spark, sf_dir):
+    """How alike the items of two headings of one name are by kind and tick."""
+    nodes = _hashed(spark, sf_dir)
+    shape = F.concat("kind", F.coalesce(F.col("checked").cast("string"), F.lit("")))
+    return m.child_shapes(_named(nodes, _exact(nodes)), nodes, shape)
