@@ -35,3 +35,15 @@ def test_a_graph_with_cycles(spark):
     )
     got = {r["host"]: (r["trust"], r["distrust"]) for r in found.collect()}
     assert got == {x: (pytest.approx(trust[i], abs=2e-6), pytest.approx(distrust[i], abs=2e-6)) for x, i in at.items()}
+
+
+def test_a_hub_is_dealt_to_several_tasks(spark):
+    """Three thousand hosts link to a hub and it to them: its edges are cut, and scores are those of the plain rule."""
+    n = 3000
+    edges = spark.createDataFrame([(f"h{i}", "hub", 1) for i in range(n)] + [("hub", f"h{i}", 1) for i in range(n)], "source string, target string, links long")
+    seeds = spark.createDataFrame([("hub", 1.0, 0.0), ("h0", 0.0, 1.0)], "host string, allowed double, blocked double")
+    moves = u._moves("trust", edges, "source", "target").groupBy("node").count().collect()
+    assert {r["node"]: r["count"] for r in moves}["trust/hub"] == n and len(moves) == n + 1
+    got = {r["host"]: r for r in u.scores(seeds, edges, rounds=2).collect()}
+    d = u.DAMPING
+    assert got["hub"]["trust"] == pytest.approx(1 + d * d) and got["h5"]["trust"] == pytest.approx(d / n) and got["h0"]["distrust"] == pytest.approx(1 + d * d / n)

@@ -62,7 +62,7 @@ CHUNK = 1 << 17
 FEW = 4
 UNKNOWN = "und"
 #: Scores below it are too unsure for ``accepted``.
-LEAST = 0.25
+LEAST = 0.2
 
 #: The symbol before a text's first byte, and the bits of a symbol.
 START, WIDTH = 256, 9

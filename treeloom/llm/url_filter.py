@@ -26,7 +26,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import checkpointed
+from treeloom.llm.common import checkpointed, hot_keys, salted_join
 
 #: Fixed values: (verdict, rule).
 RULES = (
@@ -74,6 +74,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.filter("source <> '' AND target <> '' AND source <> target").groupBy("source", "target").agg(F.count("*").alias("links"))
 
 
+def _moves(kind: str, edges: DataFrame, host: str, to: str) -> DataFrame:
+    """(kind, node, to, share): what each host passes on to each of its neighbours. A host with very many of them is dealt to several tasks."""
+    degree = edges.groupBy(host).agg(F.sum("links").alias("all"), F.count("*").alias("n"))
+    hot = hot_keys(degree.select(host, "n"), host, edges.count())
+    rows = salted_join(edges, degree.select(host, "all"), host, hot, to, "inner")
+    return rows.select(F.lit(kind).alias("kind"), F.concat_ws("/", F.lit(kind), host).alias("node"), F.col(to).alias("to"), (F.col("links") / F.col("all")).alias("share"))
+
+
 def scores(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS) -> DataFrame:
     """(host, trust, distrust) of hosts with either, as multiples of 1 - damping.
 
@@ -82,12 +90,9 @@ def scores(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds:
     at most damping of what the last one moved, so what is missing from a host then is
     below SETTLED too.
     """
-    out = edges.groupBy("source").agg(F.sum("links").alias("all"))
-    into = edges.groupBy("target").agg(F.sum("links").alias("all"))
-    moves = checkpointed(
-        edges.join(out, "source").select(F.lit("trust").alias("kind"), F.col("source").alias("host"), F.col("target").alias("to"), (F.col("links") / F.col("all")).alias("share"))
-        .unionByName(edges.join(into, "target").select(F.lit("distrust").alias("kind"), F.col("target").alias("host"), F.col("source").alias("to"), (F.col("links") / F.col("all")).alias("share")))
-    )
+    edges = checkpointed(edges)
+    moves = checkpointed(_moves("trust", edges, "source", "target").unionByName(_moves("distrust", edges, "target", "source")))
+    hot = checkpointed(hot_keys(moves.groupBy("node").agg(F.count("*").alias("n")), "node", moves.count()))
     start = checkpointed(
         seeds.select(F.lit("trust").alias("kind"), "host", F.col("allowed").alias("score"))
         .unionByName(seeds.select(F.lit("distrust").alias("kind"), "host", F.col("blocked").alias("score"))).filter("score > 0")
@@ -96,7 +101,8 @@ def scores(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds:
     if not moves.isEmpty():
         last = start
         for k in count(1) if rounds is None else range(1, rounds + 1):
-            sent = now.join(moves, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+            own = now.select(F.concat_ws("/", "kind", "host").alias("node"), "score")
+            sent = salted_join(moves, own, "node", hot, "to", "inner").select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
             now = start.unionByName(sent).groupBy("kind", "host").agg(F.sum("score").alias("score"))
             if k % KEEP_EVERY == 0 or k == rounds:
                 now = checkpointed(now)
