@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# The characters that count as white space, and as CJK.
+# The characters that count as white space, and as CJK; what a word is, and the numbers before a heading that do not count.
 SPACE = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
 WORD = r"[\p{L}\p{N}_]+(?:['’.][\p{L}\p{N}_]+)*"
@@ -55,6 +55,7 @@ def normalize_heading_title(x: Column, nfkc: bool = False) -> Column:
 
 
 def slugify_heading(x: Column, nfkc: bool = False) -> Column:
+    # The classes of characters that a slug drops or joins.
     plain = F.regexp_replace(normalize_heading_title(x, nfkc), r"[^\p{L}\p{N}\s-]", " ")
     return F.regexp_replace(trimmed(plain), r"[\s_-]+", "-")
 

@@ -18,6 +18,7 @@ import numpy as np
 
 from treeloom.sources.markdown import front_matter, normal_id, parse, plain
 
+# Fixed values, as in ``functions.text``: words, CJK characters, and the numbers before a heading that do not count.
 _WORD = re.compile(r"[^\W_]+(?:['’.][^\W_]+)*|_+")
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]+")
 _PREFIX = re.compile(r"^([ivxlcdm]+|\d+(?:\.\d+)*|\d{1,4})[.)、：:-]\s+")
@@ -40,6 +41,7 @@ def normal_title(x: str) -> str:
 
 
 def slug(x: str) -> str:
+    # The classes of characters that a slug drops or joins.
     return re.sub(r"[\s_-]+", "-", re.sub(r"[^\w\s-]|_", " ", normal_title(x)).strip())
 
 
@@ -237,6 +239,14 @@ class Document:
         n.hashes = h
 
 
+def readable(text: str) -> Document:
+    """The document, or one of a root alone where it is nested too deep to be read."""
+    try:
+        return Document(text)
+    except RecursionError:
+        return Document("")
+
+
 def structured_tokens(node: dict) -> list[str]:
     """What a block and its inline nodes are and point to, beside their text."""
     own = [f"{name}:{node[key].lower()}" for name, key in (("url", "url"), ("title", "title"), ("alt", "alt")) if node.get(key)]

@@ -740,5 +740,12 @@ def summary(root: Change) -> dict[str, int]:
 
 
 def compare(old: str, new: str, options: Options | None = None) -> tuple[Change, Comparison]:
-    c = Comparison(Document(old), Document(new), options or Options())
-    return c.run(), c
+    """The changes from old to new. A pair nested too deep to be read gives one change, with a warning."""
+    options = options or Options()
+    try:
+        c = Comparison(Document(old), Document(new), options)
+        return c.run(), c
+    except RecursionError:
+        c = Comparison(Document(""), Document(""), options)
+        same = old == new
+        return Change("equal" if same else "replace", c.old.root, c.new.root, pair_kind="match", match_kind="forced-root", self_changed=not same, degraded=True, warnings=["nesting-too-deep"]), c

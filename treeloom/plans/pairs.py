@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeloom.plans import detail, engine, rows
-from treeloom.plans.document import Document
+from treeloom.plans.document import readable
 
 CHANGE = pa.struct(
     [
@@ -82,7 +82,7 @@ def nodes_of(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for pair_id, side, md in zip(*(batch.column(c).to_pylist() for c in ("pair_id", "side", "md")), strict=True):
                 rows = []
-                for n in Document(md or "").nodes:
+                for n in readable(md or "").nodes:
                     h = n.hashes
                     rows.append((pair_id, side, n.id, n.parent and n.parent.id, n.entity, n.kind, n.preorder, n.size, n.place, n.depth, n.line, n.end, n.title, n.identifier, n.checked, n.text, h["self"], h["direct"], h["subtree"], h["identity"], h["content"], h["body"], h["path"], None if n.sim is None else f"{n.sim:016x}"))
                 kinds = [pa.int64(), *[pa.string()] * 5, *[pa.int32()] * 6, pa.string(), pa.string(), pa.bool_(), *[pa.string()] * 9]

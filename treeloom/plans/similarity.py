@@ -64,6 +64,7 @@ def minhash(a, b) -> float:
     if not a or not b:
         return 1.0 if not a and not b else 0.0
 
+    # The factors of the seeded hash and of the seeds.
     def sketch(tokens):
         out = []
         for seed in range(1, MINHASHES + 1):

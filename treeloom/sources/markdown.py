@@ -19,6 +19,7 @@ _DEFINITION = re.compile(r"^ {0,3}\[(?!\^)([^\]]+)\]:\s*<?([^\s>]*)>?(?:\s+[\"'(
 _FOOTNOTE = re.compile(r"^ {0,3}\[\^([^\]]+)\]:\s?(.*)$")
 _DIVIDER = re.compile(r"^ {0,3}\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*$")
 _DIRECTIVE = re.compile(r"^ {0,3}(:{2,})([A-Za-z][\w-]*)?(.*)$")
+_KEY = re.compile(r"\s*([^:]+):(?:\s+(.*)|\s*)$")
 _HTML = re.compile(r"^ {0,3}<(?:[A-Za-z/!?])")
 _HEADING_ID = re.compile(r"\s*\{#[^}]*\}\s*$")
 
@@ -247,7 +248,7 @@ def _list(lines: list[str], i: int, start: int, out: list[dict]) -> int:
 
 
 def front_matter(kind: str, value: str):
-    """The value of front matter, or None if it can't be read. YAML: nested mappings, lists and scalars."""
+    """The value of front matter, or None if it can't be read. YAML: nested mappings, lists of scalars and mappings, block scalars, scalars."""
     try:
         return tomllib.loads(value) if kind == "toml" else _yaml([x for x in value.split("\n") if x.strip() and not x.lstrip().startswith("#")], 0)[0]
     except (ValueError, IndexError, tomllib.TOMLDecodeError):
@@ -280,15 +281,29 @@ def _yaml(lines: list[str], depth: int) -> tuple[object, int]:
     if lines[0].lstrip().startswith("- "):
         found, i = [], 0
         while i < len(lines) and _indent(lines[i]) == depth and lines[i].lstrip().startswith("- "):
-            found.append(_scalar(lines[i].lstrip()[2:]))
-            i += 1
+            inner = lines[i].lstrip()[2:]
+            if inner[:1] not in ("'", '"', "[", "{") and _KEY.match(inner):
+                # A mapping whose first key stands on the line of the dash.
+                value, used = _yaml([" " * (depth + 2) + inner, *lines[i + 1 :]], depth + 2)
+                found.append(value)
+                i += used
+            else:
+                found.append(_scalar(inner))
+                i += 1
         return found, i
     mapping, i = {}, 0
     while i < len(lines) and _indent(lines[i]) == depth:
-        m = re.match(r"\s*([^:]+):(?:\s+(.*)|\s*)$", lines[i])
+        m = _KEY.match(lines[i])
         if not m:
             raise ValueError(lines[i])
         i += 1
+        if (m[2] or "").strip() in ("|", "|-", ">", ">-"):
+            end = next((j for j in range(i, len(lines)) if _indent(lines[j]) <= depth), len(lines))
+            least = min((_indent(x) for x in lines[i:end]), default=0)
+            mark = m[2].strip()
+            mapping[m[1].strip()] = ("\n" if mark[0] == "|" else " ").join(x[least:] for x in lines[i:end]) + ("" if mark[1:] else "\n")
+            i = end
+            continue
         deeper = _indent(lines[i]) if i < len(lines) else -1
         if (m[2] or "").strip() or deeper < depth or (deeper == depth and not lines[i].lstrip().startswith("- ")):
             mapping[m[1].strip()] = _scalar(m[2] or "")
