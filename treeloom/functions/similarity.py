@@ -45,9 +45,9 @@ def multiset_jaccard(a: Column, b: Column) -> Column:
 
 def coded(tokens: Column, alphabet: Column) -> Column:
     """Tokens as one character each, by their place in the alphabet, past the surrogates (below a million different ones)."""
-    place = lambda t: F.array_position(alphabet, t) + 19968
-    code = lambda t: F.when(place(t) < 0xD800, place(t)).otherwise(place(t) + 0x800)
-    return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(code(t)), 8, "0")), "UTF-32")), "")
+    code = lambda at: F.when(at < 0xD800, at).otherwise(at + 0x800)
+    places = F.transform(tokens, lambda t: F.array_position(alphabet, t) + 19968)
+    return F.array_join(F.transform(places, lambda at: F.decode(F.unhex(F.lpad(F.hex(code(at)), 8, "0")), "UTF-32")), "")
 
 
 def edit_distance(a: Column, b: Column) -> Column:
