@@ -73,6 +73,15 @@ def unused(name: str, taken: list[str]) -> str:
     return name
 
 
+#: Rows of a few numbers each that may be broadcast, some ten MB.
+MOST_BROADCAST = 1_000_000
+
+
+def broadcast_if_small(rows: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """rows, marked for a broadcast only if a count shows that there are no more than most; beyond that they are shuffled as usual."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def hot_keys(counts: DataFrame, key: str, rows: int, least: int = 1000) -> DataFrame:
     """(key, salts) of the keys with so many rows that they are cut, each salt of about the same size.
 
