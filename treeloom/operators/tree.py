@@ -45,12 +45,16 @@ def parents_by_depth(headings: DataFrame, levels: int = 6) -> DataFrame:
 
 
 def self_hash() -> Column:
-    return content_hash(F.col("kind"), normalize_heading_title(F.col("title")), F.col("text"), F.col("checked"))
+    title = F.when(F.col("title") == "", "").otherwise(normalize_heading_title(F.col("title")))
+    return content_hash(F.col("kind"), title, F.col("text"), F.col("checked"))
 
 
 def hashed(nodes: DataFrame, levels: int | None = None) -> DataFrame:
-    """With self_hash, direct_hash, subtree_hash, body_hash: Merkle hashes from the leaves up, one join a level."""
-    rows = nodes.withColumn("self_hash", self_hash())
+    """With self_hash, direct_hash, subtree_hash, body_hash: Merkle hashes from the leaves up, one join a level.
+
+    Each level is read again by all above it, so nodes should come with their self_hash.
+    """
+    rows = nodes if "self_hash" in nodes.columns else nodes.withColumn("self_hash", self_hash())
     below = None  # (pair_id, side, parent_id, own, deep): the children's hashes in order
     out = []
     for d in range(max(deepest(nodes) if levels is None else levels, 0), -1, -1):

@@ -204,7 +204,7 @@ SELECT v.pair_id, v.old_id, v.new_id, CASE WHEN o.subtree_hash = n.subtree_hash
 FROM found v JOIN nodes o ON o.pair_id = v.pair_id AND o.side = 'old' AND o.node_id = v.old_id JOIN nodes n ON n.pair_id = v.pair_id AND n.side = 'new' AND n.node_id = v.new_id WHERE o.parent_id <> n.parent_id""")
 def move_candidates(spark, sf_dir):
     """Equal subtrees, and other nodes whose self is unique on both sides, under another parent."""
-    nodes = materialized(tree.hashed(materialized(ledger_trees(spark, sf_dir), "pair_id"), TREE_LEVELS), "pair_id")
+    nodes = materialized(tree.hashed(materialized(ledger_trees(spark, sf_dir).withColumn("self_hash", tree.self_hash()), "pair_id"), TREE_LEVELS), "pair_id")
     exact = _exact(nodes)
     loose = m.unmatched(nodes.filter("depth > 0"), exact, "pair_id", "node_id").withColumnsRenamed({"node_id": "own", "parent_id": "node_id"})
     loose = m.unmatched(loose, exact, "pair_id", "node_id").withColumnsRenamed({"node_id": "parent_id", "own": "node_id"})

@@ -79,7 +79,7 @@ TREE_LEVELS = 2
 
 
 def _hashed(spark, sf_dir):
-    return materialized(tree.hashed(materialized(trees(spark, sf_dir), "pair_id"), TREE_LEVELS), "pair_id")
+    return materialized(tree.hashed(materialized(trees(spark, sf_dir).withColumn("self_hash", tree.self_hash()), "pair_id"), TREE_LEVELS), "pair_id")
 
 
 def _exact(nodes):
