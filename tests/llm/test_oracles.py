@@ -18,7 +18,7 @@ def rows(names, found):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     df = queries.QUERIES[name](spark, DIR)
     want = con.execute(queries.SQL[name])

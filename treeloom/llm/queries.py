@@ -74,4 +74,5 @@ SQL = {
     "op3_exact_dedup": content_sort.SQL,
     "op6_ngram_join": oracles.ngram_components(),
     "op7_secret_scan": oracles.secret_scan(),
+    "op12_conversation_repair": oracles.conversation_repair(),
 }
