@@ -6,7 +6,7 @@ import tempfile
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds as arrays at one time.
@@ -65,6 +65,31 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES):
         yield first, len(sizes), column.slice(first).to_pylist()
 
 
+def held_out(doc_id) -> F.Column:
+    """Whether a document is held out of training; one without an id is not."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+#: How many times the rows that are wanted meet in one task when some are drawn.
+DRAW_MARGIN = 4
+
+
+def drawn(rows: DataFrame, group: str, most: int, counts: dict | None = None) -> DataFrame:
+    """The rows of each group with the smallest hashes h, most of them at most.
+
+    rows: different (group, h), h a 64-bit hash; so what repeats must have been made
+    one row before. Only hashes in a share of their range that holds about
+    DRAW_MARGIN * most rows of a group meet in one task. The groups must be few.
+    """
+    if counts is None:
+        counts = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
+    share = [F.lit(x) for k, n in counts.items() for x in (k, min(1.0, DRAW_MARGIN * most / max(1, n)))]
+    if not share:
+        return rows.limit(0)
+    near = rows.filter((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= F.create_map(*share)[F.col(group)])
+    return near.withColumn("__at", F.row_number().over(Window.partitionBy(group).orderBy("h"))).filter(F.col("__at") <= most).drop("__at")
+
+
 def unused(name: str, taken: list[str]) -> str:
     """name, with underscores before it until no column of taken is called so (columns compare without case)."""
     low = {c.lower() for c in taken}

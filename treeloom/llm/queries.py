@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treeloom.llm import audio, bpe, content_sort, conversation, ngram_join, oracles, packing, pii, ppm, secrets, token_counts, url_filter, whitening
+from treeloom.llm import audio, bpe, content_sort, conversation, neighbours, ngram_join, oracles, packing, pii, ppm, secrets, token_counts, url_filter, whitening
 from treeloom.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op10(spark, sf_dir):
     return audio.digests(audio.columns(table(spark, sf_dir, "documents")))
 
 
+def op11(spark, sf_dir):
+    return neighbours.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12(spark, sf_dir):
     return conversation.repaired(conversation.damaged(table(spark, sf_dir, "conversations")))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op8_pii": op8,
     "op9_packing": op9,
     "op10_audio": op10,
+    "op11_quality": op11,
     "op12_conversation_repair": op12,
     "op13_whitening": op13,
 }
