@@ -120,3 +120,16 @@ def test_repeated_rows_and_rows_without_ids(spark):
     df = spark.createDataFrame([(1, SOME[0]), (1, SOME[0]), (None, SOME[0]), (None, None)], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["n_phone"], r["base_sha256"]) for r in pii.report(df).collect())
     assert [g[:2] for g in got] in ([(0, 0), (0, 1), (1, 1), (1, 1)], [(0, 1), (0, 0), (1, 1), (1, 1)]) and len({g[2] for g in got}) == 2
+
+
+def test_one_row_repeated_very_often(spark):
+    one = spark.range(100_000).selectExpr("1L AS doc_id", "'Write to mary.jones@mail.example.org today.' AS text")
+    assert pii.report(one).groupBy("n_email").count().collect() == [(1, 100_000)]
+    few = spark.createDataFrame([(i, f"Call 555-{i % 900 + 100}-{i + 1000} or write to a{i}@b.org") for i in range(300)], "doc_id long, text string")
+    weights = pii.learned(pii.candidates(one.union(few)), most=50)
+    kinds = {r["kind"] for r in pii.candidates(few).selectExpr("explode(found) AS x").select("x.kind").distinct().collect()}
+    assert len(kinds) == 2 and all(weights[pii._OFFSETS[0] + k] != 0 for k in kinds)
+
+
+def test_the_classifier_takes_nothing():
+    assert not pii.classifier(np.zeros((0, 5), np.float32), np.zeros(0), np.zeros(0)).any()

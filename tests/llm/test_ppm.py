@@ -150,3 +150,22 @@ def test_without_training_rows(spark):
     df = spark.createDataFrame([(1, "abc", None), (None, None, "en")], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in ppm.identified(df).collect()} == {"und"}
     assert ppm.identified(df.limit(0)).count() == 0
+
+
+def test_a_sample_of_rows_not_of_ids(spark):
+    rng = random.Random(5)
+    for one in (178, 199, 3):  # whatever their hash, 3 texts or 3,000 that share an id train alike
+        rows = [(one, made(rng, "de", 60), "de") for _ in range(3000)] + [(i, made(rng, "en", 60), "en") for i in range(400, 700)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        got = ppm.sample(docs, most_docs=100)
+        held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in (one,)}
+        assert len(got["en"]) == 100 and len(got.get("de", [])) == (0 if held[one] else 100)
+        if not held[one]:
+            assert ppm.identified(docs, most_docs=100).filter("doc_id = %d AND lang_pred <> 'de'" % one).count() == 0
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    rng = random.Random(6)
+    rows = [(1, "word " * 500_000, "en"), *((i, made(rng, "en", 200), "en") for i in range(3, 40)), *((8, "the same text", "fr") for _ in range(5000))]
+    got = ppm.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_bytes=10_000)
+    assert 1 <= len(got["en"]) and sum(len(t.encode()) for t in got["en"]) <= 10_000 and got["fr"] == ["the same text"]

@@ -1,4 +1,5 @@
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -55,6 +56,30 @@ def test_a_long_blank_run():
     assert starts[0] == 0 and ends[-1] == 300_002 and (starts[1:] == ends[:-1]).all()
 
 
+@pytest.mark.parametrize("n", [1, 2, 298, 299, 300, 301, 2000])
+def test_both_encoders_agree(n):
+    bpe = token_counts.loaded(PATH)
+    for blank in (" ", "\n", "\t", "\u00a0", " \n"):
+        for text in (f"a{blank * n}b", blank * n, f"x {blank * n}", f"{blank * n}1é", f"it's{blank * n}\n🎉{blank * n}"):
+            assert bpe.library.encode(text, add_special_tokens=False).ids == bpe.encoding.encode_ordinary(text) == bpe.ids(text)
+
+
+def test_no_length_of_a_run_is_slow():
+    bpe, took = token_counts.loaded(PATH), {}
+    for n in (50, 250, 299, 300, 2000, 9_999, 10_000, 200_000):
+        text, start = ("w" + " " * n) * (200_000 // n), time.perf_counter()
+        bpe.ids(text)
+        took[n] = time.perf_counter() - start
+    assert max(took.values()) < 2, took
+
+
+def test_repeated_rows_and_null_ids(spark):
+    some = [(None, "a b\nc"), (None, "a b\nc"), (1, "a b\nc"), (1, "other\n\n"), (1, None)]
+    got = token_counts.part_counts(spark.createDataFrame(some, "doc_id long, text string"), PATH)
+    key = lambda r: (r["doc_id"] is not None, r["start"], r["end"])
+    assert sorted(map(key, got.collect())) == sorted((i is not None, *p) for i, t in some for p in token_counts.line_spans(t or ""))
+
+
 def test_query(spark):
     some = rows([*AWKWARD, "a\n\n\nb  \n c", "\n\n\n", "tail\n"])
     for df in (spark.createDataFrame(some, SCHEMA), spark.createDataFrame(widened(some), EXTRA)):

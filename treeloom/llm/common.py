@@ -70,20 +70,16 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-#: How many times the rows that are wanted meet in one task when some are drawn.
-DRAW_MARGIN = 4
-
-
 def drawn(rows: DataFrame, group: str, most: int, counts: dict | None = None) -> DataFrame:
     """The rows of each group with the smallest hashes h, most of them at most.
 
     rows: different (group, h), h a 64-bit hash; so what repeats must have been made
-    one row before. Only hashes in a share of their range that holds about
-    DRAW_MARGIN * most rows of a group meet in one task. The groups must be few.
+    one row before. Only hashes in a share of their range meet in one task, one that
+    holds most of a group's rows and eight standard deviations more. The groups must be few.
     """
     if counts is None:
         counts = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
-    share = [F.lit(x) for k, n in counts.items() for x in (k, min(1.0, DRAW_MARGIN * most / max(1, n)))]
+    share = [F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (most + 8 * most**0.5 + 32) / max(1, n)))]
     if not share:
         return rows.limit(0)
     near = rows.filter((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= F.create_map(*share)[F.col(group)])

@@ -11,8 +11,9 @@ not fixed. Spans of the base kinds always stay.
 
 The corpus is read once: candidates go to a checkpoint. The counted votes are a table
 whose size has a bound that does not depend on the corpus (kinds x 3^labelers), so that
-table alone reaches the driver, and with it TRAIN candidates of each kind, those with
-the smallest hashes, for the classifier.
+table alone reaches the driver, and with it TRAIN different candidates of each kind,
+those with the smallest hashes, for the classifier. Candidates are different by
+votes and features; each weighs as often as it stands in the corpus.
 
 Defined cases: a null text counts as empty; texts of any length are scanned in
 linear time; rows that repeat are judged each; a null doc_id passes through; ties
@@ -29,15 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import checkpointed, texts_of
+from treeloom.llm.common import checkpointed, drawn, texts_of
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "national", "social", "masked", "titled", "name")
-#: Candidates of each kind that the classifier learns from, and how many more are looked at for them.
-TRAIN, MARGIN = 1500, 4
+#: Candidates of each kind that the classifier learns from.
+TRAIN = 1500
 LABELERS = ("form", "known", "near", "unlike", "alone", "rare")
 
 # The base patterns. Each is written so that a failing start costs no second look at its run.
@@ -274,16 +275,20 @@ def design(rows: list[list[int]]) -> np.ndarray:
     return x
 
 
-def classifier(x: np.ndarray, like: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
-    """Weights of a logistic model of like, by Newton's method over the columns that occur; the others weigh nothing."""
+def classifier(x: np.ndarray, like: np.ndarray, count: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
+    """Weights of a logistic model of like, by Newton's method over the columns that occur; the others weigh nothing.
+
+    count: how often each row stands for; by mean, a row weighs one, so that ridge means the same for any corpus.
+    """
     used = np.flatnonzero(x.any(0))
     part, w = x[:, used], np.zeros(len(used))
+    times = np.ones(len(x)) if count is None else count / max(count.mean(), 1e-9) if len(count) else count
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
-        slope = part.T @ (p - like) + ridge * w
-        step = np.linalg.solve((part * (p * (1 - p))[:, None]).T @ part + ridge * np.eye(len(w)), slope)
+        slope = part.T @ (times * (p - like)) + ridge * w
+        step = np.linalg.solve((part * (times * p * (1 - p))[:, None]).T @ part + ridge * np.eye(len(w)), slope)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max(initial=0) < 1e-6:
             break
     out = np.zeros(x.shape[1])
     out[used] = w
@@ -292,22 +297,19 @@ def classifier(x: np.ndarray, like: np.ndarray, ridge: float = 1.0, rounds: int
 
 def learned(found: DataFrame, most: int = TRAIN) -> np.ndarray | None:
     """Weights of all features and, last, of the constant; None without a candidate."""
-    rows = found.select(F.xxhash64("doc_id", "found").alias("own"), F.posexplode("found").alias("at", "x")).select("own", "at", "x.*")
-    counts = sorted(map(tuple, rows.groupBy("kind", "votes").count().collect()))
+    rows = found.select(F.explode("found").alias("x")).select("x.kind", "x.votes", "x.features").groupBy("kind", "votes", "features").agg(F.count("*").alias("n"))
+    counts = sorted(map(tuple, rows.groupBy("kind", "votes").agg(F.sum("n"), F.count("*")).collect()))
     if not counts:
         return None
-    kind, said, count = zip(*counts, strict=True)
+    kind, said, count, _ = zip(*counts, strict=True)
     vote = np.array([["-0+".index(c) - 1 for c in v] for v in said])
     like = dict(zip(zip(kind, said, strict=True), reliabilities(vote, np.array(kind), np.array(count, float))[0], strict=True))
-    of_kind = np.bincount(kind, count)
-    # Only hashes in a share of their range that holds about MARGIN times as many candidates as are wanted meet in one task.
-    share = F.create_map(*(F.lit(x) for k, n in enumerate(of_kind) if n for x in (k, float(min(1.0, MARGIN * most / n)))))[F.col("kind")]
-    h = F.xxhash64("own", "at")
-    near = rows.withColumn("h", h).filter((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= share)
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy("h", "start"))
-    chosen = near.withColumn("rank", rank).filter(F.col("rank") <= most).select("kind", "votes", "features").collect()
+    different: dict[int, int] = {}
+    for k, _, _, n in counts:
+        different[k] = different.get(k, 0) + n
+    chosen = drawn(rows.withColumn("h", F.xxhash64("kind", "votes", "features")), "kind", most, different).select("kind", "votes", "features", "n").collect()
     chosen.sort(key=lambda r: (r["kind"], r["votes"], r["features"]))
-    return classifier(design([r["features"] for r in chosen]), np.array([like[r["kind"], r["votes"]] for r in chosen]))
+    return classifier(design([r["features"] for r in chosen]), np.array([like[r["kind"], r["votes"]] for r in chosen]), np.array([r["n"] for r in chosen], float))
 
 
 def likelihood(weights: np.ndarray, own: list[int]) -> float:

@@ -22,9 +22,10 @@ bits a byte takes, again against the usual. What is usual is measured on trainin
 texts that the measuring model has not seen.
 
 Training takes a bounded sample, a documented parameter: of each language the
-documents with the smallest hashes of their ids, whole, up to SAMPLE_DOCS
-documents and SAMPLE_BYTES bytes; of at most MOST_LANGUAGES languages, the ones
-with most documents, TOTAL_BYTES bytes together. Only those texts reach the driver.
+different texts with the smallest hashes, whole, up to SAMPLE_DOCS texts and
+SAMPLE_BYTES bytes (a longer text trains nothing); equal texts count once. A model
+has MOST_LANGUAGES languages at most, those with most different texts, and takes
+TOTAL_BYTES bytes together. Only those texts reach the driver, whatever ids repeat.
 Contexts of two bytes or more that are seen seldom go until the tables fit in
 MODEL_BYTES (the dense table takes 0.3 MB a language).
 
@@ -45,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import text_slices
+from treeloom.llm.common import drawn, held_out, text_slices
 
 ORDER = 4
 SAMPLE_DOCS = 600
@@ -53,7 +54,6 @@ SAMPLE_BYTES = 1_500_000
 TOTAL_BYTES = 32 << 20
 MOST_LANGUAGES = 256
 MODEL_BYTES = 64 << 20
-MARGIN = 4
 #: A context of two bytes or more is a node of the tree from so many occurrences on, in any language.
 LEAST_SEEN = 2
 #: Bytes that are priced at one time.
@@ -304,30 +304,20 @@ def _fitted(samples: dict[str, list[str]], order: int, most_bytes: int) -> Model
         least *= 2
 
 
-def held_out(doc_id) -> F.Column:
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
 def sample(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES, most_languages: int = MOST_LANGUAGES) -> dict[str, list[str]]:
-    """The training texts of each language; at most most_docs rows of it, and no more than most_bytes but for the last."""
+    """The training texts of each language; at most most_docs different ones, and no more than most_bytes."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    rows = rows.select("lang", F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"), "text")
+    pairs = rows.filter(F.col("size") <= most_bytes).select("lang", "h", "size").distinct()
+    counts = {r["lang"]: r["count"] for r in pairs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not counts:
         return {}
-    # Only hashes in a share of their range that holds about MARGIN times as many rows as are wanted meet in one task.
-    share = {r["lang"]: min(1.0, MARGIN * most_docs / r["count"]) for r in counts}
-    most_bytes = min(most_bytes, TOTAL_BYTES // len(share))
-    wanted = F.create_map(*(F.lit(x) for kv in share.items() for x in kv))[F.col("lang")]
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    first = (
-        rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("size"))
-        .filter((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= wanted)
-        .withColumn("at", F.row_number().over(w)).filter(F.col("at") <= most_docs)
-        .withColumn("before", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1))).filter(F.coalesce("before", F.lit(0)) < most_bytes)
-    )
-    chosen = F.broadcast(first.select("lang", "doc_id").distinct())  # most_docs rows for each language
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy("h"))
+    first = drawn(pairs, "lang", most_docs, counts).withColumn("sum", before).filter(F.col("sum") <= min(most_bytes, max(TOTAL_BYTES // len(counts), 1)))
+    # most_docs rows for each language; equal texts of a language are one row after the aggregate.
+    chosen = rows.join(F.broadcast(first.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     found: dict[str, list[str]] = {}
-    for r in sorted(rows.select("lang", "doc_id", "text").join(chosen, ["lang", "doc_id"], "left_semi").collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"])):
+    for r in sorted(chosen.select("lang", "text").collect(), key=lambda r: (r["lang"], r["text"])):
         found.setdefault(r["lang"], []).append(r["text"])
     return found
 

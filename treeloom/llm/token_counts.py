@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from treeloom.llm.common import slices, texts_of
+from treeloom.llm.common import text_slices, texts_of
 
 RULES = ("first", "last", "most", "split")
 
@@ -42,8 +42,10 @@ def line_spans(text: str) -> list[tuple[int, int]]:
     return [*out, (at, len(text))] if at < len(text) or not out else out
 
 
-#: A run of white space so long that the fast encoder's expression engine gives up on it.
-_LONG_BLANK = re.compile(r"\s{10000}")
+#: A run of white space from which on the other encoder is used: the first one's time grows with the square of a run, and its
+#: expression engine gives up on very long ones. Both give the same ids; at this length they take about the same time.
+LONG_BLANK = 300
+_LONG_BLANK = re.compile(rf"\s{{{LONG_BLANK}}}")
 
 
 class ByteBpe:
@@ -64,12 +66,14 @@ class ByteBpe:
         for token, i in ranks.items():
             self.sizes[i] = len(token)
 
+    def ids(self, text: str) -> list[int]:
+        if _LONG_BLANK.search(text):
+            return self.library.encode(text, add_special_tokens=False).ids
+        return self.encoding.encode_ordinary(text)
+
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """First and one past the last character of each token."""
-        if _LONG_BLANK.search(text):
-            ids = np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
-        else:
-            ids = np.array(self.encoding.encode_ordinary(text), np.int64)
+        ids = np.array(self.ids(text), np.int64)
         ends = np.cumsum(self.sizes[ids])
         starts = ends - self.sizes[ids]
         if len(ends) and ends[-1] != len(text):
@@ -143,12 +147,11 @@ def part_counts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, j in slices(texts):
+            for i, _, texts in text_slices(batch.column("text")):
                 cols = [[] for _ in range(7)]
-                for k in range(i, j):
-                    starts, ends = bpe.spans(texts[k])
-                    parts = np.array(spans(texts[k]), np.int64).reshape(-1, 2)
+                for k, text in enumerate(texts, i):
+                    starts, ends = bpe.spans(text)
+                    parts = np.array(spans(text), np.int64).reshape(-1, 2)
                     count, outside, cross = allocate(starts, ends, parts, rule)
                     found = [np.arange(len(parts)), parts[:, 0], parts[:, 1], count, cross]
                     if outside:
