@@ -117,8 +117,8 @@ def anchor_intervals(lines: DataFrame, anchors: DataFrame, pair: str) -> DataFra
     """(pair, pos, low, high) of old rows: between the new places of the nearest anchors; an empty interval allows all (nulls)."""
     rows = lines.filter("side = 'old'").select(pair, "pos").join(anchors.select(pair, F.col("old_id").alias("pos"), "new_id"), [pair, "pos"], "left")
     before = Window.partitionBy(pair).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(pair).orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("low", F.last("new_id", ignorenulls=True).over(before)).withColumn("high", F.first("new_id", ignorenulls=True).over(after))
+    after = Window.partitionBy(pair).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("low", F.last("new_id", ignorenulls=True).over(before)).withColumn("high", F.last("new_id", ignorenulls=True).over(after))
     empty = F.coalesce(F.col("low") >= F.col("high"), F.lit(False))
     return rows.select(pair, "pos", F.when(~empty, F.col("low")).alias("low"), F.when(~empty, F.col("high")).alias("high"))
 
@@ -128,10 +128,10 @@ def sibling_bounds(nodes: DataFrame, matches: DataFrame) -> DataFrame:
     place = nodes.filter("side = 'new'").select("pair_id", F.col("node_id").alias("new_id"), F.col("sibling_index").alias("partner"))
     known = matches.select("pair_id", F.col("old_id").alias("node_id"), "new_id").join(place, ["pair_id", "new_id"]).drop("new_id")
     rows = nodes.filter("side = 'old' AND depth > 0").select("pair_id", "node_id", "parent_id", "sibling_index").join(known, ["pair_id", "node_id"], "left")
-    w = Window.partitionBy("pair_id", "parent_id").orderBy("sibling_index")
+    w = Window.partitionBy("pair_id", "parent_id")
     found = F.when(F.col("partner").isNotNull(), F.struct(F.col("sibling_index").alias("o"), F.col("partner").alias("n")))
-    left, right = F.last(found, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first(found, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    rows = rows.withColumn("l", left).withColumn("r", right)
+    nearest = lambda order: F.last(found, ignorenulls=True).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("l", nearest(F.asc("sibling_index"))).withColumn("r", nearest(F.desc("sibling_index")))
     return rows.select("pair_id", "node_id", F.col("l.o").alias("left_old"), F.col("l.n").alias("left_new"), F.col("r.o").alias("right_old"), F.col("r.n").alias("right_new"))
 
 

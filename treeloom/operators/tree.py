@@ -27,7 +27,8 @@ def placed(nodes: DataFrame, levels: int | None = None) -> DataFrame:
     w = Window.partitionBy(*KEY).orderBy("sort_a", "sort_b")
     rows = nodes.withColumn("preorder", F.row_number().over(w) - 1)
     # A node's subtree ends where the next node of the same or a lesser depth starts; by depth, the next such place.
-    after = Window.partitionBy(*KEY).orderBy("preorder").rowsBetween(1, Window.unboundedFollowing)
+    # From the end on, so that the window grows and is never computed anew.
+    after = Window.partitionBy(*KEY).orderBy(F.desc("preorder")).rowsBetween(Window.unboundedPreceding, -1)
     total = F.count("*").over(Window.partitionBy(*KEY))
     levels = deepest(nodes) if levels is None else levels
     ends = [F.when(F.col("depth") == d, F.coalesce(F.min(F.when(F.col("depth") <= d, F.col("preorder"))).over(after), total) - F.col("preorder")) for d in range(max(levels, 0) + 1)]

@@ -15,7 +15,7 @@ from treeloom.operators import tree
 from treeloom.plans import kernels, pairs, report
 from treeloom.plans.stages import materialized
 from treeloom.plans.text_queries import _title
-from treeloom.plans.tree_queries import EXACT_SQL, HASHES_SQL, TREE_LEVELS, _exact, _hashed, _scored, _unique
+from treeloom.plans.tree_queries import EXACT_SQL, HASHES_SQL, _exact, _hashed, _scored, _unique
 from treeloom.sources.ledgers import LEDGER_TREES_SQL, ledger_trees
 from treeloom.sources.tables import LINES_SQL, TREES_SQL, line_rule, line_versions, lines, table
 
@@ -204,7 +204,7 @@ SELECT v.pair_id, v.old_id, v.new_id, CASE WHEN o.subtree_hash = n.subtree_hash
 FROM found v JOIN nodes o ON o.pair_id = v.pair_id AND o.side = 'old' AND o.node_id = v.old_id JOIN nodes n ON n.pair_id = v.pair_id AND n.side = 'new' AND n.node_id = v.new_id WHERE o.parent_id <> n.parent_id""")
 def move_candidates(spark, sf_dir):
     """Equal subtrees, and other nodes whose self is unique on both sides, under another parent."""
-    nodes = materialized(tree.hashed(materialized(ledger_trees(spark, sf_dir).withColumn("self_hash", tree.self_hash()), "pair_id"), TREE_LEVELS), "pair_id")
+    nodes = materialized(tree.hashed(materialized(ledger_trees(spark, sf_dir).withColumn("self_hash", tree.self_hash()), "pair_id")), "pair_id")
     exact = _exact(nodes)
     loose = m.unmatched(nodes.filter("depth > 0"), exact, "pair_id", "node_id").withColumnsRenamed({"node_id": "own", "parent_id": "node_id"})
     loose = m.unmatched(loose, exact, "pair_id", "node_id").withColumnsRenamed({"node_id": "parent_id", "own": "node_id"})
@@ -334,10 +334,10 @@ near AS (SELECT *, max(h) OVER (PARTITION BY doc_id ORDER BY ln) AS p, min(h) OV
 SELECT doc_id, ln FROM near WHERE ln < 20 OR ln > top - 20 OR ln - p <= 20 OR q - ln <= 20""")
 def fold_long_code(spark, sf_dir):
     """Lines that stay when the rest is folded: within twenty of a change, and at both ends."""
-    w = Window.partitionBy("doc_id").orderBy("ln")
+    w = Window.partitionBy("doc_id")
+    near = lambda order: F.last("h", ignorenulls=True).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     rows = lines(table(spark, sf_dir, "documents")).select("doc_id", "ln", F.when((line_rule() <= 1) & (F.col("ln") % 30 == 7), F.col("ln")).alias("h"))
-    rows = rows.withColumn("p", F.last("h", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("q", F.first("h", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    rows = rows.withColumn("top", F.max("ln").over(Window.partitionBy("doc_id")))
+    rows = rows.withColumn("p", near(F.asc("ln"))).withColumn("q", near(F.desc("ln"))).withColumn("top", F.max("ln").over(w))
     return rows.filter("ln < 20 OR ln > top - 20 OR ln - p <= 20 OR q - ln <= 20").select("doc_id", "ln")
 
 

@@ -224,8 +224,8 @@ class Comparison:
         return canonical([n.kind, n.title if n.kind == "heading" else "", n.heading_depth, n.list_depth, n.quote_depth, n.checked, n.ordered, n.identifier, n.value, n.inline])
 
     def one_sided(self, n: Node, op: str) -> Change:
-        kids = [self.one_sided(c, op) for c in n.children if c not in (self.by_old if op == "delete" else self.by_new)]
-        return Change(op, n if op == "delete" else None, n if op == "insert" else None, kids)
+        """A deletion or insertion of a node and all below it, also of what has a partner elsewhere (``recover_moves`` finds that)."""
+        return Change(op, n if op == "delete" else None, n if op == "insert" else None, [self.one_sided(c, op) for c in n.children])
 
     def align(self, a: Node, b: Node) -> list[Change]:
         olds, news = a.children, b.children
@@ -297,14 +297,12 @@ class Comparison:
                 out.append(self.changed(p, pairs[p], "match"))
             elif p in aligned:
                 out.append(self.changed(p, aligned[p], "aligned"))
-            elif p not in self.by_old:
-                out.append(self.one_sided(p, "delete"))
             else:
-                out.append(Change("delete", p, None, warnings=[]))
+                out.append(self.one_sided(p, "delete"))
         taken = set(aligned.values()) | set(pairs.values())
         for q in news:
             if q not in taken:
-                out.append(self.one_sided(q, "insert") if q not in self.by_new else Change("insert", None, q))
+                out.append(self.one_sided(q, "insert"))
         return out
 
     def short_heading(self, p: Node, q: Node) -> bool:
@@ -388,7 +386,10 @@ class Comparison:
     # -- after alignment
 
     def recover_moves(self, root: Change) -> None:
-        """Deletions and insertions of one content at another place."""
+        """Deletions and insertions of one content at another place.
+
+        A pair whose subtrees differ keeps what changed below it, under its target.
+        """
         everything = list(walk(root))
         gone = [c for c in everything if c.op == "delete"]
         come = [c for c in everything if c.op == "insert"]
@@ -418,6 +419,8 @@ class Comparison:
                 for c, role in ((g, "source"), (t, "target")):
                     covered.update(id(x) for x in walk(c))
                     c.op, c.role, c.move_id, c.match_kind, c.pair_kind, c.children = "move", role, name, kind, "match", []
+                if g.old.hashes["subtree"] != t.new.hashes["subtree"]:
+                    t.children = self.changed(g.old, t.new, "match").children
                 break
 
     def move_kind(self, a: Node, b: Node, by: dict, slugs) -> str:
@@ -428,7 +431,7 @@ class Comparison:
         if a.entity == "section" and not self.o.size_low <= a.size / b.size <= self.o.size_high:
             return ""
         lone = lambda h: a.hashes[h] == b.hashes[h] and by[h][0][a.shape, a.hashes[h]] == by[h][1][b.shape, b.hashes[h]] == 1
-        if self.by_old.get(a) is b or (lone("subtree") and bool(a.text or a.children)):
+        if (lone("subtree") or (self.by_old.get(a) is b and a.hashes["subtree"] == b.hashes["subtree"])) and bool(a.text or a.children):
             return "move-exact"
         if a.entity == "section" and a.hashes["direct"] == b.hashes["direct"] and (compatible or self.neighbours_matched(a, b)) and bool(a.text or a.children):
             return "move-direct"
@@ -458,35 +461,58 @@ class Comparison:
 
     def reclassify(self, root: Change) -> None:
         """Renames and changes of metadata among pairs."""
+        identities = [Counter((n.shape, n.hashes["identity"]) for n in d.nodes if n.kind in ("footnote", "definition")) for d in (self.old, self.new)]
         for c in walk(root):
             if c.old is None or c.new is None or c.op == "move":
                 continue
             a, b = c.old, c.new
             self_same = c.op == "equal"
-            if a.kind == "heading" and not self_same and slug(a.title) and slug(b.title):
-                evidence = a.hashes["body"] == b.hashes["body"] or self.children_matched(a, b) or c.pair_kind == "match"
-                if evidence and not unlike_leaves(a, b) and a.normal != b.normal and (a.heading_depth, a.list_depth, a.quote_depth) == (b.heading_depth, b.list_depth, b.quote_depth):
+            meta: list[tuple] = []
+            if a.kind == "heading" and a.entity == "section" and a.normal != b.normal:
+                if unlike_leaves(a, b) or self.named_beside(a, b):
+                    pass
+                elif (a.heading_depth, a.list_depth, a.quote_depth) == (b.heading_depth, b.list_depth, b.quote_depth) and (a.hashes["body"] == b.hashes["body"] or self.children_matched(a, b)):
+                    c.op, c.renamed, c.self_changed = "equal", True, False
+                    if self.match(a, b, "heading-rename"):
+                        c.pair_kind = "match"
+                elif a.hashes["content"] == b.hashes["content"]:
+                    c.renamed = True
+            elif a.kind == "heading" and not self_same and a.heading_depth != b.heading_depth:
+                meta.append(("depth", "replace", a.heading_depth, b.heading_depth))
+            elif a.kind in ("footnote", "definition") and a.identifier != b.identifier:
+                key = (a.shape, a.hashes["identity"])
+                if a.hashes["identity"] == b.hashes["identity"] and identities[0][key] == identities[1][key] == 1:
                     c.op, c.renamed, c.self_changed = "equal", True, False
-                    self.match(a, b, "heading-rename")
-                    c.pair_kind = "match"
-                elif a.normal == b.normal and a.heading_depth != b.heading_depth:
-                    c.meta.append(("depth", "replace", a.heading_depth, b.heading_depth))
-            elif a.kind in ("footnote", "definition") and a.identifier != b.identifier and a.hashes["identity"] == b.hashes["identity"]:
-                c.op, c.renamed = "equal", True
-            elif a.kind == "definition" and not self_same and a.identifier == b.identifier:
-                c.meta += [(x, "replace", getattr(a, y), getattr(b, y)) for x, y in (("url", "url"), ("title", "link_title")) if getattr(a, y) != getattr(b, y)]
+                    if self.match(a, b, f"{a.kind}-rename"):
+                        c.pair_kind = "match"
+                elif a.kind == "definition":
+                    c.renamed = c.meta_changed = True
+            elif a.kind == "definition" and not self_same:
+                meta += [(x, "replace", getattr(a, y), getattr(b, y)) for x, y in (("url", "url"), ("title", "link_title")) if getattr(a, y) != getattr(b, y)]
                 self.match(a, b, "definition-meta")
                 c.pair_kind = "match"
             elif a.kind == "code" and a.value == b.value and (a.lang, a.meta) != (b.lang, b.meta):
-                c.meta += [(x, "replace", getattr(a, x), getattr(b, x)) for x in ("lang", "meta") if getattr(a, x) != getattr(b, x)]
-            elif a.kind == "table" and [[x for _, x in r] for r in a.rows] == [[x for _, x in r] for r in b.rows] and a.align != b.align:
-                c.meta.append(("align", "replace", a.align, b.align))
+                meta += [(x, "replace", getattr(a, x), getattr(b, x)) for x in ("lang", "meta") if getattr(a, x) != getattr(b, x)]
+            elif a.kind == "table" and a.align != b.align:
+                # Beside changed cells the alignment is told too, but the table is replaced.
+                if [[x for _, x in r] for r in a.rows] == [[x for _, x in r] for r in b.rows]:
+                    meta.append(("align", "replace", a.align, b.align))
+                else:
+                    c.meta.append(("align", "replace", a.align, b.align))
             elif a.kind == "listItem" and a.checked != b.checked:
-                c.meta.append(("checked", "replace", a.checked, b.checked))
+                # An item whose text changes as well is replaced.
+                if a.hashes["content"] == b.hashes["content"]:
+                    meta.append(("checked", "replace", a.checked, b.checked))
             elif a.kind == "frontmatter" and not self_same:
-                c.meta += metadata_diff(a.raw, b.raw) if a.raw is not None and b.raw is not None else [("$", "replace", a.value, b.value)]
-            if c.meta and not c.renamed:
-                c.op, c.meta_changed = "meta-update", True
+                meta += metadata_diff(a.raw, b.raw) if a.raw is not None and b.raw is not None else [("$", "replace", a.value, b.value)]
+            if meta:
+                c.op, c.meta_changed, c.self_changed, c.meta = "meta-update", True, False, meta
+
+    @staticmethod
+    def named_beside(a: Node, b: Node) -> bool:
+        """Whether a heading next to one end has the name of the other end, so that neither is a new name."""
+        heads = lambda n: (s.normal for s in (n.parent.children if n.parent else ()) if s is not n and s.kind == "heading" and s.entity == "section")
+        return b.normal in heads(a) or a.normal in heads(b)
 
     def children_matched(self, a: Node, b: Node) -> bool:
         """Whether two children at least, and half of the fewer ones, are partners."""
@@ -640,7 +666,7 @@ def line_spans(a: list[str], b: list[str]) -> list[tuple]:
         for i in range(max(len(gone), len(come))):
             x, y = gone[i] if i < len(gone) else None, come[i] if i < len(come) else None
             out.append(("code_line", 0, 0, "replace" if x is not None and y is not None else "delete" if y is None else "insert", x or "", y or ""))
-            if x is not None and y is not None and len(x) * len(y) <= 1_000_000:
+            if x is not None and y is not None:
                 out.extend(coalesced(k.align(list(x), list(y)), list(x), list(y), "code_char", ""))
         gone.clear()
         come.clear()

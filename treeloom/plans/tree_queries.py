@@ -74,12 +74,8 @@ same AS (
 )"""
 
 
-#: The deepest level of the trees that the driver tables give.
-TREE_LEVELS = 2
-
-
 def _hashed(spark, sf_dir):
-    return materialized(tree.hashed(materialized(trees(spark, sf_dir).withColumn("self_hash", tree.self_hash()), "pair_id"), TREE_LEVELS), "pair_id")
+    return materialized(tree.hashed(materialized(trees(spark, sf_dir).withColumn("self_hash", tree.self_hash()), "pair_id")), "pair_id")
 
 
 def _exact(nodes):

@@ -8,8 +8,8 @@ change and its lines from the tables alone:
 0  another value in the front matter, items added, links of definitions changed
 1  orders and items taken out
 2  words added to items, a line of the code and a cell of the table changed
-3  headings renamed, tasks ticked
-4  paragraphs moved to the top
+3  headings renamed, tasks ticked, the text of some of these changed as well
+4  paragraphs moved to the top, the headings they leave renamed
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ def ledger_lines(customer: DataFrame, orders: DataFrame, lineitem: DataFrame) ->
             (lit(-3), lit(7), lit("| nation | segment |")), (lit(-3), lit(8), lit("| --- | --- |")), (lit(-3), lit(9), F.concat(lit("| "), "c_nationkey", lit(" | "), "c_mktsegment", F.when(on(2), lit(" small |")).otherwise(lit(" |")))), (lit(-3), lit(10), lit("")),
         )
         kept = o.filter(~on(1, key % 3 == 0))
-        title = add(F.concat(lit("## Order "), key, lit(" "), "priority"), on(3, key % 2 == 0), lit(" revised"))
+        title = add(F.concat(lit("## Order "), key, lit(" "), "priority"), on(3, key % 2 == 0) | on(4, key % 2 == 0), lit(" revised"))
         total = F.concat(lit("Total "), "price", lit(" of order "), key)
         moved = on(4, key % 2 == 0)
         body = lines(kept, side, (key, lit(0), title), (key, lit(1), lit("")), (key, lit(_TOTAL), lit("")))
@@ -56,7 +56,8 @@ def ledger_lines(customer: DataFrame, orders: DataFrame, lineitem: DataFrame) ->
         totals = lines(kept, side, (where[0], where[1], total), (where[0], where[1] + 1, lit("")))
         items = i.filter(~on(1, (key % 3 == 0) | ((key + F.col("place")) % 4 == 0)))
         box = F.when(F.col("ticked") | on(3, (key % 2 == 1) & ((key + F.col("place")) % 3 == 0)), "- [x] ").otherwise("- [ ] ")
-        text = add(F.concat(box, lit("part "), "l_partkey", lit(" as number "), key, lit(" "), "place"), on(2, (key + F.col("place")) % 4 == 0), lit(" changed"))
+        changed = on(2, (key + F.col("place")) % 4 == 0) | on(3, (key % 2 == 1) & ((key + F.col("place")) % 3 == 0) & (F.col("place") % 2 == 1))
+        text = add(F.concat(box, lit("part "), "l_partkey", lit(" as number "), key, lit(" "), "place"), changed, lit(" changed"))
         tasks = lines(items, side, (key, F.col("place") + 2, text))
         link = add(F.concat(lit("[o"), key, lit("]: /orders/"), key), on(0, key % 3 == 0), lit("/new"))
         out = head.unionByName(body).unionByName(totals).unionByName(tasks).unionByName(lines(o, side, (_LAST + key, lit(0), link)))
@@ -101,10 +102,10 @@ def _side(side: str) -> str:
         (-3, 2, "code", "'```txt'"), (-3, 3, "", "'name ' || c_name"), (-3, 4, "", add("'balance ' || trunc(c_acctbal)::BIGINT", on(2), "1")), (-3, 5, "", "'```'"), (-3, 6, "", "''"),
         (-3, 7, "table", "'| nation | segment |'"), (-3, 8, "", "'| --- | --- |'"), (-3, 9, "", f"'| ' || c_nationkey || ' | ' || c_mktsegment || CASE WHEN {on(2)} THEN ' small |' ELSE ' |' END"), (-3, 10, "", "''"),
     ]
-    text = f"'part ' || l_partkey || ' as number ' || k || ' ' || place || CASE WHEN {on(2, '(k + place) % 4 = 0')} THEN ' changed' ELSE '' END"
+    text = f"'part ' || l_partkey || ' as number ' || k || ' ' || place || CASE WHEN {on(2, '(k + place) % 4 = 0')} OR {on(3, 'k % 2 = 1 AND (k + place) % 3 = 0 AND place % 2 = 1')} THEN ' changed' ELSE '' END"
     box = f"CASE WHEN ticked OR {on(3, 'k % 2 = 1 AND (k + place) % 3 = 0')} THEN '- [x] ' ELSE '- [ ] ' END"
     parts = [f"SELECT pair_id, {a} AS a, {b} AS b, '{what}' AS what, NULL AS k, NULL AS place, {md} AS md FROM people" for a, b, what, md in head]
-    title = add("'## Order ' || k || ' ' || priority", on(3, "k % 2 = 0"), " revised")
+    title = add("'## Order ' || k || ' ' || priority", f"{on(3, 'k % 2 = 0')} OR {on(4, 'k % 2 = 0')}", " revised")
     parts += [
         f"SELECT pair_id, k, 0, 'heading', k, NULL, {title} FROM sold WHERE {kept}", f"SELECT pair_id, k, 1, '', k, NULL, '' FROM sold WHERE {kept}", f"SELECT pair_id, k, {_TOTAL}, '', k, NULL, '' FROM sold WHERE {kept}",
         f"SELECT pair_id, CASE WHEN {moved} THEN -2 ELSE k END, CASE WHEN {moved} THEN 2 * k ELSE {_TOTAL + 1} END, 'total', k, NULL, 'Total ' || price || ' of order ' || k FROM sold WHERE {kept}",
@@ -133,9 +134,11 @@ told AS (
   UNION ALL SELECT pair_id, 'insert', unnest(['listItem', 'paragraph']), old_line, new_line FROM both_sides WHERE what = 'added'
   UNION ALL SELECT pair_id, 'delete', unnest(CASE what WHEN 'item' THEN ['listItem', 'paragraph'] WHEN 'heading' THEN ['heading'] ELSE ['paragraph'] END), old_line, new_line FROM both_sides WHERE new_line IS NULL
   UNION ALL SELECT pair_id, 'replace', what, old_line, new_line FROM both_sides WHERE what IN ('code', 'table') AND pair_id % 5 = 2
-  UNION ALL SELECT pair_id, 'replace', 'paragraph', old_line, new_line FROM both_sides WHERE what = 'item' AND pair_id % 5 = 2 AND old_text <> new_text
-  UNION ALL SELECT pair_id, 'rename', 'heading', old_line, new_line FROM both_sides WHERE what = 'heading' AND old_text <> new_text
-  UNION ALL SELECT pair_id, 'meta-update', 'listItem', old_line, new_line FROM both_sides WHERE what = 'item' AND pair_id % 5 = 3 AND old_text <> new_text
+  UNION ALL SELECT pair_id, 'replace', 'paragraph', old_line, new_line FROM both_sides WHERE what = 'item' AND substr(old_text, 7) <> substr(new_text, 7)
+  UNION ALL SELECT pair_id, 'replace', 'listItem', old_line, new_line FROM both_sides WHERE what = 'item' AND substr(old_text, 7) <> substr(new_text, 7) AND old_text[:6] <> new_text[:6]
+  UNION ALL SELECT b.pair_id, CASE WHEN b.pair_id % 5 = 3 OR n > 1 THEN 'rename' ELSE 'replace' END, 'heading', old_line, new_line
+    FROM both_sides b LEFT JOIN (SELECT k, count(*) AS n FROM tasks GROUP BY k) t ON t.k = b.k WHERE what = 'heading' AND old_text <> new_text
+  UNION ALL SELECT pair_id, 'meta-update', 'listItem', old_line, new_line FROM both_sides WHERE what = 'item' AND substr(old_text, 7) = substr(new_text, 7) AND old_text <> new_text
   UNION ALL SELECT pair_id, 'move', 'paragraph', unnest([old_line, NULL]), unnest([NULL, new_line]) FROM both_sides WHERE what = 'total' AND pair_id % 5 = 4 AND k % 2 = 0
 )"""
 
