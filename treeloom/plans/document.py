@@ -263,5 +263,5 @@ def _preorder(nodes: list[dict]):
 
 def _references(nodes: list[dict]):
     for kind, x in _preorder(nodes):
-        if kind in ("footnoteReference", "linkReference"):
+        if kind in ("footnoteReference", "linkReference", "imageReference"):
             yield ("footnote" if kind == "footnoteReference" else "definition"), x["identifier"]

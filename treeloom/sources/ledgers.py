@@ -122,12 +122,12 @@ def _side(side: str) -> str:
 LEDGER_SQL = f"""
 people AS (SELECT c_custkey AS pair_id, * FROM customer),
 sold AS (SELECT o_custkey AS pair_id, o_orderkey AS k, o_orderpriority AS priority, trunc(o_totalprice)::BIGINT AS price FROM orders JOIN people ON c_custkey = o_custkey),
-tasks AS (SELECT s.pair_id, s.k, l_partkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1)::INT AS place, l_returnflag = 'R' AS ticked FROM lineitem JOIN sold s ON l_orderkey = s.k),
-ledger AS ({_side('old')}
+tasks AS MATERIALIZED (SELECT s.pair_id, s.k, l_partkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1)::INT AS place, l_returnflag = 'R' AS ticked FROM lineitem JOIN sold s ON l_orderkey = s.k),
+ledger AS MATERIALIZED ({_side('old')}
   UNION ALL {_side('new')}),
-both_sides AS (SELECT coalesce(o.pair_id, n.pair_id) AS pair_id, coalesce(o.what, n.what) AS what, coalesce(o.k, n.k) AS k, coalesce(o.place, n.place) AS place, o.line AS old_line, n.line AS new_line, o.md AS old_text, n.md AS new_text
+both_sides AS MATERIALIZED (SELECT coalesce(o.pair_id, n.pair_id) AS pair_id, coalesce(o.what, n.what) AS what, coalesce(o.k, n.k) AS k, coalesce(o.place, n.place) AS place, o.line AS old_line, n.line AS new_line, o.md AS old_text, n.md AS new_text
   FROM (SELECT * FROM ledger WHERE side = 'old' AND what <> '') o FULL JOIN (SELECT * FROM ledger WHERE side = 'new' AND what <> '') n
-  ON n.pair_id = o.pair_id AND n.what = o.what AND n.k IS NOT DISTINCT FROM o.k AND n.place IS NOT DISTINCT FROM o.place),
+  ON n.pair_id = o.pair_id AND n.what = o.what AND coalesce(n.k, -1) = coalesce(o.k, -1) AND coalesce(n.place, -1) = coalesce(o.place, -1)),
 told AS (
   SELECT pair_id, 'meta-update' AS op, 'frontmatter' AS kind, old_line, new_line FROM both_sides WHERE what = 'frontmatter' AND pair_id % 5 = 0
   UNION ALL SELECT pair_id, 'meta-update', 'definition', old_line, new_line FROM both_sides WHERE what = 'definition' AND old_text <> new_text
@@ -144,7 +144,7 @@ told AS (
 
 #: The trees, in the place of ``tables.TREES_SQL``.
 LEDGER_TREES_SQL = f"""{LEDGER_SQL.strip()},
-trees AS (SELECT *, (row_number() OVER (PARTITION BY pair_id, side, parent_id ORDER BY sort_a, sort_b) - 1)::INT AS sibling_index FROM (
+trees AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY pair_id, side, parent_id ORDER BY sort_a, sort_b) - 1)::INT AS sibling_index FROM (
   SELECT pair_id, side, CASE WHEN what = 'title' THEN 'c' || pair_id WHEN what = 'heading' THEN 'o' || k WHEN what = 'total' THEN 't' || k ELSE 'l' || a || '.' || b END AS node_id,
     CASE WHEN what = 'title' THEN NULL WHEN what = 'heading' OR a = -2 THEN 'c' || pair_id ELSE 'o' || k END AS parent_id, CASE what WHEN 'title' THEN 'root' WHEN 'heading' THEN 'heading' WHEN 'total' THEN 'paragraph' ELSE 'listItem' END AS kind,
     CASE WHEN what = 'title' THEN 0 WHEN what = 'heading' OR a = -2 THEN 1 ELSE 2 END AS depth, a AS sort_a, b AS sort_b, CASE WHEN what IN ('title', 'heading') THEN ltrim(md, '# ') ELSE '' END AS title,

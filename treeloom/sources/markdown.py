@@ -1,8 +1,9 @@
-"""Markdown to blocks: a line scanner for blocks and a regular expression for inline parts.
+"""Markdown to blocks: a line scanner; ``sources.inline`` reads what is within them.
 
 It covers headings, paragraphs, lists and tasks, quotes, fences, tables, front
-matter, definitions, footnotes, math, HTML and directives; not all of CommonMark's
-corner cases. A block is a dict with type, line, end (from 1) and what its type has.
+matter, definitions, footnotes, math, HTML and directives. Inline parts are read when
+all definitions are known. A block is a dict with type, line, end (from 1) and what
+its type has.
 """
 
 from __future__ import annotations
@@ -10,73 +11,30 @@ from __future__ import annotations
 import re
 import tomllib
 
+from treeloom.sources import yaml
+from treeloom.sources.inline import CLOSE_TAG, OPEN_TAG, _BLANKS, destination, inline, normal_id, plain, title, unescaped
+
+__all__ = ["blocks", "cells", "front_matter", "inline", "normal_id", "parse", "plain"]
+
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})\s*([^\s`]*)\s*(.*?)\s*$")
 _ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _RULE = re.compile(r"^ {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$")
 _ITEM = re.compile(r"^( {0,3})([-*+]|\d{1,9}[.)])(?:([ \t]+)(.*)|$)")
 _TASK = re.compile(r"^\[([ xX])\][ \t]+(.*)$")
-_DEFINITION = re.compile(r"^ {0,3}\[(?!\^)([^\]]+)\]:\s*<?([^\s>]*)>?(?:\s+[\"'(](.*)[\"')])?\s*$")
+_DEFINITION = re.compile(r" {0,3}\[(?!\^)((?:[^\[\]\\]|\\.){1,999})\]:", re.S)
 _FOOTNOTE = re.compile(r"^ {0,3}\[\^([^\]]+)\]:\s?(.*)$")
 _DIVIDER = re.compile(r"^ {0,3}\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*$")
 _DIRECTIVE = re.compile(r"^ {0,3}(:{2,})([A-Za-z][\w-]*)?(.*)$")
-_KEY = re.compile(r"\s*([^:]+):(?:\s+(.*)|\s*)$")
-_HTML = re.compile(r"^ {0,3}<(?:[A-Za-z/!?])")
+# How HTML blocks start, and how they end; None: at an empty line.
+_BLOCK_TAGS = "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav noframes ol optgroup option p param search section summary table tbody td tfoot th thead title tr track ul"
+_HTML = (
+    (re.compile(r" {0,3}<(?:pre|script|style|textarea)(?:\s|>|$)", re.I), re.compile(r"</(?:pre|script|style|textarea)>", re.I)), (re.compile(r" {0,3}<!--"), re.compile("-->")),
+    (re.compile(r" {0,3}<\?"), re.compile(r"\?>")), (re.compile(r" {0,3}<![A-Za-z]"), re.compile(">")), (re.compile(r" {0,3}<!\[CDATA\["), re.compile(r"\]\]>")),
+    (re.compile(rf" {{0,3}}</?(?:{_BLOCK_TAGS.replace(' ', '|')})(?:\s|/?>|$)", re.I), None),
+)
+_HTML_TAG = re.compile(rf" {{0,3}}(?:{OPEN_TAG}|{CLOSE_TAG})\s*$")
 _HEADING_ID = re.compile(r"\s*\{#[^}]*\}\s*$")
 
-_INLINE = re.compile(
-    r"(?P<code>(?P<tick>`+)(?P<code_text>.+?)(?P=tick)(?!`))|(?P<math>\$(?P<math_text>[^$\n]+)\$)|(?P<image>!\[(?P<alt>[^\]]*)\]\((?P<src>[^\s)]*)(?:\s+\"(?P<image_title>[^\"]*)\")?\))"
-    r"|(?P<note>\[\^(?P<note_id>[^\]]+)\])|(?P<link>\[(?P<link_text>[^\]]*)\]\((?P<href>[^\s)]*)(?:\s+\"(?P<link_title>[^\"]*)\")?\))|(?P<ref>\[(?P<ref_text>[^\]]+)\]\[(?P<ref_id>[^\]]*)\])"
-    r"|(?P<strong>(?P<s>\*\*|__)(?P<strong_text>.+?)(?P=s))|(?P<delete>(?P<d>~~?)(?P<delete_text>[^~]+)(?P=d))|(?P<emphasis>(?P<e>[*_])(?P<emphasis_text>[^*_]+)(?P=e))"
-    r"|(?P<url>https?://[^\s<>]+)|(?P<html></?[A-Za-z][^>]*>)|(?P<directive>(?<!:):(?P<directive_name>[A-Za-z][\w-]*)\[(?P<directive_text>[^\]]*)\])|(?P<break>(?: {2,}|\\)\n)",
-    re.S,
-)
-
-
-def inline(text: str) -> list[dict]:
-    """Inline nodes of a text; nested where they can be."""
-    out, at = [], 0
-    for m in _INLINE.finditer(text):
-        if m.start() > at:
-            out.append({"type": "text", "value": text[at : m.start()]})
-        at = m.end()
-        g = m.groupdict()
-        if g["code"]:
-            out.append({"type": "inlineCode", "value": g["code_text"].strip()})
-        elif g["math"]:
-            out.append({"type": "inlineMath", "value": g["math_text"]})
-        elif g["image"]:
-            out.append({"type": "image", "alt": g["alt"], "url": g["src"], "title": g["image_title"]})
-        elif g["note"]:
-            out.append({"type": "footnoteReference", "identifier": normal_id(g["note_id"])})
-        elif g["link"]:
-            out.append({"type": "link", "url": g["href"], "title": g["link_title"], "children": inline(g["link_text"])})
-        elif g["ref"]:
-            out.append({"type": "linkReference", "identifier": normal_id(g["ref_id"] or g["ref_text"]), "children": inline(g["ref_text"])})
-        elif g["url"]:
-            out.append({"type": "link", "url": g["url"], "title": None, "children": [{"type": "text", "value": g["url"]}]})
-        elif g["html"]:
-            out.append({"type": "html", "value": g["html"]})
-        elif g["directive"]:
-            out.append({"type": "textDirective", "name": g["directive_name"], "children": inline(g["directive_text"])})
-        elif g["break"]:
-            out.append({"type": "break"})
-        else:
-            kind = next(k for k in ("strong", "delete", "emphasis") if g[k])
-            out.append({"type": kind, "children": inline(g[f"{kind}_text"])})
-    if at < len(text):
-        out.append({"type": "text", "value": text[at:]})
-    return out
-
-
-def normal_id(x: str) -> str:
-    return " ".join(x.split()).lower()
-
-
-def plain(nodes: list[dict]) -> str:
-    """Text of inline nodes without separators; an image gives its alternative, a break a blank."""
-    return "".join(n.get("value", "") if "children" not in n and n["type"] not in ("image", "break") else n.get("alt") or "" if n["type"] == "image" else " " if n["type"] == "break" else plain(n["children"]) for n in nodes)
-
-
 def cells(line: str) -> list[str]:
     line = line.strip()
     line = line[1:] if line.startswith("|") else line
@@ -94,7 +52,52 @@ def parse(text: str) -> list[dict]:
             out.append({"type": kind, "value": "\n".join(lines[1:end]), "line": 1, "end": end + 1})
             first = end + 1
             break
-    return out + blocks(lines[first:], first + 1)
+    out += blocks(lines[first:], first + 1)
+    found: list[dict] = []
+    todo = list(out)
+    while todo:
+        b = todo.pop()
+        found.append(b)
+        todo += [c for c in b.get("children", ()) if isinstance(c, dict)]
+    defined = {b["identifier"] for b in found if b["type"] == "definition"}
+    notes = {b["identifier"] for b in found if b["type"] == "footnoteDefinition"}
+    for b in found:
+        if b["type"] in ("paragraph", "heading"):
+            b["children"] = inline(b["children"][0], defined, notes)
+        elif b["type"] == "table":
+            b["rows"] = [[inline(c, defined, notes) for c in row] for row in b["rows"]]
+    return out
+
+
+def definition(text: str) -> tuple[dict, int] | None:
+    """(label, url and title of the definition that a text starts with, how many of its lines it takes)."""
+    m = _DEFINITION.match(text)
+    if not m or not m[1].strip():
+        return None
+    found = destination(text, _BLANKS.match(text, m.end()).end())
+    if not found or (not found[0] and text[found[1] - 1 : found[1]] != ">"):
+        return None
+    end, link_title = found[1], None
+    after = _BLANKS.match(text, end).end()
+    own = title(text, after) if after > end else None
+    if own and re.compile(r"[ \t]*(?:\n|$)").match(text, own[1]):
+        end, link_title = own[1], own[0]
+    elif not re.compile(r"[ \t]*(?:\n|$)").match(text, end):
+        return None
+    return {"identifier": normal_id(m[1]), "label": m[1], "url": found[0], "title": link_title}, text.count("\n", 0, end) + 1
+
+
+def html_end(lines: list[str], i: int, within: bool) -> int:
+    """The line after the HTML block that starts at line i; 0 if none does. within: a paragraph is open, which lone tags don't end."""
+    for start, stop in _HTML:
+        if start.match(lines[i]):
+            if stop:
+                return next((j + 1 for j in range(i, len(lines)) if stop.search(lines[j], start.match(lines[i]).end() if j == i else 0)), len(lines))
+            break
+    else:
+        if within or not _HTML_TAG.match(lines[i]):
+            return 0
+    return next((j for j in range(i + 1, len(lines)) if not lines[j].strip()), len(lines))
 
 
 def _indent(line: str) -> int:
@@ -110,7 +113,7 @@ def blocks(lines: list[str], start: int) -> list[dict]:
     def close() -> None:
         if paragraph:
             body = "\n".join(x.strip() if not x.endswith("  ") else x.lstrip() for x in paragraph).rstrip()
-            out.append({"type": "paragraph", "children": inline(body), "line": start + i - len(paragraph), "end": start + i - 1})
+            out.append({"type": "paragraph", "children": [body], "line": start + i - len(paragraph), "end": start + i - 1})
             paragraph.clear()
 
     def add(kind: str, last: int, **rest) -> None:
@@ -124,7 +127,7 @@ def blocks(lines: list[str], start: int) -> list[dict]:
         elif m := _FENCE.match(line):
             close()
             end = next((j for j in range(i + 1, n) if lines[j].strip().startswith(m[1]) and not lines[j].strip().strip(m[1][0])), n)
-            add("code", min(n, end + 1), lang=m[2] or None, meta=m[3] or None, value="\n".join(lines[i + 1 : end]))
+            add("code", min(n, end + 1), lang=unescaped(m[2]) or None, meta=unescaped(m[3]) or None, value="\n".join(lines[i + 1 : end]))
             i = min(n, end + 1)
         elif line.strip().startswith("$$"):
             close()
@@ -145,13 +148,13 @@ def blocks(lines: list[str], start: int) -> list[dict]:
             i = end
         elif m := _ATX.match(line):
             close()
-            add("heading", i + 1, depth=len(m[1]), children=inline(_HEADING_ID.sub("", m[2] or "")))
+            add("heading", i + 1, depth=len(m[1]), children=[_HEADING_ID.sub("", m[2] or "")])
             i += 1
         elif paragraph and re.match(r"^ {0,3}(=+|-+)\s*$", line):
             depth = 1 if "=" in line else 2
-            first, title = i - len(paragraph), "\n".join(x.strip() for x in paragraph)
+            first, text = i - len(paragraph), "\n".join(x.strip() for x in paragraph)
             paragraph.clear()
-            out.append({"type": "heading", "depth": depth, "children": inline(title), "line": start + first, "end": start + i})
+            out.append({"type": "heading", "depth": depth, "children": [text], "line": start + first, "end": start + i})
             i += 1
         elif _RULE.match(line):
             close()
@@ -172,9 +175,9 @@ def blocks(lines: list[str], start: int) -> list[dict]:
                 end += 1
             add("footnoteDefinition", end, identifier=normal_id(m[1]), children=blocks(inner, start + i))
             i = end
-        elif (m := _DEFINITION.match(line)) and not paragraph:
-            add("definition", i + 1, identifier=normal_id(m[1]), label=m[1], url=m[2], title=m[3])
-            i += 1
+        elif not paragraph and _indent(line) < 4 and line.lstrip()[0] == "[" and (m := definition("\n".join(lines[i : next((j for j in range(i + 1, n) if not lines[j].strip()), n)]))):
+            add("definition", i + m[1], **m[0])
+            i += m[1]
         elif (m := _ITEM.match(line)) and (not paragraph or (m[4] and (not m[2][0].isdigit() or m[2][:-1] == "1"))):
             close()
             i = _list(lines, i, start, out)
@@ -191,10 +194,10 @@ def blocks(lines: list[str], start: int) -> list[dict]:
             while end < n and lines[end].strip() and "|" in lines[end]:
                 end += 1
             marks = [("center" if c.startswith(":") and c.endswith(":") else "left" if c.startswith(":") else "right" if c.endswith(":") else None) for c in cells(lines[i + 1])]
-            add("table", end, align=marks, rows=[[inline(c) for c in cells(x)] for x in [line, *lines[i + 2 : end]]])
+            add("table", end, align=marks, rows=[cells(x) for x in [line, *lines[i + 2 : end]]])
             i = end
-        elif _HTML.match(line) and not paragraph:
-            end = next((j for j in range(i + 1, n) if not lines[j].strip()), n)
+        elif line.lstrip()[:1] == "<" and (end := html_end(lines, i, bool(paragraph))):
+            close()
             add("html", end, value="\n".join(lines[i:end]))
             i = end
         else:
@@ -248,68 +251,8 @@ def _list(lines: list[str], i: int, start: int, out: list[dict]) -> int:
 
 
 def front_matter(kind: str, value: str):
-    """The value of front matter, or None if it can't be read. YAML: nested mappings, lists of scalars and mappings, block scalars, scalars."""
+    """The value of front matter, or None if it can't be read."""
     try:
-        return tomllib.loads(value) if kind == "toml" else _yaml([x for x in value.split("\n") if x.strip() and not x.lstrip().startswith("#")], 0)[0]
-    except (ValueError, IndexError, tomllib.TOMLDecodeError):
-        return None
-
-
-def _scalar(x: str):
-    x = x.strip()
-    if x[:1] in ("'", '"') and x[-1:] == x[:1] and len(x) > 1:
-        return x[1:-1]
-    if x[:1] == "[":
-        if x[-1:] != "]":
-            raise ValueError(x)
-        return [_scalar(y) for y in x[1:-1].split(",") if y.strip()]
-    if x[:1] == "{":
-        if x[-1:] != "}":
-            raise ValueError(x)
-        return {k.strip(): _scalar(v) for k, _, v in (y.partition(":") for y in x[1:-1].split(",") if y.strip())}
-    if x in ("", "~", "null"):
+        return tomllib.loads(value) if kind == "toml" else yaml.load(value)
+    except (ValueError, TypeError, tomllib.TOMLDecodeError):
         return None
-    if x in ("true", "false"):
-        return x == "true"
-    if re.fullmatch(r"[-+]?\d+", x):
-        return int(x)
-    return float(x) if re.fullmatch(r"[-+]?\d+\.\d+(?:[eE][-+]?\d+)?", x) else x
-
-
-def _yaml(lines: list[str], depth: int) -> tuple[object, int]:
-    """(value, lines used) of a block whose lines are indented by at least depth."""
-    if lines[0].lstrip().startswith("- "):
-        found, i = [], 0
-        while i < len(lines) and _indent(lines[i]) == depth and lines[i].lstrip().startswith("- "):
-            inner = lines[i].lstrip()[2:]
-            if inner[:1] not in ("'", '"', "[", "{") and _KEY.match(inner):
-                # A mapping whose first key stands on the line of the dash.
-                value, used = _yaml([" " * (depth + 2) + inner, *lines[i + 1 :]], depth + 2)
-                found.append(value)
-                i += used
-            else:
-                found.append(_scalar(inner))
-                i += 1
-        return found, i
-    mapping, i = {}, 0
-    while i < len(lines) and _indent(lines[i]) == depth:
-        m = _KEY.match(lines[i])
-        if not m:
-            raise ValueError(lines[i])
-        i += 1
-        if (m[2] or "").strip() in ("|", "|-", ">", ">-"):
-            end = next((j for j in range(i, len(lines)) if _indent(lines[j]) <= depth), len(lines))
-            least = min((_indent(x) for x in lines[i:end]), default=0)
-            mark = m[2].strip()
-            mapping[m[1].strip()] = ("\n" if mark[0] == "|" else " ").join(x[least:] for x in lines[i:end]) + ("" if mark[1:] else "\n")
-            i = end
-            continue
-        deeper = _indent(lines[i]) if i < len(lines) else -1
-        if (m[2] or "").strip() or deeper < depth or (deeper == depth and not lines[i].lstrip().startswith("- ")):
-            mapping[m[1].strip()] = _scalar(m[2] or "")
-        else:
-            mapping[m[1].strip()], used = _yaml(lines[i:], deeper)
-            i += used
-    if i < len(lines) and _indent(lines[i]) > depth:
-        raise ValueError(lines[i])
-    return mapping, i
