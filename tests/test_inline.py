@@ -85,3 +85,20 @@ def test_any_text_is_kept_and_nothing_is_slow():
         start = time.time()
         inline(unit * 10_000, {"a"})
         assert time.time() - start < 10, unit
+
+
+def test_places_point_at_the_text():
+    from treeloom.plans.document import Document
+
+    text = "---\r\na: 1\r\n---\r\n# T\n\n  para one  \nmore\n\n- [ ] task text\n  - inner\n    lazy\n\n> quoted *x*\n> rest\n\n    code\n\n[^n]: note\n    goes on\n\n[d]: /u\n  'v'\n\nUnder\n---\n"
+    d = Document(text)
+    cut = {(n.kind, i): text[d.offset(n.line, n.column) : d.offset(n.end, n.end_column)] for i, n in enumerate(d.nodes) if n.line}
+    said = {}
+    for (kind, _), x in cut.items():
+        said.setdefault(kind, []).append(x.replace("\r", ""))
+    assert said["frontmatter"] == ["---\na: 1\n---"] and said["code"] == ["    code"] and said["definition"] == ["[d]: /u\n  'v'"]
+    assert said["listItem"] == ["- [ ] task text\n  - inner\n    lazy", "- inner\n    lazy"] and said["blockquote"] == ["> quoted *x*\n> rest"] and said["footnote"] == ["[^n]: note\n    goes on"]
+    assert said["paragraph"] == ["para one  \nmore", "task text", "inner\n    lazy", "quoted *x*\n> rest", "note\n    goes on"]
+    assert [x.split("\n")[0] for x in said["heading"]] == ["# T", "Under"] and sorted(d.nodes, key=d.point_order)[-1] is d.root
+    starts = [d.offset(n.line, n.column) for n in d.root.children]
+    assert starts == sorted(starts)

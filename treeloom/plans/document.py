@@ -82,6 +82,8 @@ class Node:
     kind: str
     line: int = 0
     end: int = 0
+    column: int = 0
+    end_column: int = 0
     title: str = ""
     text: str = ""
     value: str | None = None
@@ -143,6 +145,7 @@ class Document:
     def __init__(self, text: str):
         self.count, self.notes, self.backlinks = 0, [], {}
         self.lines = re.split(r"\r?\n", text)
+        self.starts = [0, *(m.end() for m in re.finditer(r"\r?\n", text))]
         self.root = self._node("section", "root")
         stack = [self.root]
         for b in parse(text):
@@ -165,15 +168,24 @@ class Document:
         for n in reversed(self.nodes):
             n.size = 1 + sum(c.size for c in n.children)
             if n.kind != "root" and n.children:
-                n.end = max(n.end, *(c.end for c in n.children))
+                n.end, n.end_column = max((x.end, x.end_column) for x in (n, *n.children))
         for n in self.nodes:
             for kind, name in _references(n.inline):
                 self.backlinks.setdefault((kind, name), []).append(n.id)
 
+    def offset(self, line: int, column: int) -> int | None:
+        """How many characters stand before a place; None of a node without one."""
+        return self.starts[line - 1] + column - 1 if line else None
+
+    def point_order(self, n: Node) -> tuple:
+        """Nodes by where they start, those without a place last."""
+        at = self.offset(n.line, n.column)
+        return (at is None, at or 0, n.line, n.column)
+
     def _node(self, entity: str, kind: str, block: dict | None = None, **rest) -> Node:
         self.count += 1
         block = block or {}
-        return Node(f"{entity[0]}{self.count}", entity, kind, block.get("line", 0), block.get("end", 0), **rest)
+        return Node(f"{entity[0]}{self.count}", entity, kind, block.get("line", 0), block.get("end", 0), block.get("column", 0), block.get("end_column", 0), **rest)
 
     def _section(self, kind: str, block: dict, **rest) -> Node:
         return self._node("section", kind, block, **rest)

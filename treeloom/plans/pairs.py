@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from treeloom.plans import detail, engine, rows
 from treeloom.plans.document import readable
+from treeloom.sources.inline import plain
 
 CHANGE = pa.struct(
     [
@@ -75,22 +76,43 @@ def compared(pairs: DataFrame, options: engine.Options | None = None) -> DataFra
 
 def nodes_of(docs: DataFrame) -> DataFrame:
     """Sections and blocks of documents (pair_id, side, md), with places, tokens and hashes."""
-    fields = "entity string, kind string, preorder int, subtree_size int, sibling_index int, depth int, line_start int, line_end int, title string, identifier string, checked boolean, text string, self_hash string, direct_hash string, subtree_hash string, identity_hash string, content_hash string, body_hash string, path_hash string, simhash string"
+    fields = "entity string, kind string, preorder int, subtree_size int, sibling_index int, depth int, line_start int, line_end int, title string, identifier string, checked boolean, text string, self_hash string, direct_hash string, subtree_hash string, identity_hash string, content_hash string, body_hash string, path_hash string, simhash string, start_offset long, start_column int, end_offset long, end_column int"
     names = ["pair_id", "side", "node_id", "parent_id", *(f.split()[0] for f in fields.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pair_id, side, md in zip(*(batch.column(c).to_pylist() for c in ("pair_id", "side", "md")), strict=True):
                 rows = []
-                for n in readable(md or "").nodes:
+                document = readable(md or "")
+                for n in document.nodes:
                     h = n.hashes
-                    rows.append((pair_id, side, n.id, n.parent and n.parent.id, n.entity, n.kind, n.preorder, n.size, n.place, n.depth, n.line, n.end, n.title, n.identifier, n.checked, n.text, h["self"], h["direct"], h["subtree"], h["identity"], h["content"], h["body"], h["path"], None if n.sim is None else f"{n.sim:016x}"))
-                kinds = [pa.int64(), *[pa.string()] * 5, *[pa.int32()] * 6, pa.string(), pa.string(), pa.bool_(), *[pa.string()] * 9]
+                    rows.append((pair_id, side, n.id, n.parent and n.parent.id, n.entity, n.kind, n.preorder, n.size, n.place, n.depth, n.line, n.end, n.title, n.identifier, n.checked, n.text, h["self"], h["direct"], h["subtree"], h["identity"], h["content"], h["body"], h["path"], None if n.sim is None else f"{n.sim:016x}", document.offset(n.line, n.column), n.column, document.offset(n.end, n.end_column), n.end_column))
+                kinds = [pa.int64(), *[pa.string()] * 5, *[pa.int32()] * 6, pa.string(), pa.string(), pa.bool_(), *[pa.string()] * 9, pa.int64(), pa.int32(), pa.int64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return docs.select("pair_id", "side", "md").mapInArrow(run, f"pair_id long, side string, node_id string, parent_id string, {fields}")
 
 
+def inlines_of(docs: DataFrame) -> DataFrame:
+    """Inline parts of documents (pair_id, side, md) in document order: node_id of their block or heading, depth, kind, text and target (address or identifier)."""
+    names = ["pair_id", "side", "node_id", "ord", "depth", "kind", "text", "target"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pair_id, side, md in zip(*(batch.column(c).to_pylist() for c in ("pair_id", "side", "md")), strict=True):
+                rows = []
+                for n in readable(md or "").nodes:
+                    todo = [(0, x) for part in (n.inline, *(c for r in n.rows for _, c in r)) for x in part][::-1]
+                    while todo:
+                        depth, x = todo.pop()
+                        rows.append((pair_id, side, n.id, len(rows), depth, x["type"], plain([x]), x.get("url") or x.get("identifier") or ""))
+                        todo += [(depth + 1, c) for c in reversed(x.get("children", []))]
+                kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names)
+
+    return docs.select("pair_id", "side", "md").mapInArrow(run, "pair_id long, side string, node_id string, ord int, depth int, kind string, text string, target string")
+
+
 def statistics(changes: DataFrame) -> DataFrame:
     """Counts of a pair's changes; a move counts once."""
     on = lambda c, name: F.count_if(c).alias(name)

@@ -2,8 +2,8 @@
 
 It covers headings, paragraphs, lists and tasks, quotes, fences, tables, front
 matter, definitions, footnotes, math, HTML and directives. Inline parts are read when
-all definitions are known. A block is a dict with type, line, end (from 1) and what
-its type has.
+all definitions are known. A block is a dict with type, line, end, column and
+end_column (from 1, the end column one past the last character) and what its type has.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def parse(text: str) -> list[dict]:
     first = 0
     for fence, kind in (("---", "yaml"), ("+++", "toml")):
         if lines[0].rstrip() == fence and (end := next((i for i in range(1, len(lines)) if lines[i].rstrip() == fence), 0)):
-            out.append({"type": kind, "value": "\n".join(lines[1:end]), "line": 1, "end": end + 1})
+            out.append({"type": kind, "value": "\n".join(lines[1:end]), "line": 1, "end": end + 1, "column": 1, "end_column": len(lines[end].rstrip()) + 1})
             first = end + 1
             break
     out += blocks(lines[first:], first + 1)
@@ -104,20 +104,23 @@ def _indent(line: str) -> int:
     return len(line) - len(line.lstrip(" "))
 
 
-def blocks(lines: list[str], start: int) -> list[dict]:
-    """Blocks of lines, the first of which has number start."""
+def blocks(lines: list[str], start: int, cut: list[int] | None = None) -> list[dict]:
+    """Blocks of lines, the first of which has number start; cut: how many characters each line has lost on its left."""
     out: list[dict] = []
+    cut = cut or [0] * len(lines)
+    left = lambda j: cut[j] + len(lines[j]) - len(lines[j].lstrip()) + 1
+    right = lambda j: cut[j] + len(lines[j].rstrip()) + 1
     i, n = 0, len(lines)
     paragraph: list[str] = []
 
     def close() -> None:
         if paragraph:
             body = "\n".join(x.strip() if not x.endswith("  ") else x.lstrip() for x in paragraph).rstrip()
-            out.append({"type": "paragraph", "children": [body], "line": start + i - len(paragraph), "end": start + i - 1})
+            out.append({"type": "paragraph", "children": [body], "line": start + i - len(paragraph), "end": start + i - 1, "column": left(i - len(paragraph)), "end_column": right(i - 1)})
             paragraph.clear()
 
     def add(kind: str, last: int, **rest) -> None:
-        out.append({"type": kind, "line": start + i, "end": start + last - 1, **rest})
+        out.append({"type": kind, "line": start + i, "end": start + last - 1, "column": left(i), "end_column": right(last - 1), **rest})
 
     while i < n:
         line = lines[i].expandtabs(4)
@@ -154,7 +157,7 @@ def blocks(lines: list[str], start: int) -> list[dict]:
             depth = 1 if "=" in line else 2
             first, text = i - len(paragraph), "\n".join(x.strip() for x in paragraph)
             paragraph.clear()
-            out.append({"type": "heading", "depth": depth, "children": [text], "line": start + first, "end": start + i})
+            out.append({"type": "heading", "depth": depth, "children": [text], "line": start + first, "end": start + i, "column": left(first), "end_column": right(i)})
             i += 1
         elif _RULE.match(line):
             close()
@@ -162,32 +165,34 @@ def blocks(lines: list[str], start: int) -> list[dict]:
             i += 1
         elif line.lstrip().startswith(">") and _indent(line) < 4:
             close()
-            end, inner = i, []
+            end, inner, lost = i, [], []
             while end < n and (lines[end].lstrip().startswith(">") or (lines[end].strip() and inner and inner[-1].strip() and not _ITEM.match(lines[end]) and not _ATX.match(lines[end]) and not _FENCE.match(lines[end]))):
                 inner.append(re.sub(r"^ {0,3}> ?", "", lines[end]))
+                lost.append(cut[end] + len(lines[end]) - len(inner[-1]))
                 end += 1
-            add("blockquote", end, children=blocks(inner, start + i))
+            add("blockquote", end, children=blocks(inner, start + i, lost))
             i = end
         elif (m := _FOOTNOTE.match(line)) and not paragraph:
-            end, inner = i + 1, [m[2]]
+            end, inner, lost = i + 1, [m[2]], [cut[i] + len(lines[i]) - len(m[2])]
             while end < n and (lines[end].startswith("    ") or (not lines[end].strip() and end + 1 < n and lines[end + 1].startswith("    "))):
                 inner.append(lines[end][4:])
+                lost.append(cut[end] + len(lines[end]) - len(inner[-1]))
                 end += 1
-            add("footnoteDefinition", end, identifier=normal_id(m[1]), children=blocks(inner, start + i))
+            add("footnoteDefinition", end, identifier=normal_id(m[1]), children=blocks(inner, start + i, lost))
             i = end
         elif not paragraph and _indent(line) < 4 and line.lstrip()[0] == "[" and (m := definition("\n".join(lines[i : next((j for j in range(i + 1, n) if not lines[j].strip()), n)]))):
             add("definition", i + m[1], **m[0])
             i += m[1]
         elif (m := _ITEM.match(line)) and (not paragraph or (m[4] and (not m[2][0].isdigit() or m[2][:-1] == "1"))):
             close()
-            i = _list(lines, i, start, out)
+            i = _list(lines, i, start, out, cut)
         elif not paragraph and line.startswith("    "):
             end = i
             while end < n and (lines[end].startswith("    ") or not lines[end].strip()):
                 end += 1
             while not lines[end - 1].strip():
                 end -= 1
-            add("code", end, lang=None, meta=None, value="\n".join(x[4:] for x in lines[i:end]))
+            add("code", end, lang=None, meta=None, value="\n".join(x[4:] for x in lines[i:end]), column=cut[i] + 1)
             i = end
         elif "|" in line and i + 1 < n and "-" in lines[i + 1] and _DIVIDER.match(lines[i + 1]) and not paragraph and len(cells(line)) == len(cells(lines[i + 1])):
             end = i + 2
@@ -207,7 +212,7 @@ def blocks(lines: list[str], start: int) -> list[dict]:
     return out
 
 
-def _list(lines: list[str], i: int, start: int, out: list[dict]) -> int:
+def _list(lines: list[str], i: int, start: int, out: list[dict], cut: list[int]) -> int:
     """The list that starts at line i; returns the line after it."""
     m = _ITEM.match(lines[i].expandtabs(4))
     ordered = m[2][0].isdigit()
@@ -220,12 +225,14 @@ def _list(lines: list[str], i: int, start: int, out: list[dict]) -> int:
         gap = len(m[3] or " ")
         width = len(m[1]) + len(m[2]) + (gap if gap <= 4 and m[4] else 1)
         inner, begin = [m[4] or ""], i
+        lost, column = [cut[i] + len(lines[i]) - len(inner[0])], cut[i] + len(m[1]) + 1
         i += 1
         while i < len(lines):
             line = lines[i].expandtabs(4)
             if not line.strip():
                 if i + 1 < len(lines) and lines[i + 1].strip() and _indent(lines[i + 1].expandtabs(4)) >= width:
                     inner.append("")
+                    lost.append(cut[i])
                     spread = True
                     i += 1
                     continue
@@ -236,11 +243,13 @@ def _list(lines: list[str], i: int, start: int, out: list[dict]) -> int:
                 inner.append(line.strip())
             else:
                 break
+            lost.append(cut[i] + len(lines[i]) - len(lines[i].lstrip()) if inner[-1] == line.strip() else cut[i] + len(lines[i]) - len(inner[-1]))
             i += 1
         task = _TASK.match(inner[0])
         if task:
+            lost[0] += len(inner[0]) - len(task[2])
             inner[0] = task[2]
-        items.append({"type": "listItem", "checked": None if not task else task[1] != " ", "children": blocks(inner, start + begin), "line": start + begin, "end": start + i - 1})
+        items.append({"type": "listItem", "checked": None if not task else task[1] != " ", "children": blocks(inner, start + begin, lost), "line": start + begin, "end": start + i - 1, "column": column, "end_column": cut[i - 1] + len(lines[i - 1].rstrip()) + 1})
         skip = i
         while skip < len(lines) and not lines[skip].strip():
             skip += 1
