@@ -6,6 +6,7 @@ Hashes are md5, which other engines have too.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -13,10 +14,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# The characters that count as white space, and as CJK; what a word is, and the numbers before a heading that do not count.
+# The characters that count as white space, and as CJK.
 SPACE = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
-WORD = r"[\p{L}\p{N}_]+(?:['’.][\p{L}\p{N}_]+)*"
+
+# Unicode's classes of word breaks. Scripts without spaces between words; characters that extend the one
+# before; those that join letters, or digits, on both sides (a colon does not); connectors. Plain characters instead of
+# escapes, as Java, RE2 and Python's regex all read these patterns.
+_NO_SPACES = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}" + "\u30fc\uff70"
+_EXTEND = r"[\p{M}" + "\u00ad\u061c\u200c\u200d\u200e\u200f\u2060]"
+_MID_BOTH = "'.\u2018\u2019\u2024\ufe52\uff07\uff0e"
+_MID_LETTER = f"[{_MID_BOTH}\u00b7\u0387\u055f\u05f4\u2027\ufe13]"
+_MID_DIGIT = f"[{_MID_BOTH},;\u037e\u0589\u060c\u060d\u066c\u07f8\u2044\ufe10\ufe14\ufe50\ufe54\uff0c\uff1b]"
+_CONNECTOR = r"\p{Pc}"
+_LETTER = rf"[^\P{{L}}{_NO_SPACES}]"
+_DIGIT = r"[\p{Nd}" + "\u066b]"
+
+
+def _run(unit: str, mid: str) -> str:
+    return f"{unit}++(?:{_EXTEND}++{unit}*+|{mid}{_EXTEND}*+{unit}++)*+"
+
+
+#: A word by Unicode's rules, outside the scripts that take a dictionary. Possessive, so that a text of any length needs no stack.
+WORD = f"{_CONNECTOR}*+(?:(?:{_run(_LETTER, _MID_LETTER)}|{_run(_DIGIT, _MID_DIGIT)})++{_CONNECTOR}*+)++|{_CONNECTOR}{{2,}}+"
+#: A character of a script without spaces, with what extends it; and a run of such.
+CLUSTER = f"[{_NO_SPACES}]{_EXTEND}*+"
+UNSPACED = f"(?:{CLUSTER})++"
+
+
+def re2(pattern: str) -> str:
+    """One of these patterns for engines without possessive quantifiers, which name scripts without a prefix."""
+    return re.sub(r"([*+}])\+", r"\1", pattern).replace(r"\p{Is", r"\p{")
+
+
+# The numbers before a heading that do not count.
 PREFIX = r"^([ivxlcdm]+|\d+(?:\.\d+)*|\d{1,4})[.)、：:-]" + SPACE + "+"
 
 
@@ -88,11 +119,20 @@ def cjk_bigrams(x: Column) -> Column:
 
 
 def tokenize_text(x: Column) -> Column:
-    """Words, lower-case; of a text with CJK characters, those in pairs of neighbours and its other words."""
+    """Words by Unicode's rules, lower-case; of scripts without spaces, for which there is no dictionary, pairs of neighbours.
+
+    Apostrophes and full stops join letters, those and commas digits, connectors anything;
+    marks and joiners stay with what they extend. Emoji and other symbols are no words.
+    Quotes after or between Hebrew letters part them unless they are gershayim. No word: an empty array; null: null.
+    """
     low = F.lower(x)
-    mixed = F.regexp_extract_all(low, F.lit(rf"{CJK}+|(?:(?!{CJK})[\p{{L}}\p{{N}}_])+"), F.lit(0))
-    pairs = F.flatten(F.transform(mixed, lambda w: F.when(w.rlike(CJK), cjk_bigrams(w)).otherwise(F.array(w))))
-    return F.when(low.rlike(CJK), pairs).otherwise(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))
+    mixed = F.regexp_extract_all(low, F.lit(f"{UNSPACED}|{WORD}"), F.lit(0))
+
+    def paired(w):
+        return let(F.regexp_extract_all(w, F.lit(CLUSTER), F.lit(0)), lambda c: F.when(F.size(c) < 2, c).otherwise(F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c)), lambda a, b: F.concat(a, b))))
+
+    pairs = F.flatten(F.transform(mixed, lambda w: F.when(w.rlike(f"^{CLUSTER}"), paired(w)).otherwise(F.array(w))))
+    return F.when(low.rlike(CLUSTER), pairs).otherwise(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))
 
 
 def tokenize_for_similarity(x: Column) -> Column:

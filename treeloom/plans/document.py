@@ -15,12 +15,13 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
+import regex
 
+from treeloom.functions.text import CLUSTER, UNSPACED, WORD
 from treeloom.sources.markdown import front_matter, normal_id, parse, plain
 
-# Fixed values, as in ``functions.text``: words, CJK characters, and the numbers before a heading that do not count.
-_WORD = re.compile(r"[^\W_]+(?:['’.][^\W_]+)*|_+")
-_CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]+")
+_WORD, _CLUSTER = regex.compile(f"(?P<run>{UNSPACED})|{WORD}"), regex.compile(CLUSTER)
+# Fixed value, as in ``functions.text``: the numbers before a heading that do not count.
 _PREFIX = re.compile(r"^([ivxlcdm]+|\d+(?:\.\d+)*|\d{1,4})[.)、：:-]\s+")
 
 
@@ -46,16 +47,11 @@ def slug(x: str) -> str:
 
 
 def words(x: str) -> list[str]:
-    """Words, lower-case; CJK runs as pairs of neighbours."""
+    """The words of ``functions.text.tokenize_text``."""
     out = []
-    for w in _WORD.findall(x.lower()):
-        at = 0
-        for m in _CJK.finditer(w):
-            out += [w[at : m.start()]] * (m.start() > at)
-            run = m[0]
-            out += [run[i : i + 2] for i in range(len(run) - 1)] or [run]
-            at = m.end()
-        out += [w[at:]] * (len(w) > at)
+    for m in _WORD.finditer(x.lower()):
+        run = _CLUSTER.findall(m[0]) if m["run"] else [m[0]]
+        out += [a + b for a, b in zip(run, run[1:])] or run
     return out
 
 

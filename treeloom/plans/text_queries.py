@@ -21,7 +21,7 @@ def _strip(x: str) -> str:
 
 _title = lambda x: _collapse(f"({_strip(f'lower({_trim(x)})')})")
 _slug = lambda x: f"""regexp_replace({_trim(f"regexp_replace({_title(x)}, '[^\\p{{L}}\\p{{N}}\\s-]', ' ', 'g')")}, '[\\s_-]+', '-', 'g')"""
-_word = t.WORD.replace("'", "''")
+_word = t.re2(t.WORD).replace("'", "''")
 _tokens = lambda x: f"regexp_extract_all(lower({x}), '{_word}')"
 _grams = lambda x: f"CASE WHEN length({x}) >= 3 THEN list_transform(range(length({x}) - 2), lambda i: substr(lower({x}), i::INT + 1, 3)) WHEN length({x}) > 0 THEN [lower({x})] ELSE [] END"
 _bigrams = lambda x: f"CASE WHEN length({x}) > 1 THEN list_transform(range(length({x}) - 1), lambda i: substr({x}, i::INT + 1, 2)) WHEN length({x}) = 1 THEN [{x}] ELSE [] END"
