@@ -9,6 +9,7 @@ from treeloom.functions import similarity as sim
 from treeloom.functions import text as t
 from treeloom.operators import matching as m
 from treeloom.operators import tree
+from treeloom.operators.set_join import similar_sets
 from treeloom.plans.stages import materialized
 from treeloom.plans.text_queries import _SIM, _title
 from treeloom.sources.tables import LINES_SQL, TREES_SQL, line_versions, lines, table, trees
@@ -234,17 +235,31 @@ clear AS (SELECT *, coalesce(round(max(CASE WHEN ro = 1 THEN score END) OVER o -
   WINDOW o AS (PARTITION BY pair_id, old_id), n AS (PARTITION BY pair_id, new_id))"""
 
 
-def _scored(spark, sf_dir):
-    """Unmatched items of one parent on both sides, with the likeness of their texts."""
+def _loose(spark, sf_dir):
+    """Items that no exact subtree covers, of either side, with their words."""
     nodes = _hashed(spark, sf_dir)
     exact = _exact(nodes)
     loose = m.unmatched(nodes.filter("kind = 'listItem'"), exact, "pair_id", "node_id")
     loose = m.unmatched(loose.withColumnsRenamed({"node_id": "own", "parent_id": "node_id"}), exact, "pair_id", "node_id")
-    of = lambda s: loose.filter(F.col("side") == s).select("pair_id", F.col("node_id").alias("parent_id"), F.col("own").alias(f"{s}_id"), F.col("sibling_index").alias(f"{s}_index"), F.split("text", " ").alias(f"{s}_words"))
+    return loose.select("pair_id", "side", F.col("node_id").alias("parent_id"), "own", "sibling_index", F.split("text", " ").alias("words"))
+
+
+def _scored(spark, sf_dir):
+    """Unmatched items of one parent on both sides, all pairs, with the likeness of their texts."""
+    loose = _loose(spark, sf_dir)
+    of = lambda s: loose.filter(F.col("side") == s).select("pair_id", "parent_id", F.col("own").alias(f"{s}_id"), F.col("words").alias(f"{s}_words"))
     pairs = of("old").join(of("new"), ["pair_id", "parent_id"])
     return pairs.withColumn("score", F.round(sim.jaccard(F.col("old_words"), F.col("new_words")), sim.NINE))
 
 
+def _alike(spark, sf_dir, least):
+    """Of those pairs the ones that score at least this, by a join on rare words instead of all pairs; with both sibling indices."""
+    loose = materialized(_loose(spark, sf_dir), "pair_id")
+    of = lambda s: loose.filter(F.col("side") == s).select("pair_id", "parent_id", F.struct("own", "sibling_index").alias(f"{s}_id"), F.col("words").alias("tokens"))
+    pairs = similar_sets(of("old"), of("new"), ["pair_id", "parent_id"], least)
+    return pairs.select("pair_id", "score", *(F.col(f"{s}_id.{c}").alias(f"{s}_{n}") for s in ("old", "new") for c, n in (("own", "id"), ("sibling_index", "index"))))
+
+
 @query(f"WITH {_SCORED} SELECT pair_id, old_id, new_id, score, margin_old, margin_new FROM clear")
 def uniqueness_margin(spark, sf_dir):
     return m.margins(_scored(spark, sf_dir), ["pair_id", "old_id"], ["pair_id", "new_id"]).select("pair_id", "old_id", "new_id", "score", "margin_old", "margin_new")
@@ -259,7 +274,7 @@ def mutual_best(spark, sf_dir):
 def gap_candidates(spark, sf_dir):
     """The cost matrix of the optimal pairing: only pairs above the threshold, a sibling's distance breaks ties."""
     cost = F.round(1 - F.col("score") + 1e-6 * F.abs(F.col("old_index") - F.col("new_index")), sim.NINE)
-    return _scored(spark, sf_dir).filter(F.col("score") >= m.MIN_SIMILARITY).select("pair_id", "old_id", "new_id", "score", cost.alias("cost"))
+    return _alike(spark, sf_dir, m.MIN_SIMILARITY).select("pair_id", "old_id", "new_id", "score", cost.alias("cost"))
 
 
 @query(f"""
