@@ -24,6 +24,15 @@ CASES = {
 }
 
 
+def test_plain_texts(spark):
+    """Texts of ASCII alone have a pattern of their own; with another character at the end they don't."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aB1 2_.',;:\"-") for _ in range(rng.randrange(20))) for _ in range(5000)]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    for x, plain, marked in df.select("x", t.tokenize_text(F.col("x")), t.tokenize_text(F.concat("x", F.lit(" €")))).collect():
+        assert plain == marked == words(x)
+
+
 @pytest.mark.parametrize("text", CASES)
 def test_cases(spark, text):
     assert words(text) == CASES[text]

@@ -35,8 +35,14 @@ def _run(unit: str, mid: str) -> str:
     return f"{unit}++(?:{_EXTEND}++{unit}*+|{mid}{_EXTEND}*+{unit}++)*+"
 
 
+def _word(letters: str, digits: str, connector: str) -> str:
+    return f"{connector}*+(?:(?:{letters}|{digits})++{connector}*+)++|{connector}{{2,}}+"
+
+
 #: A word by Unicode's rules, outside the scripts that take a dictionary. Possessive, so that a text of any length needs no stack.
-WORD = f"{_CONNECTOR}*+(?:(?:{_run(_LETTER, _MID_LETTER)}|{_run(_DIGIT, _MID_DIGIT)})++{_CONNECTOR}*+)++|{_CONNECTOR}{{2,}}+"
+WORD = _word(_run(_LETTER, _MID_LETTER), _run(_DIGIT, _MID_DIGIT), _CONNECTOR)
+#: The same for lower-case texts of ASCII alone, where it takes a third of the time.
+_PLAIN_WORD = _word("[a-z]++(?:['.][a-z]++)*+", "[0-9]++(?:['.,;][0-9]++)*+", "_")
 #: A character of a script without spaces, with what extends it; and a run of such.
 CLUSTER = f"[{_NO_SPACES}]{_EXTEND}*+"
 UNSPACED = f"(?:{CLUSTER})++"
@@ -132,7 +138,8 @@ def tokenize_text(x: Column) -> Column:
         return let(F.regexp_extract_all(w, F.lit(CLUSTER), F.lit(0)), lambda c: F.when(F.size(c) < 2, c).otherwise(F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c)), lambda a, b: F.concat(a, b))))
 
     pairs = F.flatten(F.transform(mixed, lambda w: F.when(w.rlike(f"^{CLUSTER}"), paired(w)).otherwise(F.array(w))))
-    return F.when(low.rlike(CLUSTER), pairs).otherwise(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))
+    found = lambda pattern: F.regexp_extract_all(low, F.lit(pattern), F.lit(0))
+    return F.when(~low.rlike(r"[^\x00-\x7F]"), found(_PLAIN_WORD)).when(low.rlike(CLUSTER), pairs).otherwise(found(WORD))
 
 
 def tokenize_for_similarity(x: Column) -> Column:
