@@ -18,10 +18,11 @@ from pyspark.sql.types import StringType
 SPACE = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
 
-# Unicode's classes of word breaks. Scripts without spaces between words; characters that extend the one
-# before; those that join letters, or digits, on both sides (a colon does not); connectors. Plain characters instead of
-# escapes, as Java, RE2 and Python's regex all read these patterns.
+# Unicode's classes of word breaks. Scripts without spaces between words, and the last character below
+# them all; characters that extend the one before; those that join letters, or digits, on both sides (a colon does
+# not); connectors. Plain characters instead of escapes, as Java, RE2 and Python's regex all read these patterns.
 _NO_SPACES = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}" + "\u30fc\uff70"
+_LAST_SPACED = "\u0dff"
 _EXTEND = r"[\p{M}" + "\u00ad\u061c\u200c\u200d\u200e\u200f\u2060]"
 _MID_BOTH = "'.\u2018\u2019\u2024\ufe52\uff07\uff0e"
 _MID_LETTER = f"[{_MID_BOTH}\u00b7\u0387\u055f\u05f4\u2027\ufe13]"
@@ -40,8 +41,8 @@ def _word(letters: str, digits: str, connector: str) -> str:
 
 
 #: A word by Unicode's rules, outside the scripts that take a dictionary. Possessive, so that a text of any length needs no stack.
-WORD = _word(_run(_LETTER, _MID_LETTER), _run(_DIGIT, _MID_DIGIT), _CONNECTOR)
-#: The same for lower-case texts of ASCII alone, where it takes a third of the time.
+WORD = _word(_run(f"(?:[a-zß-öø-ÿ]++|{_LETTER}++)", _MID_LETTER), _run(_DIGIT, _MID_DIGIT), _CONNECTOR)
+#: The same for lower-case texts of ASCII alone, where it is faster.
 _PLAIN_WORD = _word("[a-z]++(?:['.][a-z]++)*+", "[0-9]++(?:['.,;][0-9]++)*+", "_")
 #: A character of a script without spaces, with what extends it; and a run of such.
 CLUSTER = f"[{_NO_SPACES}]{_EXTEND}*+"
@@ -139,7 +140,7 @@ def tokenize_text(x: Column) -> Column:
 
     pairs = F.flatten(F.transform(mixed, lambda w: F.when(w.rlike(f"^{CLUSTER}"), paired(w)).otherwise(F.array(w))))
     found = lambda pattern: F.regexp_extract_all(low, F.lit(pattern), F.lit(0))
-    return F.when(~low.rlike(r"[^\x00-\x7F]"), found(_PLAIN_WORD)).when(low.rlike(CLUSTER), pairs).otherwise(found(WORD))
+    return F.when(~low.rlike(r"[^\x00-\x7F]"), found(_PLAIN_WORD)).when(low.rlike(rf"[^\x00-{_LAST_SPACED}]") & low.rlike(CLUSTER), pairs).otherwise(found(WORD))
 
 
 def tokenize_for_similarity(x: Column) -> Column:
