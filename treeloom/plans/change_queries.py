@@ -15,7 +15,7 @@ from treeloom.operators import tree
 from treeloom.plans import kernels, pairs, report
 from treeloom.plans.stages import materialized
 from treeloom.plans.text_queries import _title
-from treeloom.plans.tree_queries import EXACT_SQL, HASHES_SQL, _exact, _hashed, _scored, _unique
+from treeloom.plans.tree_queries import EXACT_SQL, HASHES_SQL, _alike, _exact, _hashed, _unique
 from treeloom.sources.ledgers import LEDGER_TREES_SQL, ledger_trees
 from treeloom.sources.tables import LINES_SQL, TREES_SQL, line_rule, line_versions, lines, table
 
@@ -406,7 +406,7 @@ def change_navigation(spark, sf_dir):
 @query()
 def hungarian_pairs(spark, sf_dir):
     """The optimal pairing of unmatched items of one parent, above the threshold."""
-    scored = _scored(spark, sf_dir).filter(F.col("score") >= m.MIN_SIMILARITY)
+    scored = _alike(spark, sf_dir, m.MIN_SIMILARITY)
     scored = scored.select("pair_id", "parent_id", "old_id", "new_id", (1 - F.col("score") + 1e-6 * F.abs(F.col("old_index") - F.col("new_index"))).alias("cost"))
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:

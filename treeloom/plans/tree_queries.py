@@ -257,7 +257,7 @@ def _alike(spark, sf_dir, least):
     loose = materialized(_loose(spark, sf_dir), "pair_id")
     of = lambda s: loose.filter(F.col("side") == s).select("pair_id", "parent_id", F.struct("own", "sibling_index").alias(f"{s}_id"), F.col("words").alias("tokens"))
     pairs = similar_sets(of("old"), of("new"), ["pair_id", "parent_id"], least)
-    return pairs.select("pair_id", "score", *(F.col(f"{s}_id.{c}").alias(f"{s}_{n}") for s in ("old", "new") for c, n in (("own", "id"), ("sibling_index", "index"))))
+    return pairs.select("pair_id", "parent_id", "score", *(F.col(f"{s}_id.{c}").alias(f"{s}_{n}") for s in ("old", "new") for c, n in (("own", "id"), ("sibling_index", "index"))))
 
 
 @query(f"WITH {_SCORED} SELECT pair_id, old_id, new_id, score, margin_old, margin_new FROM clear")
