@@ -247,7 +247,7 @@ def _loose(spark, sf_dir):
 def _scored(spark, sf_dir):
     """Unmatched items of one parent on both sides, all pairs, with the likeness of their texts."""
     loose = _loose(spark, sf_dir)
-    of = lambda s: loose.filter(F.col("side") == s).select("pair_id", "parent_id", F.col("own").alias(f"{s}_id"), F.col("words").alias(f"{s}_words"))
+    of = lambda s: loose.filter(F.col("side") == s).select("pair_id", "parent_id", F.col("own").alias(f"{s}_id"), F.col("sibling_index").alias(f"{s}_index"), F.col("words").alias(f"{s}_words"))
     pairs = of("old").join(of("new"), ["pair_id", "parent_id"])
     return pairs.withColumn("score", F.round(sim.jaccard(F.col("old_words"), F.col("new_words")), sim.NINE))
 
