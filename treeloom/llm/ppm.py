@@ -38,6 +38,7 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -283,6 +284,17 @@ def fit(samples: dict[str, list[str]], order: int = ORDER, most_bytes: int = MOD
     return model
 
 
+def fitted(docs: DataFrame, *most: int):
+    """The model of a sample of docs (doc_id, text, lang), as a broadcast variable.
+
+    Training frees about as much as the driver's Python holds besides; the C library keeps that unless told, for as long as the driver lives.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit(sample(docs.select("doc_id", "text", "lang"), *most)))
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+    return model
+
+
 def _fitted(samples: dict[str, list[str]], order: int, most_bytes: int) -> Model:
     languages = sorted(samples)
     if not languages:
@@ -324,7 +336,7 @@ def sample(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most_bytes: int = SAMP
 
 def identified(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row of docs (doc_id, text, lang)."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(sample(docs.select("doc_id", "text", "lang"), most_docs, most_bytes)))
+    model = fitted(docs, most_docs, most_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,7 +354,7 @@ def identified(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most_bytes: int =
 
 def accepted(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of docs, with all columns, whose text has a language with a score of at least least."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(sample(docs.select("doc_id", "text", "lang"))))
+    model = fitted(docs)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
