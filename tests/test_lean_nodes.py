@@ -1,9 +1,11 @@
 """What a comparison leaves unmade, and hashes made when asked for."""
 
+import gc
+
 from pyspark.sql import functions as F
 
 from treeloom.plans import engine, pairs, similarity
-from treeloom.plans.document import Document, canonical, md5
+from treeloom.plans.document import Document, Node, canonical, md5
 
 TEXT = '# A "title"\n\nwords of a text with *stress*\n\n- [x] one\n- two\n\n| a | b |\n| :-- | --- |\n| 1 | 2 |\n\n[x]: /y "z"'
 
@@ -42,3 +44,15 @@ def test_batches_hold_many_pairs_and_wanted_columns_alone(spark):
     assert nodes.columns == ["pair_id", "side", "node_id", "parent_id", "kind", "line_start"] and nodes.count() == 900
     about = pairs.detailed(df.limit(1), about=True).select("kind", "op", "renamed", "new_text").collect()
     assert [tuple(r) for r in about] == [("paragraph", "replace", False, "c")]
+
+
+def test_a_told_comparison_leaves_no_cycles():
+    gc.collect()
+    gc.disable()
+    try:
+        before = gc.get_count()[0]
+        for _ in range(50):
+            assert engine.told(TEXT, f"{TEXT}\n\nmore", None, True, lambda root, c: pairs.some_rows(root, c.warnings, ["op"], "shown"))
+        assert not gc.isenabled() and gc.get_count()[0] - before < 1000 and not any(isinstance(x, Node) for x in gc.get_objects())
+    finally:
+        gc.enable()
